@@ -20,8 +20,18 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by tables of last tokens, and the bytes that they give back."""
+    import public_tokenizers
+
+    from vicinal.llm.prefix_bpe import encode_decode
+
+    return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_ids": op4_token_ids,
+    "op5_byte_bpe": op5_byte_bpe,
 }
 
 SQL: dict[str, str] = {}
