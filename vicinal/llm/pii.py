@@ -96,14 +96,16 @@ class Graph:
     skip: list[tuple[int, int]]
 
 
-N_FEATURES = 96
+N_FEATURES = 99
+#: Features that say which entities a token can be at all.
+_CAN_CARD, _CAN_PHONE, _CAN_IP = 96, 97, 98
 #: The least skip potential of two like tokens of one entity.
 SKIP_LEAST = 8.0
 
 
 def features(token: str, before: str, after: str) -> list[int]:
     """Numbers of the features that a token has."""
-    n = sum(c.isdigit() for c in token)
+    n = sum(c in "0123456789" for c in token)
     letters = sum(c.isalpha() for c in token)
     dots, dashes = token.count("."), token.count("-")
     out = [0, 1 + (n > 0) + (n > 3) + (n > 6) + (n > 8) + (n > 12) + (n > 15) + (n > 19)]
@@ -116,6 +118,13 @@ def features(token: str, before: str, after: str) -> list[int]:
         out.append(29)
     if token.isascii() and token.isdigit():
         out.append(30 + (13 <= n <= 19 and luhn(token)))
+    digits = _DIGITS.sub("", token)
+    if 13 <= n <= 19 and luhn(digits) and n + token.count(" ") + dashes == len(token):
+        out.append(_CAN_CARD)
+    if 7 <= n <= 15 and not letters:
+        out.append(_CAN_PHONE)
+    if 3 <= dots <= 4 and n and not letters:
+        out.append(_CAN_IP)
     if dots == 3 and all(p.isdigit() for p in token.split(".")):
         out.append(32)
     if any(c in "=:/_" for c in token):
@@ -245,6 +254,8 @@ def marginals(graphs: list[Graph], w: Weights, rounds: int = 12) -> np.ndarray:
     x, labels, chain, skip = _matrix(graphs)
     unary = x @ w.unary
     fixed = labels >= 0
+    for label, feature in ((1, _CAN_IP), (2, _CAN_CARD), (3, _CAN_PHONE)):
+        unary[x[:, feature] == 0, label] = -60.0
     unary[fixed] = -60.0
     unary[fixed, labels[fixed]] = 0.0
     pairs = np.concatenate([chain, skip])

@@ -114,9 +114,17 @@ class Words:
             sums[0] = 0
             np.cumsum(_VALUE[low] * up[:n], out=sums[1:])
             self.hash = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        self.sums, self.down = sums, down
         self.start, self.end = start, end
         self.first = np.searchsorted(start, offsets if cuts is None else cuts)
 
+    def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have more bytes than ``size``, and hashes of the first ``size`` of each."""
+        which = np.flatnonzero(self.end - self.start > size)
+        at = self.start[which]
+        with np.errstate(over="ignore"):
+            return which, mix((self.sums[at + size] - self.sums[at]) * self.down[at] + U(1 << 32 | size))
+
 
 def runs(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of ``width`` consecutive words; runs across texts are for the caller to leave out."""
