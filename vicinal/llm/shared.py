@@ -27,7 +27,21 @@ def place(spark: SparkSession, kind: str) -> str:
     return f"{folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation of it."""
-    folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
+    """df, computed once and written to the shared folder, so that a lost executor costs no recomputation of it."""
+    path = place(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table that ``cut`` has written and that nothing needs any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def size_of(df: DataFrame) -> int:
+    """Spark's estimate of the bytes of df."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
