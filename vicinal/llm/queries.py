@@ -18,6 +18,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document by shingles of five words."""
+    from vicinal.llm import ngram_join
+
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document in directly addressable files, read back."""
     import public_tokenizers
@@ -115,6 +122,7 @@ FROM ruled LEFT JOIN listed USING (canonical)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_ngram_join": op2_ngram_join,
     "op4_token_ids": op4_token_ids,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_decontamination": op7_decontamination,
