@@ -25,6 +25,16 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, removed lines, and length and hash of what is left of every document."""
+    from pyspark.sql import functions as F
+
+    from vicinal.llm import line_dedup
+
+    found = line_dedup.remove(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document in directly addressable files, read back."""
     import public_tokenizers
@@ -123,6 +133,7 @@ FROM ruled LEFT JOIN listed USING (canonical)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_ngram_join": op2_ngram_join,
+    "op3_line_dedup": op3_line_dedup,
     "op4_token_ids": op4_token_ids,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_decontamination": op7_decontamination,

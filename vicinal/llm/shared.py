@@ -44,4 +44,4 @@ def drop(df: DataFrame) -> None:
 
 def size_of(df: DataFrame) -> int:
     """Spark's estimate of the bytes of df."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
