@@ -1,4 +1,9 @@
-"""Connected components by alternating large and small stars, with joins only."""
+"""Connected components by alternating large and small stars, with joins only.
+
+The least neighbour of each node is counted with partial aggregation and written
+before it is joined back.  So both sides of each join are plain shuffles, which
+Spark splits where a centre has very many neighbours (or a broadcast, if small).
+"""
 
 from __future__ import annotations
 
@@ -9,37 +14,42 @@ from vicinal.llm import shared
 
 
 def _large(e: DataFrame) -> DataFrame:
-    """Links each greater neighbour of a node to the least node beside it."""
+    """Links each greater neighbour of a node to the least node beside it (edges: u > v)."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = shared.cut(both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")).select("v", F.least("v", "m").alias("m")), "least")
+    out = shared.cut(e.join(least, "v").select("u", F.col("m").alias("v")).where("u <> v"), "links")
+    shared.drop(least)
+    return out
 
 
 def _small(e: DataFrame) -> DataFrame:
     """Links a node and its lesser neighbours to the least of these."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    least = shared.cut(e.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    out = shared.cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+    shared.drop(least)
+    return out
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node and root (the least node of its component) of every node of edges (columns a, b of long) but roots themselves.
 
-    Repeated edges and loops are fine.  A round is two joins; rounds grow as the
-    logarithm of the longest path.  Nothing reaches the driver but a count and a sum.
+    Repeated edges and loops are fine.  Rounds grow as the logarithm of the longest
+    path.  Nothing reaches the driver but counts and a sum.
     """
-    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = shared.cut(_small(e), "links")
+    first = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    first = shared.cut(first, "links")
+    e = _small(first)
+    shared.drop(first)
     state = None
     for _ in range(most):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        # Stars whose centres are nobody's neighbour are the result; that holds once a round changes nothing.
-        if not now[0] or now[:2] == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        if now[0] == now[2] and not e.alias("x").join(e.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").limit(1).count():
+        # If every node is linked once, and no centre is itself linked, the stars are the components.
+        if not now[0] or tuple(now) == state or now[0] == now[2] and not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now[:2]
-        after = shared.cut(_small(_large(e)), "links")
+        state = tuple(now)
+        wide = _large(e)
         shared.drop(e)
-        e = after
+        e = _small(wide)
+        shared.drop(wide)
     raise RuntimeError("components did not settle")
