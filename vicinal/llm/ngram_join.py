@@ -116,7 +116,7 @@ def _sets(docs: DataFrame, wanted: bloom.Blocked, width: int) -> DataFrame:
     return docs.withColumn("hash", F.xxhash64("id")).mapInArrow(run, "id long, print binary, set binary")
 
 
-def join(docs: DataFrame, width: int = 5, threshold: float = 0.8, tolerance: float = 1e-5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, width: int = 5, threshold: float = 0.8, tolerance: float = 1e-8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each id: id_col, class_id, n_links, copy_id.
 
     Two documents are linked if the Jaccard similarity of their sets of word

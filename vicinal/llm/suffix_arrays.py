@@ -25,6 +25,8 @@ from vicinal.llm.textcore import U, Words, arrow_batches, blocks, runs
 
 #: Sizes of what is sent to the executors at once, in bytes of item text.
 ITEM_BLOCK = 16 << 20
+#: Blocks that a benchmark has at most (a gigabyte of text); a larger one is run in parts.
+MOST_BLOCKS = 64
 
 
 class SuffixArray:
@@ -148,6 +150,15 @@ def item_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str, s
         yield made()
 
 
+def _all_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> list[Items]:
+    found = []
+    for x in item_blocks(benchmark, window, id_col, text_col):
+        found.append(x)
+        if len(found) > MOST_BLOCKS:
+            raise ValueError(f"the benchmark has more than {MOST_BLOCKS * ITEM_BLOCK >> 20} MB of text: run it in parts")
+    return found
+
+
 def _places(words: np.ndarray, items: Items) -> np.ndarray:
     """The places of a row of word hashes from which a window of some item may go on."""
     near = np.zeros(len(words), bool)
@@ -251,7 +262,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, words_per_shar
     document clean.
     """
     arrow_batches(docs.sparkSession)
-    found = list(item_blocks(benchmark, window, item_id, item_text)) or [Items([], np.zeros(0, np.uint64), np.zeros(1, np.int64), window)]
+    found = _all_blocks(benchmark, window, item_id, item_text) or [Items([], np.zeros(0, np.uint64), np.zeros(1, np.int64), window)]
     sent = [docs.sparkSession.sparkContext.broadcast(x) for x in found]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +307,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, wor
     occur somewhere.  Of equal lengths the least document wins.
     """
     arrow_batches(docs.sparkSession)
-    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in item_blocks(benchmark, window, item_id, item_text)]
+    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in _all_blocks(benchmark, window, item_id, item_text)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, words, first in _shards(batches, words_per_shard):
