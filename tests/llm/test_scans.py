@@ -160,7 +160,7 @@ def test_quality(spark, sf_dir):
 
 def test_quality_rejects_what_is_unlike_its_language(spark):
     prose = "The sun was up and the wind of the sea came in to the town that is on the hill for a day and it was warm. "
-    rows = [(k, prose.replace("sun", f"sun{k}") + " ".join(f"{chr(97 + (k * j) % 26)}ord{chr(97 + j % 26)}" for j in range(60)), "en") for k in range(40)] + [(99, " ".join(f"{k}%$#{k * 7}|" for k in range(80)), "en")]
+    rows = [(k, prose.replace("sun", f"sun{k}") + " ".join(f"{chr(97 + (k + j) % 26)}o{chr(97 + j % 26)}d{chr(97 + j // 26)}" for j in range(60)), "en") for k in range(40)] + [(99, " ".join(f"{k}%$#{k * 7}|" for k in range(80)), "en")]
     found = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not found[99] and all(found[k] for k in range(40))
 

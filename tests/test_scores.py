@@ -53,3 +53,16 @@ def test_elbow(spark):
     pick = lambda rows: evaluation.elbow(spark.createDataFrame(rows, "k int, wcss double")).first()[0]
     assert pick([(1, 100.0), (2, 40.0), (3, 20.0), (4, 15.0), (5, 12.0)]) in (2, 3)
     assert pick([(1, 5.0), (2, 4.0)]) == 2 and pick([(1, 5.0), (2, 5.0), (3, 5.0)]) == 1
+
+
+def test_sinks(spark, tmp_path):
+    from vicinal.operators import knn
+    from vicinal.sources import sinks
+
+    votes = spark.createDataFrame([(1, 3)], "q_id long, fraud_count int")
+    sinks.write_answers(knn.response(knn.decide(votes)), str(tmp_path / "a"))
+    sinks.write_csv(votes, str(tmp_path / "b"))
+    sinks.write_report(votes.selectExpr("'{}' AS report"), str(tmp_path / "c"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "a")).collect()] == ['{"approved":false,"fraud_score":0.6000}']
+    assert spark.read.option("header", True).csv(str(tmp_path / "b")).columns == ["q_id", "fraud_count"]
+    assert spark.read.text(str(tmp_path / "c")).count() == 1
