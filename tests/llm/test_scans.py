@@ -170,8 +170,8 @@ def test_distance_is_that_of_the_definition(spark):
     p, q = np.array(a) / sum(a), np.array(b) / sum(b)
     m = (p + q) / 2
     kl = lambda x: sum(u * np.log2(u / v) for u, v in zip(x, m, strict=True) if u)
-    got = spark.createDataFrame([(a, b, [0, 0, 0, 0])], "a array<long>, b array<long>, z array<long>").select(quality.distance("a", "b"), quality.distance("a", "a"), quality.distance("a", "z")).first()
-    assert got[0] == pytest.approx(np.sqrt((kl(p) + kl(q)) / 2)) and got[1] == pytest.approx(0, abs=1e-6) and got[2] is None
+    got = spark.createDataFrame([(a, b, [0] * 4)], "a array<long>, b array<long>, z array<long>").select(quality.distance("a", "b"), quality.distance("a", "a"), quality.distance("a", "z"), quality.distance("z", "a")).first()
+    assert got[0] == pytest.approx(np.sqrt((kl(p) + kl(q)) / 2)) and got[1] == pytest.approx(0, abs=1e-6) and got[2] is None and got[3] is None
 
 
 def test_urls(spark, sf_dir):

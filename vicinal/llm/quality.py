@@ -70,7 +70,7 @@ def distance(a: str, b: str) -> Column:
     q = f"transform({b}, x -> x / {total.format(b)})"
     term = "if(x <= 0D, 0D, x * log2(2D * x / (x + y)))"
     both = f"zip_with({p}, {q}, (x, y) -> {term} + {term.replace('x', '#').replace('y', 'x').replace('#', 'y').replace('y + x', 'x + y')})"
-    return F.expr(f"sqrt(greatest(0D, 0.5D * aggregate({both}, 0D, (s, x) -> s + x)))")
+    return F.expr(f"sqrt(abs(0.5D * aggregate({both}, 0D, (s, x) -> s + x)))")
 
 
 def judge(docs: DataFrame, limit_class: float = 0.3, limit_word: float = 0.25, least_words: int = 50, least_words_common: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
