@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vicinal.llm import sql
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -80,7 +82,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, divergences and verdict of every document."""
     from vicinal.llm import quality
 
-    return quality.judge(_table(spark, sf_dir, "documents"))
+    from pyspark.sql import functions as F
+
+    found = quality.judge(_table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("js_class", "js_word")})
 
 
 #: Rules of the URL query: verdict, host, path.
@@ -143,4 +148,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-SQL: dict[str, str] = {"op8_urls": OP8_SQL}
+SQL: dict[str, str] = {
+    "op2_ngram_join": sql.NGRAM_JOIN,
+    "op3_line_dedup": sql.LINE_DEDUP,
+    "op6_quality": sql.QUALITY,
+    "op7_decontamination": sql.DECONTAMINATION,
+    "op8_urls": OP8_SQL,
+}
