@@ -26,7 +26,10 @@ def plain(x, q, k=5):
 
 
 def found(df):
-    return {r.q_id: [y.ref_id for y in sorted(df_rows, key=lambda y: y.rk)] for r in (rows := df.collect()) for df_rows in [[y for y in rows if y.q_id == r.q_id]]}
+    out: dict = {}
+    for r in sorted(df.collect(), key=lambda r: r.rk):
+        out.setdefault(r.q_id, []).append(r.ref_id)
+    return out
 
 
 def test_worked_example(spark):
