@@ -5,9 +5,9 @@ rare they are in all documents (by a table of counts of fixed size; ties by
 hash), and only the first ones, so many that two lines above the threshold must
 have one in common, are dealt out (prefix filter).  Lines that meet at a token
 and whose sizes and places of the token allow the threshold (length and
-positional filters) are candidates.  Candidates that hang together form a group,
-inside which the Jaccard similarity is computed from the tokens themselves.  A
-line goes if a line before it (by document id, then line number) is similar.
+positional filters) form a run; tokens with the same lines make one run.  Inside
+each run the Jaccard similarity is computed from the tokens themselves.  A line
+goes if a line before it (by document id, then line number) is similar.
 
 Lines travel packed: a map task writes the entries of a batch that go to one bin
 of tokens as one row, so the shuffle moves some ten bytes an entry.
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm import bloom, shared, similar
-from vicinal.llm.components import components
 from vicinal.llm.textcore import U, Words, arrow_batches, blocks, mix, shingles
 
 #: Places of the table of counts.
 RARITY = 1 << 16
 NULL = np.iinfo(np.int64).min
-REMOVED = -1  # the bin of lines that go at once
+#: Runs of so many lines at most are looked at pair by pair before their tokens are fetched.
+SMALL = 32
 
 
 def node_of(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -80,17 +79,19 @@ def _prints(key: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _pack(columns: list[np.ndarray]) -> bytes:
+def _pack(columns: list[np.ndarray], types: tuple[str, ...]) -> bytes:
     """Arrays of equal length, byte planes after one another, which compress well."""
-    return len(columns[0]).to_bytes(4, "little") + b"".join(np.ascontiguousarray(c.astype(t)).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, t in zip(columns, _TYPES, strict=False))
+    return len(columns[0]).to_bytes(4, "little") + b"".join(np.ascontiguousarray(c.astype(t)).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, t in zip(columns, types, strict=True))
 
 
-_TYPES = ("<u8", "<i8", "<u4", "<u4", "<u4")
+#: Key, document, line, print, size and place of an entry; lines that go have but document and line.
+_TYPES = ("<u8", "<i8", "<u4", "<u4", "<u4", "<u4")
+_GONE = ("<i8", "<u4")
 
 
-def _unpack(raw: bytes, n_columns: int) -> list[np.ndarray]:
+def _unpack(raw: bytes, types: tuple[str, ...]) -> list[np.ndarray]:
     n, at, out = int.from_bytes(raw[:4], "little"), 4, []
-    for t in _TYPES[:n_columns]:
+    for t in types:
         w = np.dtype(t).itemsize
         out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * w, at).reshape(w, n).T).view(t).ravel())
         at += n * w
@@ -119,7 +120,7 @@ def rarity(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def _entries(rows: DataFrame, codes: np.ndarray, width: int, threshold: Fraction, bins: int) -> DataFrame:
-    """bin and packed entries (key, document, line, size, place) of prefixes; lines with an equal one before them in the batch go to bin REMOVED."""
+    """bin, gone and packed: entries of prefixes, and lines that go as an equal one stands before them in the batch."""
     sent = rows.sparkSession.sparkContext.broadcast(codes)  # 64 KB
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,10 +140,11 @@ def _entries(rows: DataFrame, codes: np.ndarray, width: int, threshold: Fraction
                 head = np.maximum.accumulate(np.where(~same, np.arange(len(by)), 0))
                 later = (doc[by] != doc[by][head]) | (lines.number[by] != lines.number[by][head])
                 gone = by[same & later]
-                out_bin, out = [], []
+                out_bin, out_gone, out = [], [], []
                 if len(gone):
-                    out_bin.append(REMOVED)
-                    out.append(_pack([np.zeros(len(gone)), doc[gone], lines.number[gone]]))
+                    out_bin.append(int(prints[gone[0]] % U(bins)))
+                    out_gone.append(True)
+                    out.append(_pack([doc[gone], lines.number[gone]], _GONE))
                 stays = np.zeros(len(size), bool)
                 stays[by[~same]] = True
                 prefix = size - (-(-threshold.numerator * size // threshold.denominator)) + 1
@@ -151,67 +153,104 @@ def _entries(rows: DataFrame, codes: np.ndarray, width: int, threshold: Fraction
                 where = (mix(k) % U(bins)).astype(np.int64)
                 order = np.lexsort((k, where))
                 cut = np.flatnonzero(np.diff(where[order], prepend=-1))
+                short = prints & U(0xFFFFFFFF)
                 for x, y in zip(cut.tolist(), np.append(cut[1:], len(order)).tolist(), strict=True):
                     o = order[x:y]
                     out_bin.append(int(where[o[0]]))
-                    out.append(_pack([k[o], doc[ln[o]], lines.number[ln[o]], size[ln[o]], p[o]]))
-                yield pa.RecordBatch.from_arrays([pa.array(out_bin, pa.int32()), pa.array(out, pa.binary())], ["bin", "packed"])
+                    out_gone.append(False)
+                    out.append(_pack([k[o], doc[ln[o]], lines.number[ln[o]], short[ln[o]], size[ln[o]], p[o]], _TYPES))
+                yield pa.RecordBatch.from_arrays([pa.array(out_bin, pa.int32()), pa.array(out_gone), pa.array(out, pa.binary())], ["bin", "gone", "packed"])
 
-    return rows.mapInArrow(run, "bin int, packed binary")
+    return rows.mapInArrow(run, "bin int, gone boolean, packed binary")
 
 
-def _candidates(entries: DataFrame, threshold: Fraction) -> DataFrame:
-    """node, hub, doc, line: lines that meet another one at a token, with one of these in the same run of sizes."""
+def _met(entries: DataFrame, threshold: Fraction) -> DataFrame:
+    """gone, run, node, doc, line: lines that go because an equal one stands before them, and runs of lines that meet at a token.
+
+    Equal lines meet at all tokens of their prefixes, with equal size, place and
+    print.  All but the first go, which is said where their first token is; the first
+    alone meets lines that differ.
+    """
     p, q = threshold.numerator, threshold.denominator
+    names = ["gone", "run", "node", "doc", "line"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         for batch in batches:
-            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for b, gone, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if gone:
+                    yield said(*_unpack(raw, _GONE))
+                    continue
                 if b != at:
                     yield from meet(held)
                     held, at = [], b
                 held.append(raw)
         yield from meet(held)
 
+    def said(doc: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
+        zero = pa.array(np.zeros(len(doc), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(doc), bool)), zero, zero, pa.array(doc), pa.array(line.astype(np.int64))], names)
+
     def meet(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        key, doc, line, size, place = (np.concatenate(c) for c in zip(*(_unpack(x, 5) for x in held), strict=True))
-        _, group, count = np.unique(key, return_inverse=True, return_counts=True)
-        use = np.flatnonzero(count[group] > 1)
-        group, doc, line, size, place = group[use], doc[use], line[use], size[use].astype(np.int64), place[use].astype(np.int64)
-        order = np.lexsort((size, group))
-        group, doc, line, size, place = group[order], doc[order], line[order], size[order], place[order]
-        # Sizes in order: similar lines of a token stand in one run of neighbours that pass the length filter.
-        link = np.zeros(len(group), bool)
-        link[1:] = (group[1:] == group[:-1]) & (size[:-1] * q >= size[1:] * p)
-        # The positional filter, where a token has but two lines.
-        number = np.bincount(group, minlength=1) if len(group) else np.zeros(1, np.int64)
-        two = np.zeros(len(group), bool)
-        two[1:] = link[1:] & (number[group[1:]] == 2)
-        i = np.flatnonzero(two)
-        most = np.minimum(place[i], place[i - 1]) + np.minimum(size[i] - place[i], size[i - 1] - place[i - 1])
-        link[i[most < similar.least_overlap(size[i], size[i - 1], threshold)]] = False
-        run_of = np.cumsum(~link) - 1
-        if not len(run_of):
+        columns = [np.concatenate(c) for c in zip(*(_unpack(x, _TYPES) for x in held), strict=True)]
+        by = np.argsort(columns[0], kind="stable")
+        key = columns[0][by]
+        many = np.zeros(len(key), bool)
+        many[1:] = key[1:] == key[:-1]
+        many[:-1] |= many[1:]
+        key, doc, line, short, size, place = (c[by[many]] for c in columns)
+        order = np.lexsort((line, doc, short, place, size, key))
+        key, doc, line, short, size, place = (c[order] for c in (key, doc, line, short, size.astype(np.int64), place.astype(np.int64)))
+        same = np.zeros(len(key), bool)
+        same[1:] = (key[1:] == key[:-1]) & (size[1:] == size[:-1]) & (place[1:] == place[:-1]) & (short[1:] == short[:-1])
+        if same.any():
+            head = np.maximum.accumulate(np.where(~same, np.arange(len(key)), 0))
+            go = np.flatnonzero(same & (place == 0) & ((doc != doc[head]) | (line != line[head])))
+            if len(go):
+                yield said(doc[go], line[go])
+            key, doc, line, size, place = (c[~same] for c in (key, doc, line, size, place))
+        if not len(key):
+            return
+        group = np.cumsum(np.diff(key, prepend=key[0]) != 0)
+        # Sizes are in order: similar lines of a token stand in one run of neighbours that pass
+        # the length filter.  Positional filter: where a token is the first one that two lines
+        # share, the rest of both must allow the overlap; later shared tokens need not link
+        # them again.  Of two lines the shorter one's rest decides, so a place beyond what the
+        # best partner would allow drops the entry, and neighbours are tried as pairs.
+        runs = np.cumsum((np.diff(group, prepend=group[0]) != 0) | np.concatenate([[False], size[:-1] * q < size[1:] * p]))
+        number = np.bincount(runs)
+        first = np.cumsum(number) - number
+        ok = np.zeros(len(key), bool)
+        part = np.zeros(len(key), np.int64)
+        for step in range(1, SMALL):
+            i = np.flatnonzero((number[runs] <= SMALL) & (np.arange(len(key)) - first[runs] >= step))
+            if not len(i):
+                break
+            j = i - step
+            near = (size[j] * q >= size[i] * p) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= similar.least_overlap(size[i], size[j], threshold))
+            ok[i[near]] = ok[j[near]] = True
+        big = number[runs] > SMALL
+        ok[big] = size[big] - place[big] >= similar.least_overlap(size[big], -(-p * size[big] // q), threshold)
+        runs, doc, line = runs[ok], doc[ok], line[ok]
+        if not len(runs):
             return
-        many = np.bincount(run_of)[run_of] > 1
         node = node_of(doc, line)
-        head = np.full(run_of[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(head, run_of, node)
-        out = [node[many], head[run_of][many], doc[many], line[many].astype(np.int64)]
-        if many.any():
-            # A line meets another at several tokens of a bin; one row says it.
-            keep = np.unique(np.stack(out[:2]), axis=1, return_index=True)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in out], ["node", "hub", "doc", "line"])
+        # Tokens with the same lines make one run.
+        with np.errstate(over="ignore"):
+            name = np.zeros(int(runs[-1]) + 1, np.uint64)
+            np.add.at(name, runs, mix(node.view(np.uint64) ^ U(0x5851F42D4C957F2D)))
+        out = [name[runs].view(np.int64), node, doc, line.astype(np.int64)]
+        keep = np.unique(np.stack(out[:2]), axis=1, return_index=True)[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keep), bool)), *(pa.array(c[keep]) for c in out)], names)
 
-    dealt = entries.where(F.col("bin") >= 0).repartition("bin").sortWithinPartitions("bin")
-    return dealt.mapInArrow(run, "node long, hub long, doc long, line long")
+    dealt = entries.repartition("bin").sortWithinPartitions("bin")
+    return dealt.mapInArrow(run, "gone boolean, run long, node long, doc long, line long")
 
 
 def _sets(rows: DataFrame, wanted: bloom.Blocked, width: int) -> DataFrame:
-    """node, doc, line, print and set of tokens of the lines that the filter may hold."""
+    """node, doc, line and set of tokens of the lines that the filter may hold."""
     sent = rows.sparkSession.sparkContext.broadcast(wanted)  # 16 MB at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,10 +265,9 @@ def _sets(rows: DataFrame, wanted: bloom.Blocked, width: int) -> DataFrame:
                     continue
                 cut = np.searchsorted(lines.line, np.stack([hit, hit + 1]))
                 sets = [np.unique(lines.token[x:y]).tobytes() for x, y in cut.T.tolist()]
-                prints = [blake2b(s, digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(doc[hit]), pa.array(lines.number[hit]), pa.array(prints, pa.binary()), pa.array(sets, pa.binary())], ["node", "doc", "line", "print", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(doc[hit]), pa.array(lines.number[hit]), pa.array(sets, pa.binary())], ["node", "doc", "line", "set"])
 
-    return rows.mapInArrow(run, "node long, doc long, line long, print binary, set binary")
+    return rows.mapInArrow(run, "node long, doc long, line long, set binary")
 
 
 def repeats(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,26 +280,21 @@ def repeats(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str
     exact = Fraction(str(threshold))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     bins = int(min(1 << 16, max(64, shared.size_of(docs) >> 22)))
-    entries = shared.cut(_entries(rows, rarity(rows, width), width, exact, bins), "prefixes")
-    met = shared.cut(_candidates(entries, exact).distinct(), "met")
-    gone = shared.cut(entries.where(F.col("bin") == REMOVED), "gone")
-    shared.drop(entries)
-
-    found = components(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    groups = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
-    places = met.select("node", "doc", "line").distinct()
-    wanted = bloom.build(places, F.col("node"), places.count())
-    sets = shared.cut(_sets(rows, wanted, width).join(places, ["node", "doc", "line"], "left_semi").dropDuplicates(["doc", "line"]), "sets")
-    # Equal lines: all but the first go at once, and only the first is compared with others.
-    first = sets.groupBy("print").agg(F.min(F.struct("doc", "line")).alias("first"))
-    marked = shared.cut(sets.select("node", "doc", "line", "print").join(first, "print").select("node", "doc", "line", (F.struct("doc", "line") != F.col("first")).alias("copy")), "marked")
-    members = sets.join(marked.where("not copy").select("doc", "line"), ["doc", "line"], "left_semi").join(groups, "node").select("root", "doc", "line", "set")
+    met = shared.cut(_met(_entries(rows, rarity(rows, width), width, exact, bins), exact), "met")
+
+    runs = met.where("not gone").select("run", "node", "doc", "line").distinct()
+    # Who meets whom is settled before the tokens are fetched, so these move but twice.
+    met_in = shared.cut(similar.units(runs, "run", ["doc", "line"]), "units")
+    wanted = bloom.build(met_in.select("node").distinct(), F.col("node"), met_in.count())
+    members = met_in.join(_sets(rows, wanted, width), ["node", "doc", "line"])
 
     def work(held: dict[str, list], same: bool) -> pa.RecordBatch | None:
-        doc, line = np.array(held["doc"], np.int64), np.array(held["line"], np.int64)
-        own = [np.frombuffer(s, "<u8") for s in held["set"]]
+        # Rows of one id give a line several times.
+        once = np.unique(np.stack([np.array(held["doc"], np.int64), np.array(held["line"], np.int64)]), axis=1, return_index=True)[1].tolist()
+        doc, line, block = (np.array([held[c][k] for k in once], np.int64) for c in ("doc", "line", "block"))
+        own = [np.frombuffer(held["set"][k], "<u8") for k in once]
         size = np.array([len(s) for s in own])
-        a, b = similar.pairs_of(np.array(held["block"]), same)
+        a, b = similar.pairs_of(block, same)
         short, long = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         ok = short * exact.denominator >= long * exact.numerator
         a, b = a[ok], b[ok]
@@ -273,15 +306,8 @@ def repeats(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str
         k = np.unique(later)
         return pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(line[k])], ["doc", "line"]) if len(k) else None
 
-    near = similar.compare(similar.units(members, "root", ["doc", "line"]), "root", ["doc", "line", "set"], work, "doc long, line long")
-
-    def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(1).to_pylist():
-                _, doc, line = _unpack(raw, 3)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line.astype(np.int64))], ["doc", "line"])
-
-    return gone.mapInArrow(unpacked, "doc long, line long").unionByName(marked.where("copy").select("doc", "line")).unionByName(near)
+    close = similar.compare(members, "run", ["doc", "line", "set"], work, "doc long, line long")
+    return met.where("gone").select("doc", "line").unionByName(close)
 
 
 def remove(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
