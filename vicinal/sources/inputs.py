@@ -27,12 +27,12 @@ def parse_payloads(df: DataFrame, body: str = "body") -> DataFrame:
 def read_references(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """ref_id (place in the array), vector, is_fraud of a JSON array of vectors and labels, gzipped or not.
 
-    Places are given before anything is dealt out; one file is one task, so the
-    rows are dealt out afterwards.  A null or other label counts as legitimate.
+    One array can't be split, so one task reads it, and there the numbers that Spark
+    gives to rows are their places; then the rows are dealt out.  A null or other
+    label counts as legitimate.
     """
-    rows = spark.read.schema("vector array<float>, label string").option("multiLine", True).json(path)
-    numbered = rows.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1])).toDF("ref_id long, vector array<float>, label string")
-    out = numbered.select("ref_id", "vector", F.coalesce((F.col("label") == "fraud").cast("int"), F.lit(0)).alias("is_fraud"))
+    rows = spark.read.schema("vector array<float>, label string").option("multiLine", True).json(path).coalesce(1)
+    out = rows.select(F.monotonically_increasing_id().alias("ref_id"), "vector", F.coalesce((F.col("label") == "fraud").cast("int"), F.lit(0)).alias("is_fraud"))
     return out.repartition(partitions or spark.sparkContext.defaultParallelism)
 
 
