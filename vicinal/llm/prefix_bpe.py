@@ -79,7 +79,7 @@ class Vocabulary:
         known = after.get(b)
         if known is None:
             self.n_pairs += 1
-            if self.n_pairs > 1_500_000:
+            if self.n_pairs > 500_000:
                 self.pairs, self.n_pairs = {a: after}, 0
                 after.clear()
             known = after[b] = self._together(a, b)

@@ -41,7 +41,7 @@ _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _both(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _cache or len(_cache[0][0]) < n:
-        _cache[0] = (_powers(_BASE, n + (1 << 20)), _powers(_INV, n + (1 << 20)))
+        _cache[0] = (_powers(_BASE, n + (1 << 18)), _powers(_INV, n + (1 << 18)))
     return _cache[0][0][:n], _cache[0][1][:n]
 
 
@@ -129,7 +129,7 @@ class Memo:
     A piece has one place; a piece that finds another there is encoded anew and takes it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int = 21, most: int = 12 << 20) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int = 21, most: int = 6 << 20) -> None:
         self.encode, self.bits, self.most = encode, bits, most
         self.clear()
 

@@ -31,7 +31,7 @@ IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 
 #: Texts are worked on in chunks of about so many bytes, longer texts alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def arrow_batches(spark, records: int = 512, size: int = 8 << 20) -> None:
