@@ -140,18 +140,19 @@ def join(docs: DataFrame, width: int = 5, threshold: float = 0.8, tolerance: flo
     bands = _bands(reps)
     hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     found = components(bands.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    groups = shared.cut(found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct(), "groups")
-    wanted = bloom.build(groups, F.xxhash64("node"), groups.count())
-    sets = _sets(rows.where("id is not null"), wanted, width).dropDuplicates(["id", "print"])
-    members = groups.join(reps.withColumnRenamed("id", "node"), "node").withColumnRenamed("node", "id").select("root", "id", "print", "values", "size")
-    members = members.join(sets, ["id", "print"]).select("root", "id", "values", "size", "set")
+    groups = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
+    # Who meets whom is settled before the shingles are fetched, so these move but twice.
+    met = shared.cut(similar.units(groups.join(reps.withColumnRenamed("id", "node"), "node").withColumnRenamed("node", "id"), "root", ["id"]), "units")
+    wanted = bloom.build(met.select("id").distinct(), F.xxhash64("id"), met.count())
+    members = met.join(_sets(rows.where("id is not null"), wanted, width), ["id", "print"])
 
     def work(held: dict[str, list], same: bool) -> pa.RecordBatch | None:
-        ids, weight = np.array(held["id"], np.int64), np.array(held["size"], np.int64)
-        own = [np.frombuffer(s, "<u8") for s in held["set"]]
-        values = np.frombuffer(b"".join(held["values"]), "<u2").reshape(len(ids), HASHES)
+        once = np.unique(np.array(held["id"], np.int64), return_index=True)[1].tolist()  # rows of one id and text come several times
+        ids, weight, block = (np.array([held[c][k] for k in once], np.int64) for c in ("id", "size", "block"))
+        own = [np.frombuffer(held["set"][k], "<u8") for k in once]
+        values = np.frombuffer(b"".join([held["values"][k] for k in once]), "<u2").reshape(len(ids), HASHES)
         size = np.array([len(s) for s in own])
-        a, b = similar.pairs_of(np.array(held["block"]), same)
+        a, b = similar.pairs_of(block, same)
         short, long = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         ok = short * exact.denominator >= long * exact.numerator
         a, b = a[ok], b[ok]
@@ -175,14 +176,16 @@ def join(docs: DataFrame, width: int = 5, threshold: float = 0.8, tolerance: flo
         has = links > 0
         return pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(links[has]), pa.array(ids[root[has]])], ["rep", "links", "root"])
 
-    linked = shared.cut(similar.compare(similar.units(members, "root", ["id"]), "root", ["id", "size", "values", "set"], work, "rep long, links long, root long"), "linked")
+    linked = shared.cut(similar.compare(members, "root", ["id", "size", "values", "set"], work, "rep long, links long, root long"), "linked")
     joined = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of_rep = linked.groupBy("rep").agg(F.sum("links").alias("links")).join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     of_print = reps.select("print", F.col("id").alias("rep"), "size").join(of_rep, "rep", "left")
-    result = once.select("id", F.col("print")).join(of_print, "print", "left")
+    # Texts without words have no print; they take no part in the join, where they would meet in one task.
+    result = once.where("print is not null").select("id", "print").join(of_print, "print", "left")
     result = result.select(F.col("id").alias(id_col), F.coalesce("root", "rep", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("size") - 1, F.lit(0))).alias("n_links"), F.coalesce("rep", "id").alias("copy_id"))
-    null = F.lit(None).cast("long")
-    return result.unionByName(table.where("id is null").select(F.col("id").alias(id_col), null.alias("class_id"), F.lit(0).cast("long").alias("n_links"), null.alias("copy_id")))
+    null, zero = F.lit(None).cast("long"), F.lit(0).cast("long").alias("n_links")
+    alone = once.where("print is null").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), zero, F.col("id").alias("copy_id"))
+    return result.unionByName(alone).unionByName(table.where("id is null").select(F.col("id").alias(id_col), null.alias("class_id"), zero, null.alias("copy_id")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

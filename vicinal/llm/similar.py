@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 512
+BLOCK = 256
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> np.ndarray:
