@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.llm import shared
 from vicinal.llm.textcore import arrow_batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -298,7 +299,7 @@ def train(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col:
 
     import pickle
 
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).orderBy(F.xxhash64("i"), "i").limit(sample).select("t")
+    rows = shared.sample(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", sample).select("t")
     return fit([g for row in rows.mapInArrow(nodes, "graphs binary").collect() for g in pickle.loads(row[0])])
 
 
