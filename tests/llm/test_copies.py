@@ -97,3 +97,12 @@ def test_components_of_a_path(spark, n):
     edges = [(k + 1, k) for k in range(n)] + [(100, 101), (101, 100), (7777, 7777), (200, 201), (202, 201)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{k: 0 for k in range(1, n + 1)}, 101: 100, 201: 200, 202: 200}
+
+
+def test_sample_is_the_same_at_every_run(spark):
+    from vicinal.llm import shared
+
+    rows = spark.range(5000).repartition(7)
+    a, b = (sorted(r[0] for r in shared.sample(x, "id", 100).collect()) for x in (rows, rows.repartition(3)))
+    assert a == b and len(a) == 100
+    assert shared.sample(rows.limit(20), "id", 100).count() == 20 and shared.sample(rows.limit(0), "id", 100).count() == 0
