@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.llm import shared
 from vicinal.llm.textcore import U, Words, arrow_batches, blocks
 
 #: Features are words and their first bytes, as many as these.
@@ -52,12 +53,20 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(found), np.concatenate(owner)
 
 
+def binary_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls and the offsets of its values."""
+    wide = pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
+
+
 def is_held_out(doc_id: Column, folds: int = 5) -> Column:
     """Rows from which no label is learned: crc32 of the id as text is a multiple of ``folds``; not null ids."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 10000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", steps: int = 400, least_z: float | None = None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 10000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", steps: int = 400, least_z: float | None = None) -> Model:
     """Fits a model on bounded samples: ``positives`` toxic and ``unlabelled`` other rows at most, the first by a hash of their ids.
 
     Labels and texts of held-out ids are not used.  The class prior is the share of
@@ -68,9 +77,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(~is_held_out(F.col("id")))
     counts = known.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     prior = min(0.5, max(0.005, (counts["p"] or 0) / counts["n"])) if counts["n"] else 0.05
-    order = (F.xxhash64("id"), F.col("id"))
-    toxic = known.where("y = 1").select("id").distinct().orderBy(*order).limit(positives).select("id", F.lit(1).alias("kind"))
-    others = docs.select(F.col(id_col).alias("id")).where("id is not null").where(~is_held_out(F.col("id"))).distinct().orderBy(*order).limit(unlabelled).select("id", F.lit(0).alias("kind"))
+    toxic = shared.sample(known.where("y = 1").select("id").distinct(), "id", positives, counts["p"] or 0).select("id", F.lit(1).alias("kind"))
+    free = docs.select(F.col(id_col).alias("id")).where("id is not null").where(~is_held_out(F.col("id")))
+    others = shared.sample(free, "id", unlabelled).distinct().select("id", F.lit(0).alias("kind"))
     chosen = toxic.unionByName(others)  # bounded by the two parameters
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +94,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("kind", "text")
     table = rows.mapInArrow(run, "kind int, own binary").toArrow()
     y = table.column(0).to_numpy().astype(np.float32)
-    own = [np.frombuffer(x, "<u4") for x in table.column(1).to_pylist()]
+    own = []  # views of the table's memory, not copies
+    for part in table.column(1).chunks:
+        data, at = binary_bytes(part)
+        own += [data[x:y].view("<u4") for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     return fit(own, y, prior, steps, least_z)
 
 
@@ -103,8 +115,9 @@ def fit(own: list[np.ndarray], y: np.ndarray, prior: float, steps: int = 400, le
     if not n_p or not n_u:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), base)
     least_z = 5.0 + 3.0 * min(1.0, n_p / 1500) if least_z is None else least_z
-    seen_p = np.bincount(np.concatenate([x for x, k in zip(own, y, strict=True) if k]), minlength=1 << BITS)
-    seen_u = np.bincount(np.concatenate([x for x, k in zip(own, y, strict=True) if not k]), minlength=1 << BITS)
+    seen_p, seen_u = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for x, k in zip(own, y.tolist(), strict=True):
+        (seen_p if k else seen_u)[x] += 1  # a document has each feature once
     share = (seen_p + seen_u) / (n_p + n_u)
     z = (seen_p / n_p - seen_u / n_u) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n_p + 1 / n_u))
     # Significantly more frequent among positives, and of the unlabelled documents with the
