@@ -126,3 +126,12 @@ def test_training(rows):
     assert len(ix.train_codebook(refs, 2, 8, rounds=3).centres) == 2
     a, b = (sorted(r[0] for r in ix.sampled(refs, 40).select("ref_id").collect()) for _ in range(2))
     assert a == b and len(a) == 40
+
+
+@pytest.mark.parametrize("name", ["ivf_search_trained", "rerank_exact_trained"])
+def test_trained_searches_find_the_neighbours(spark, sf_dir, name):
+    from vicinal.plans.queries import QUERIES
+
+    exact = {(r.q_id, r.ref_id) for r in QUERIES["knn_exact_embeddings"](spark, sf_dir).collect()}
+    found = {(r.q_id, r.ref_id) for r in QUERIES[name](spark, sf_dir).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
