@@ -51,6 +51,20 @@ def test_stored_ids(spark, sf_dir):
     assert not found
 
 
+def test_stored_ids_of_added_tokens(spark, tmp_path):
+    from vicinal.llm.queries import QUERIES
+
+    texts = [*ODD, "end<|endoftext|>start", "<|endoftext|><|endoftext|> é", "<|endoftext|", "日本<|endoftext|>  x", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(JSON)
+    found = {r.doc_id: r for r in QUERIES["op4_token_ids"](spark, f"file://{tmp_path}").collect()}
+    at = 0
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        assert (found[i].start, found[i].n_tokens, found[i].ids_crc32) == (at, len(ids), crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_stored_ids_of_odd_rows(spark):
     rows = spark.createDataFrame([(None, "a"), (2, "b"), (2, "b"), (1, None)], "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS part")
     assert [(r.doc_id, r.start, r.n_tokens) for r in sorted(dac.stored_ids(rows, JSON).collect(), key=lambda r: r.start)] == [(None, 0, 2), (1, 2, 1), (2, 3, 2), (2, 5, 2)]

@@ -19,6 +19,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,7 +133,22 @@ def _system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 0, ids_per_file: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _ids(texts: pa.Array, memo: Memo, encoder: LibraryEncoder, pattern: str, added_tokens: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row, and the number of ids before each; with added_tokens, texts that hold one go whole to the library."""
+    whole = np.zeros(len(texts), bool)
+    for content in encoder.added if added_tokens else ():
+        whole |= pc.fill_null(pc.match_substring(texts, content), False).to_numpy(zero_copy_only=False)
+    if not whole.any():
+        return memo.batch(Pieces(texts, pattern))
+    ids, first = memo.batch(Pieces(pc.if_else(pa.array(whole), pa.scalar(None, texts.type), texts), pattern))
+    at = np.flatnonzero(whole)
+    found = [np.array(encoder.with_added(texts[i].as_py()), ids.dtype) for i in at.tolist()]
+    size = np.zeros(len(texts), np.int64)
+    size[at] = [len(f) for f in found]
+    return np.insert(ids, np.repeat(first[:-1], size), np.concatenate(found)), first + np.concatenate([[0], np.cumsum(size)])
+
+
+def write(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 0, ids_per_file: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Encodes every text, adds ``end_id`` to each and writes files of ids under ``uri`` in ascending order of id_col.
 
     Returns the list of files (part, seq, path, base, n_docs, n_ids), kept as a
@@ -141,7 +157,9 @@ def write(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 0, ids_per_fi
     has only files of attempts that ended well, so a lost executor leaves no
     half file behind in it.  A null text is empty; null ids come first and are
     written as the least integer; rows with equal ids keep the order of their
-    texts.  An empty table gives no files.
+    texts.  An empty table gives no files.  added_tokens: added tokens of the
+    tokenizer in a text get their own ids, as by the library's defaults; else they
+    are text like any other.
     """
     arrow_batches(docs.sparkSession)
 
@@ -150,7 +168,8 @@ def write(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 0, ids_per_fi
         system.create_dir(root, recursive=True)
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        memo = Memo(LibraryEncoder(tokenizer))
+        encoder = LibraryEncoder(tokenizer)
+        memo = Memo(encoder)
         from public_tokenizers import PATTERN
 
         names: list[np.ndarray] = []
@@ -172,7 +191,7 @@ def write(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 0, ids_per_fi
         for batch in batches:
             own = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b, _, _ in blocks(batch.column(1)):
-                ids, first = memo.batch(Pieces(batch.column(1).slice(a, b - a), PATTERN))
+                ids, first = _ids(batch.column(1).slice(a, b - a), memo, encoder, PATTERN, added_tokens)
                 names.append(own[a:b])
                 found.append(np.insert(ids, first[1:], end_id))
                 sizes.append(np.diff(first) + 1)
@@ -219,7 +238,7 @@ def read(files: DataFrame, uri: str) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def stored_ids(docs: DataFrame, tokenizer: str, uri: str | None = None, end_id: int = 0) -> DataFrame:
+def stored_ids(docs: DataFrame, tokenizer: str, uri: str | None = None, end_id: int = 0, added_tokens: bool = False) -> DataFrame:
     """Writes the ids of every document and reads them back; see ``write`` and ``read``."""
     uri = uri or shared.place(docs.sparkSession, "ids")
-    return read(write(docs, tokenizer, uri, end_id), uri)
+    return read(write(docs, tokenizer, uri, end_id, added_tokens=added_tokens), uri)

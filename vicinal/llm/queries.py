@@ -43,7 +43,7 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from vicinal.llm.dac import stored_ids
 
-    return stored_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return stored_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
