@@ -85,6 +85,13 @@ def test_lines_of_odd_rows(spark):
     assert line_dedup.remove(df.limit(0)).count() == 0
 
 
+def test_short_lines(spark):
+    rows = [(1, "Les.\na b c d e\n"), (2, "les\na b\n\n!!"), (3, "A b.\na b c\na b c d"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {(r.doc, r.line) for r in line_dedup.repeats(df, whole=True).collect()} == {(2, 0), (3, 0)}
+    assert line_dedup.repeats(df).count() == 0
+
+
 def test_very_long_text(spark):
     long = " ".join(f"w{k}" for k in range(200_000))
     df = spark.createDataFrame([(1, long), (2, long + " more"), (3, "x" * 500_000)], "doc_id long, text string")

@@ -42,7 +42,7 @@ def node_of(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
 class Lines:
     """The lines of texts: ``doc`` (index of the text), ``number`` in it, and their tokens with the line of each."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int, whole: bool = False) -> None:
         breaks = np.flatnonzero(data == 10) + 1
         begin = np.concatenate([offsets[:-1], breaks])
         owner = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks - 1, "right") - 1])
@@ -51,7 +51,7 @@ class Lines:
         first = np.searchsorted(self.doc, np.arange(len(offsets) - 1))
         self.number = np.arange(len(begin)) - first[self.doc]
         cuts = np.append(begin, len(data))
-        self.token, self.line = shingles(Words(data, cuts), width, whole=False)
+        self.token, self.line = shingles(Words(data, cuts), width, whole)
 
 
 def _ranked(lines: Lines, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,14 +102,14 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).fill_null(NULL).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def rarity(rows: DataFrame, width: int) -> np.ndarray:
+def rarity(rows: DataFrame, width: int, whole: bool = False) -> np.ndarray:
     """For each place of the table a code that grows with the logarithm of the tokens counted there, over all documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(RARITY, np.int64)
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(1)):
-                total += np.bincount((Lines(data, offsets, width).token >> U(48)).astype(np.int64), minlength=RARITY)
+                total += np.bincount((Lines(data, offsets, width, whole).token >> U(48)).astype(np.int64), minlength=RARITY)
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own])], ["place", "n"])
 
@@ -119,7 +119,7 @@ def rarity(rows: DataFrame, width: int) -> np.ndarray:
     return codes
 
 
-def _entries(rows: DataFrame, codes: np.ndarray, width: int, threshold: Fraction, bins: int) -> DataFrame:
+def _entries(rows: DataFrame, codes: np.ndarray, width: int, threshold: Fraction, bins: int, whole: bool = False) -> DataFrame:
     """bin, gone and packed: entries of prefixes, and lines that go as an equal one stands before them in the batch."""
     sent = rows.sparkSession.sparkContext.broadcast(codes)  # 64 KB
 
@@ -127,7 +127,7 @@ def _entries(rows: DataFrame, codes: np.ndarray, width: int, threshold: Fraction
         for batch in batches:
             ids = _ids(batch)
             for a, _, data, offsets in blocks(batch.column(1)):
-                lines = Lines(data, offsets, width)
+                lines = Lines(data, offsets, width, whole)
                 key, line, place, size = _ranked(lines, sent.value)
                 if not len(key):
                     continue
@@ -249,7 +249,7 @@ def _met(entries: DataFrame, threshold: Fraction) -> DataFrame:
     return dealt.mapInArrow(run, "gone boolean, run long, node long, doc long, line long")
 
 
-def _sets(rows: DataFrame, wanted: bloom.Blocked, width: int) -> DataFrame:
+def _sets(rows: DataFrame, wanted: bloom.Blocked, width: int, whole: bool = False) -> DataFrame:
     """node, doc, line and set of tokens of the lines that the filter may hold."""
     sent = rows.sparkSession.sparkContext.broadcast(wanted)  # 16 MB at most
 
@@ -257,7 +257,7 @@ def _sets(rows: DataFrame, wanted: bloom.Blocked, width: int) -> DataFrame:
         for batch in batches:
             ids = _ids(batch)
             for a, _, data, offsets in blocks(batch.column(1)):
-                lines = Lines(data, offsets, width)
+                lines = Lines(data, offsets, width, whole)
                 doc = ids[a + lines.doc]
                 node = node_of(doc, lines.number)
                 hit = np.flatnonzero(sent.value.contains(node))
@@ -270,23 +270,24 @@ def _sets(rows: DataFrame, wanted: bloom.Blocked, width: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, doc long, line long, set binary")
 
 
-def repeats(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """doc and line (from 0) of every line that has a similar one before it, by document id, then line.
 
-    Lines of fewer than ``width`` words are never similar to others.
+    Lines of fewer than ``width`` words are never similar to others, or with
+    ``whole`` have one run of all their words.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     exact = Fraction(str(threshold))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     bins = int(min(1 << 16, max(64, shared.size_of(docs) >> 22)))
-    met = shared.cut(_met(_entries(rows, rarity(rows, width), width, exact, bins), exact), "met")
+    met = shared.cut(_met(_entries(rows, rarity(rows, width, whole), width, exact, bins, whole), exact), "met")
 
     runs = met.where("not gone").select("run", "node", "doc", "line").distinct()
     # Who meets whom is settled before the tokens are fetched, so these move but twice.
     met_in = shared.cut(similar.units(runs, "run", ["doc", "line"]), "units")
     wanted = bloom.build(met_in.select("node").distinct(), F.col("node"), met_in.count())
-    members = met_in.join(_sets(rows, wanted, width), ["node", "doc", "line"])
+    members = met_in.join(_sets(rows, wanted, width, whole), ["node", "doc", "line"])
 
     def work(held: dict[str, list], same: bool) -> pa.RecordBatch | None:
         # Rows of one id give a line several times.
@@ -310,18 +311,19 @@ def repeats(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str
     return met.where("gone").select("doc", "line").unionByName(close)
 
 
-def remove(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """docs with text_col without its repeated lines, and n_lines, n_removed after its other columns.
 
     A line is what stands between line ends; it goes if a line before it, in order
     of id_col (null first) and line, has a set of ``width``-word runs with a Jaccard
-    similarity of ``threshold`` or more.  Shorter lines stay.  Null texts stay null
+    similarity of ``threshold`` or more.  Shorter lines stay; with ``whole`` one of 1
+    word or more has one run of all its words.  Null texts stay null
     and have no lines; rows of one id count as one document, whose lines go from
     each of them; an empty table gives no rows; columns named like the two that
     are added are replaced.
     """
     arrow_batches(docs.sparkSession)
-    gone = repeats(docs, width, threshold, id_col, text_col)
+    gone = repeats(docs, width, threshold, id_col, text_col, whole)
     gone = gone.groupBy("doc").agg(F.collect_set("line").alias("lines"))  # as many as one document has
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     at = columns.index(text_col)

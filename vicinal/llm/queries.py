@@ -29,11 +29,21 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, removed lines, and length and hash of what is left of every document."""
-    from pyspark.sql import functions as F
+    from vicinal.llm import line_dedup
+
+    return _lines_left(line_dedup.remove(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
 
+def op3_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with lines of 1 to 4 words, which are units of all their words."""
     from vicinal.llm import line_dedup
 
-    found = line_dedup.remove(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _lines_left(line_dedup.remove(_table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True))
+
+
+def _lines_left(found: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+
     return found.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -139,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_ngram_join": op2_ngram_join,
     "op3_line_dedup": op3_line_dedup,
+    "op3_line_dedup_short": op3_line_dedup_short,
     "op4_token_ids": op4_token_ids,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_decontamination": op7_decontamination,
@@ -151,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_ngram_join": sql.NGRAM_JOIN,
     "op3_line_dedup": sql.LINE_DEDUP,
+    "op3_line_dedup_short": sql.LINE_DEDUP_SHORT,
     "op6_quality": sql.QUALITY,
     "op7_decontamination": sql.DECONTAMINATION,
     "op8_urls": OP8_SQL,

@@ -45,6 +45,9 @@ left_over AS (SELECT doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, co
 SELECT doc_id, n_lines, n_removed, CAST(length(rest) AS BIGINT) AS n_chars, sha256(rest) AS text_sha256 FROM left_over
 """
 
+#: Lines of 1 to 4 words have one window of all their words.
+LINE_DEDUP_SHORT = LINE_DEDUP.replace(_windows(False), _windows(True))
+
 DECONTAMINATION = f"""
 WITH docs AS (SELECT doc_id, {_words('text')} AS w FROM documents),
 items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words('text')} AS w FROM benchmark),
