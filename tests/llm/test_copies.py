@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm import brute
@@ -92,6 +93,14 @@ def test_short_lines(spark):
     assert line_dedup.repeats(df).count() == 0
 
 
+def test_lines_that_share_a_short_print_differ(spark, monkeypatch):
+    # 32 bits of the prints of each pair were equal, and so are size and first token with this order of tokens.
+    monkeypatch.setattr(line_dedup, "rarity", lambda *_: np.zeros(line_dedup.RARITY, np.uint8))
+    pairs = [(183401, 391528), (341231, 358205), (128467, 187416), (720494, 724654)]
+    rows = [(k, f"t1419 b c d e x{n}") for k, n in enumerate(n for p in pairs for n in p)]
+    assert line_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows), "doc_id")).count() == 0
+
+
 def test_very_long_text(spark):
     long = " ".join(f"w{k}" for k in range(200_000))
     df = spark.createDataFrame([(1, long), (2, long + " more"), (3, "x" * 500_000)], "doc_id long, text string")

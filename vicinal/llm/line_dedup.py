@@ -54,28 +54,28 @@ class Lines:
         self.token, self.line = shingles(Words(data, cuts), width, whole)
 
 
-def _ranked(lines: Lines, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all lines without repeats, rare ones first: key, line, place in the line, and the size of each line.
+def _ranked(lines: Lines, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all lines without repeats, rare ones first: key, line, place in the line, the size of each line, and the tokens.
 
     A key is the rarity (8 bits) and 40 bits of the hash: the order of keys is the
     order of tokens, and keys are equal for equal tokens.
     """
     key = codes[(lines.token >> U(48)).astype(np.int64)].astype(np.uint64) << U(40) | (lines.token & U((1 << 40) - 1))
     order = np.lexsort((key, lines.line))
-    key, line = key[order], lines.line[order]
+    key, line, token = key[order], lines.line[order], lines.token[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-    key, line = key[new], line[new]
+    key, line, token = key[new], line[new], token[new]
     size = np.bincount(line, minlength=len(lines.doc))
     place = np.arange(len(line)) - (np.cumsum(size) - size)[line]
-    return key, line, place, size
+    return key, line, place, size, token
 
 
-def _prints(key: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the set of tokens of each line."""
+def _prints(token: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the set of tokens of each line, 64 bits of 64-bit tokens: it alone says that two lines are equal."""
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        np.add.at(out, line, mix(key + U(0x51ED270B)))
+        np.add.at(out, line, mix(token + U(0x51ED270B)))
     return out
 
 
@@ -85,7 +85,7 @@ def _pack(columns: list[np.ndarray], types: tuple[str, ...]) -> bytes:
 
 
 #: Key, document, line, print, size and place of an entry; lines that go have but document and line.
-_TYPES = ("<u8", "<i8", "<u4", "<u4", "<u4", "<u4")
+_TYPES = ("<u8", "<i8", "<u4", "<u8", "<u4", "<u4")
 _GONE = ("<i8", "<u4")
 
 
@@ -128,11 +128,11 @@ def _entries(rows: DataFrame, codes: np.ndarray, width: int, threshold: Fraction
             ids = _ids(batch)
             for a, _, data, offsets in blocks(batch.column(1)):
                 lines = Lines(data, offsets, width, whole)
-                key, line, place, size = _ranked(lines, sent.value)
+                key, line, place, size, token = _ranked(lines, sent.value)
                 if not len(key):
                     continue
                 doc = ids[a + lines.doc]
-                prints = _prints(key, line, len(size))
+                prints = _prints(token, line, len(size))
                 full = np.flatnonzero(size)
                 by = full[np.lexsort((lines.number[full], doc[full], prints[full]))]
                 same = np.zeros(len(by), bool)
@@ -153,12 +153,11 @@ def _entries(rows: DataFrame, codes: np.ndarray, width: int, threshold: Fraction
                 where = (mix(k) % U(bins)).astype(np.int64)
                 order = np.lexsort((k, where))
                 cut = np.flatnonzero(np.diff(where[order], prepend=-1))
-                short = prints & U(0xFFFFFFFF)
                 for x, y in zip(cut.tolist(), np.append(cut[1:], len(order)).tolist(), strict=True):
                     o = order[x:y]
                     out_bin.append(int(where[o[0]]))
                     out_gone.append(False)
-                    out.append(_pack([k[o], doc[ln[o]], lines.number[ln[o]], short[ln[o]], size[ln[o]], p[o]], _TYPES))
+                    out.append(_pack([k[o], doc[ln[o]], lines.number[ln[o]], prints[ln[o]], size[ln[o]], p[o]], _TYPES))
                 yield pa.RecordBatch.from_arrays([pa.array(out_bin, pa.int32()), pa.array(out_gone), pa.array(out, pa.binary())], ["bin", "gone", "packed"])
 
     return rows.mapInArrow(run, "bin int, gone boolean, packed binary")
@@ -200,11 +199,11 @@ def _met(entries: DataFrame, threshold: Fraction) -> DataFrame:
         many = np.zeros(len(key), bool)
         many[1:] = key[1:] == key[:-1]
         many[:-1] |= many[1:]
-        key, doc, line, short, size, place = (c[by[many]] for c in columns)
-        order = np.lexsort((line, doc, short, place, size, key))
-        key, doc, line, short, size, place = (c[order] for c in (key, doc, line, short, size.astype(np.int64), place.astype(np.int64)))
+        key, doc, line, prints, size, place = (c[by[many]] for c in columns)
+        order = np.lexsort((line, doc, prints, place, size, key))
+        key, doc, line, prints, size, place = (c[order] for c in (key, doc, line, prints, size.astype(np.int64), place.astype(np.int64)))
         same = np.zeros(len(key), bool)
-        same[1:] = (key[1:] == key[:-1]) & (size[1:] == size[:-1]) & (place[1:] == place[:-1]) & (short[1:] == short[:-1])
+        same[1:] = (key[1:] == key[:-1]) & (size[1:] == size[:-1]) & (place[1:] == place[:-1]) & (prints[1:] == prints[:-1])
         if same.any():
             head = np.maximum.accumulate(np.where(~same, np.arange(len(key)), 0))
             go = np.flatnonzero(same & (place == 0) & ((doc != doc[head]) | (line != line[head])))
