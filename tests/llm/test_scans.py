@@ -158,6 +158,14 @@ def test_quality(spark, sf_dir):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_windows_of_long_texts_that_share_hash_bits(spark):
+    # The hashes of each pair's windows with "b c" after them agree in their first 40 bits.
+    pairs = [(3430799, 3824771), (1898839, 2725380), (621688, 521414), (193556, 983136)]
+    text = " ".join([*(f"w{k}" for k in range(70_000)), *(f"a{x} b c y{x}" for p in pairs for x in p)])
+    df = spark.createDataFrame([(1, text, "en"), (2, text + " w5 w6 w7", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.n_repeat_words for r in quality.judge(df).collect()} == {1: 0, 2: 6}
+
+
 def test_quality_rejects_what_is_unlike_its_language(spark):
     prose = "The sun was up and the wind of the sea came in to the town that is on the hill for a day and it was warm. "
     rows = [(k, prose.replace("sun", f"sun{k}") + " ".join(f"{chr(97 + (k + j) % 26)}o{chr(97 + j % 26)}d{chr(97 + j // 26)}" for j in range(60)), "en") for k in range(40)] + [(99, " ".join(f"{k}%$#{k * 7}|" for k in range(80)), "en")]

@@ -36,24 +36,23 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     lists = F.create_map(*(x for k, v in COMMON.items() for x in (F.lit(k), F.array(*(F.lit(f" {w} ") for w in v)))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", key.alias("key"), "text", F.array_remove(F.split("text", SPACES), "").alias("words"))
-    # A three-word window is a hash with the place in its low bits, so sorting brings equal windows together.
-    rows = rows.withColumn("bits", F.when(F.size("words") < 65536, 16).otherwise(24))
-    window = "(xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)) & shiftleft(-1L, bits)) | cast(i as bigint)"
+    # A three-word window is a 64-bit hash and its place, so sorting brings equal windows together.
+    window = "struct(xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)) as h, cast(i as bigint) as p)"
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     chars = F.length("text").cast("long")
     rows = rows.select(
-        "id", "key", "bits", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "id", "key", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         lines.alias("lines"), F.sort_array(F.expr(f"transform(if(size(words) < 3, cast(array() as array<int>), sequence(0, size(words) - 3)), i -> {window})")).alias("windows"),
         F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" ")).alias("spaced"), chars.alias("chars"), F.octet_length("text").cast("long").alias("bytes"),
         _left(F.col("text"), r"[^#*$%&|<>]+").alias("symbol"), _left(F.col("text"), r"[^A-Z]+").alias("upper"), _left(F.col("text"), r"[^0-9]+").alias("digit"), _left(F.col("text"), r"""[^.,;:!?'"()-]+""").alias("mark"),
     )
-    same = "shiftright(v ^ get(windows, {}), bits) = 0"
+    same = "v.h = get(windows, {}).h"
     twice = F.expr(f"filter(windows, (v, i) -> coalesce({same.format('i - 1')}, false) or coalesce({same.format('i + 1')}, false))")
     lowered = F.lower("spaced")
     common = F.array(*(F.expr(f"coalesce((octet_length(low) - octet_length(replace(low, get(common, {k}), ''))) div octet_length(get(common, {k})), 0L)") for k in range(N_COMMON)))
     rows = rows.select(
         "id", "key", "n_words", "word_chars", F.col("symbol").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(F.transform(twice, lambda v: v.bitwiseAND(F.expr("shiftleft(1L, bits) - 1")))).alias("places"),
+        F.sort_array(F.transform(twice, lambda v: v["p"])).alias("places"),
         F.array(F.greatest(F.lit(0), F.expr("word_chars - symbol - upper - digit - mark - (bytes - chars)")), "upper", "digit", F.expr("chars - word_chars"), "mark", "symbol", F.expr("bytes - chars")).alias("by_class"),
         lowered.alias("low"), F.try_element_at(lists, F.col("key")).alias("common"),
     )
