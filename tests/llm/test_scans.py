@@ -158,6 +158,13 @@ def test_quality(spark, sf_dir):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_secrets_in_subscripts_and_with_signs():
+    hidden = ["Xk29vLq8Zr", "q7Rt0pLw93", "$2b$12$KIXQm0r5zv8LhE1yT9uWbe", "postgres://app:x9Kq2mZ7@db/main"]
+    source = f"""config["db_password"] = "{hidden[0]}"\nos.environ['SECRET_KEY'] = '{hidden[1]}'\nuser_password = "{hidden[2]}"\ndb_secret = "{hidden[3]}"\n"""
+    source += """a_password = "${DB_PASSWORD}"\nb_password = "{{ vault_pw }}"\nc_password = "%(password)s"\nd_password = "<your-password>"\ne_token = "https://host/path/x9"\nx["id"] = "Zk38vMq9Lr"\nlist["k"]\n"""
+    assert {source[a:b] for a, b, score in secrets.scored(source) if score >= 3} == set(hidden)
+
+
 def test_windows_of_long_texts_that_share_hash_bits(spark):
     # The hashes of each pair's windows with "b c" after them agree in their first 40 bits.
     pairs = [(3430799, 3824771), (1898839, 2725380), (621688, 521414), (193556, 983136)]

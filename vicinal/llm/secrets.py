@@ -2,8 +2,8 @@
 
 Patterns give the base spans.  Besides, the text is lexed into names, strings,
 bare values and operators, and statements of the form ``name = value``,
-``name: value``, ``"name": value``, ``name := value`` and ``name => value`` are
-read as pairs of a name and an expression of literals and other names, joined
+``name: value``, ``"name": value``, ``name := value``, ``name => value`` and
+``a["name"] = value`` are read as pairs of a name and an expression of literals and other names, joined
 by ``+``.  Names in an expression stand for what they were assigned, so a
 literal is scored under every name that it reaches.  A literal whose best score,
 from the words of the target name and from its own signs, reaches ``least``
@@ -52,6 +52,9 @@ _LEXEME = re.compile(
 _NAME = re.compile(r"[A-Za-z_$@-][\w$.@/-]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _SETS = {"=", ":", ":=", "=>"}
+#: Literals that a template or a variable gives, and URLs without a password.
+_TEMPLATE = re.compile(r"\$\{[^}]*\}|\$\(|\$[A-Za-z_]\w*$|\{\{|\{\w*\}|%\(\w+\)|%\w+%?$|<[^<>]*>|\*+$")
+_URL = re.compile(r"://(?![^/?#\s]*:[^/?#\s]+@)")
 
 
 def base_spans(text: str) -> list[list[tuple[int, int]]]:
@@ -78,6 +81,8 @@ Operand = tuple[str, str, int, int]
 def assignments(text: str) -> list[tuple[str, int, list[Operand]]]:
     """Target names, where each stands, and the operands of what is assigned."""
     lexed = list(lex(text))
+    if "]" in text:  # a["name"] = value: the name stands before the operator without the bracket
+        lexed = [x for k, x in enumerate(lexed) if x[:2] != ("op", "]") or k < 2 or k + 1 == len(lexed) or (lexed[k - 2][:2], lexed[k - 1][0], lexed[k + 1][:2]) != (("op", "["), "string", ("op", "="))]
     out = []
     k, n = 0, len(lexed)
     while k + 1 < n:
@@ -118,7 +123,7 @@ def sensitivity(name: str) -> float:
 def looks_secret(literal: str) -> float:
     """How much the signs of a literal say: bits of entropy, classes of signs, length; far below 0 for placeholders."""
     n = len(literal)
-    if n < 6 or literal.lower() in PLACEHOLDERS or re.search(r"\s|^[<$%{*]|^\.+$|://", literal) or len(set(literal)) < 4:
+    if n < 6 or literal.lower() in PLACEHOLDERS or re.search(r"\s|^\.+$", literal) or _TEMPLATE.match(literal) or _URL.search(literal) or len(set(literal)) < 4:
         return -9.0
     bits = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
     classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
