@@ -117,6 +117,42 @@ def test_contamination_of_odd_rows(spark, window):
     assert suffix_arrays.find(df.limit(0), bench).count() == 0
 
 
+def test_contamination_by_many_blocks(spark, sf_dir, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    items = items.unionByName(items.where("item_id % 3 = 0"))  # repeated item ids
+    want = sorted(map(tuple, suffix_arrays.find(docs, items).collect()), key=repr)
+    monkeypatch.setattr(suffix_arrays, "ITEM_BLOCK", sum(len(r.text) for r in items.collect()) // 4)
+    assert len(list(suffix_arrays.item_blocks(items, 10, "item_id", "text"))) >= 4
+    assert sorted(map(tuple, suffix_arrays.find(docs, items).collect()), key=repr) == want
+
+
+def test_longest_match_of_each_document(spark):
+    docs = [(1, "p q r s t u v"), (2, "z q r s t v q r s"), (3, "a"), (4, None), (5, "q r s x y"), (None, "u v")]
+    items = [(5, "q r s t u w x"), (None, "x y"), (6, "u v"), (6, "t u v")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = suffix_arrays.find(df, spark.createDataFrame(items, "item_id long, text string"), window=3)
+    got = {r.doc_id: (r.n_hit, r.items, r.longest, r.longest_item, r.longest_item_word, r.longest_doc_word) for r in found.collect()}
+    assert got == {
+        1: (6, ["5", "6"], 5, "5", 0, 1), 2: (7, ["5"], 4, "5", 0, 1), 3: (0, [], 0, None, None, None), 4: (0, [], 0, None, None, None),
+        5: (5, ["5"], 3, "5", 0, 0), None: (2, ["6"], 2, "6", 0, 0),
+    }
+
+
+def test_removal_keeps_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (2, "x y")], "doc_id long, text string").selectExpr("*", "1 AS n_words", "2 AS n_hit", "3 AS items", "4 AS contaminated", "5 AS `a.b`", "6 AS c0", "7 AS scanned")
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    left = suffix_arrays.remove(df, bench)
+    assert left.columns == df.columns and [tuple(r) for r in left.collect()] == [(2, "x y", 1, 2, 3, 4, 5, 6, 7)]
+
+
+def test_contamination_of_a_very_long_text(spark):
+    words = [f"w{k}" for k in range(300_000)]
+    item = [f"v{k}" for k in range(20)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:150_000] + item + words[150_000:]))]
+    found = suffix_arrays.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id: (r.n_words, r.n_hit, r.longest, r.longest_doc_word) for r in found.collect()} == {1: (300_000, 0, 0, None), 2: (300_020, 20, 20, 150_000)}
+
+
 def test_longest_matches(spark):
     docs = spark.createDataFrame([(1, "p q r s t u"), (2, "z q r s t v")], "doc_id long, text string")
     bench = spark.createDataFrame([(5, "q r s t u w x")], "item_id long, text string")

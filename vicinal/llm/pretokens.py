@@ -2,53 +2,44 @@
 
 The pattern (contractions, runs of letters, digits or other signs with one
 space before them, white space) is decided from the class of each code point and
-of its neighbours, so it can be evaluated on arrays.  Texts with code points at
-or above 0x250 go through the pattern itself, as the classes there depend on
-the Unicode version of the library that is followed.
+of its neighbours, so it can be evaluated on arrays.  Classes are those that the
+pattern's own library gives; a worker asks for them when it meets a code point
+for the first time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from vicinal.llm.textcore import U, mix
+from vicinal.llm.textcore import SPARE, U, keys, named
 
-KNOWN = 0x250
+#: Fixed value: the pattern whose split this is.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 L, N, S, O, END = range(5)
-_cls = np.full(KNOWN, O, np.uint8)
-for _c in range(KNOWN):
-    for _k, _p in ((L, r"\p{L}"), (N, r"\p{N}"), (S, r"\s")):
-        if regex.fullmatch(_p, chr(_c)):
-            _cls[_c] = _k
-_VALUE = np.random.default_rng(7).integers(1, 1 << 63, KNOWN, dtype=np.uint64)
-_BASE = 0xD6E8FEB86659FD93
-_INV = pow(_BASE, -1, 1 << 64)
+_UNKNOWN = 255
+_cls = np.full(0x110000, _UNKNOWN, np.uint8)
+_KINDS = ((regex.compile(r"\p{L}"), L), (regex.compile(r"\p{N}"), N), (regex.compile(r"\s"), S))
 
 
-def _powers(b: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.concatenate([[U(1)], np.cumprod(np.full(max(n - 1, 0), b, np.uint64))])[:n]
-
-
-_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _both(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _cache or len(_cache[0][0]) < n:
-        _cache[0] = (_powers(_BASE, n + (1 << 18)), _powers(_INV, n + (1 << 18)))
-    return _cache[0][0][:n], _cache[0][1][:n]
+def classes(points: np.ndarray) -> np.ndarray:
+    """The class of each code point."""
+    kind = _cls[points]
+    if (new := np.flatnonzero(kind == _UNKNOWN)).size:
+        for c in np.unique(points[new]).tolist():
+            _cls[c] = next((k for pattern, k in _KINDS if pattern.fullmatch(chr(c))), O)
+        kind[new] = _cls[points[new]]
+    return kind
 
 
 def starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Where pieces begin.  points: code points below KNOWN of texts, each followed by one place that ``ends`` marks."""
+    """Where pieces begin.  points: code points of texts, each followed by one place that ``ends`` marks."""
     n = len(points)
-    kind = _cls[np.minimum(points, KNOWN - 1)]
+    kind = classes(points)
     kind[ends] = END
     new = np.empty(n, bool)
     if not n:
@@ -77,66 +68,60 @@ def starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """The pieces of texts in order: their names (hashes) and strings; ``first[i]`` pieces lie before text i.
+    """The pieces of texts in order and what names them; ``first[i]`` pieces lie before text i.
 
-    A null text is empty.  Two different pieces get one name with a probability of 5e-20.
+    A null text is empty.  A piece is known by its length in bytes and two numbers
+    (``keys``): its bytes up to 16, a digest of 128 bits beyond.
     """
 
-    def __init__(self, texts: pa.Array, pattern: str) -> None:
-        texts = pc.fill_null(texts, "")
-        strings = texts.to_pylist()
-        odd = [i for i, t in enumerate(strings) if not t.isascii() and max(t) >= chr(KNOWN)]
-        slow = {i: regex.findall(pattern, strings[i]) for i in odd}
-        for i in odd:
-            strings[i] = ""
+    def __init__(self, texts: pa.Array, pattern: str = PATTERN) -> None:
+        if pattern != PATTERN:
+            raise ValueError("only the split of PATTERN is known")
+        strings = pc.fill_null(texts, "").to_pylist()
         self.joined = "\x00".join(strings) + "\x00"
-        points = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        raw = self.joined.encode("utf-8", "surrogatepass")
+        data = np.zeros(len(raw) + SPARE, np.uint8)
+        data[: len(raw)] = np.frombuffer(raw, np.uint8)
+        if len(raw) == len(self.joined):
+            points = data[: len(raw)]
+            place = None
+        else:
+            points = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+            place = np.append(np.flatnonzero(data[: len(raw)] & 0xC0 != 0x80), len(raw))  # where the bytes of each code point begin
         size = np.fromiter(map(len, strings), np.int64, len(strings))
         ends = np.cumsum(size + 1) - 1
         at = np.flatnonzero(starts(points, ends))
-        up, down = _both(len(points) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.empty(len(points) + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(_VALUE[points] * up[: len(points)], out=sums[1:])
-            to = np.append(at[1:], len(points))
-            name = mix((sums[to] - sums[at]) * down[at] + (to - at).astype(np.uint64))
+        to = np.append(at[1:], len(points))
         mark = np.searchsorted(at, ends)
         real = np.ones(len(at), bool)
         real[mark] = False
         self.first = np.concatenate([[0], mark + 1 - np.arange(1, len(ends) + 1)])
-        self.at, self.to, self.name = at[real], to[real], name[real]
-        self.extra: list[str] = []
-        for i in odd:
-            self._insert(i, slow[i])
-
-    def _insert(self, i: int, pieces: list[str]) -> None:
-        """Puts the pieces of a text that was split by the pattern in its place."""
-        where = np.full(len(pieces), self.first[i])
-        self.at = np.insert(self.at, where, -1 - np.arange(len(self.extra), len(self.extra) + len(pieces)))
-        self.to = np.insert(self.to, where, 0)
-        self.name = np.insert(self.name, where, np.array([int.from_bytes(blake2b(p.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for p in pieces], np.uint64))
-        self.extra += pieces
-        self.first[i + 1 :] += len(pieces)
+        self.at, self.to = at[real], to[real]
+        begin, end = (self.at, self.to) if place is None else (place[self.at], place[self.to])
+        self.size = end - begin
+        self.a, self.b = keys(data, begin, self.size)
+        self.name = named(self.a, self.b, self.size)
 
     def strings(self, which: np.ndarray) -> list[str]:
-        return [self.joined[a:b] if a >= 0 else self.extra[-1 - a] for a, b in zip(self.at[which].tolist(), self.to[which].tolist(), strict=True)]
+        joined = self.joined
+        return [joined[a:b] for a, b in zip(self.at[which].tolist(), self.to[which].tolist(), strict=True)]
 
 
 class Memo:
     """Ids of pieces, kept between batches in a table of fixed size: a worker's memory is bounded.
 
-    A piece has one place; a piece that finds another there is encoded anew and takes it.
+    A piece has one place, where it is compared as a whole (see ``Pieces``); a piece
+    that finds another there is encoded anew and takes it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int = 21, most: int = 6 << 20) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int = 20, most: int = 6 << 20) -> None:
         self.encode, self.bits, self.most = encode, bits, most
         self.clear()
 
     def clear(self) -> None:
-        self.names = np.zeros(1 << self.bits, np.uint64)
-        self.begin = np.zeros(1 << self.bits, np.int32)
-        self.count = np.zeros(1 << self.bits, np.int32)
+        n = 1 << self.bits
+        self.a, self.b, self.size = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int32)
+        self.begin, self.count = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
@@ -152,19 +137,25 @@ class Memo:
         """The ids of all texts in a row, and the number of ids before each text."""
         if self.used > self.most:
             self.clear()
-        name = pieces.name
-        slot = (name >> U(64 - self.bits)).astype(np.int64)
+        slot = (pieces.name >> U(64 - self.bits)).astype(np.int64)
         begin, count = self.begin[slot], self.count[slot]
-        miss = np.flatnonzero((self.names[slot] != name) | (count == 0))
+        miss = np.flatnonzero((self.a[slot] != pieces.a) | (self.b[slot] != pieces.b) | (self.size[slot] != pieces.size) | (count == 0))
         if miss.size:
-            new, where, back = np.unique(name[miss], return_index=True, return_inverse=True)
-            at, size, found = self.encode(pieces.strings(miss[where]))
+            a, b, size = pieces.a[miss], pieces.b[miss], pieces.size[miss]
+            order = np.lexsort((size, b, a))
+            new = np.ones(len(order), bool)
+            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (size[order][1:] != size[order][:-1])
+            back = np.empty(len(order), np.int64)
+            back[order] = np.cumsum(new) - 1
+            where = miss[order[new]]
+            at, many, found = self.encode(pieces.strings(where))
             at = at + self._add(found)
-            begin[miss], count[miss] = at[back], size[back]
-            to = (new >> U(64 - self.bits)).astype(np.int64)
-            self.names[to], self.begin[to], self.count[to] = new, at, size
-            same = self.names[to] == new  # two new pieces can have one place
-            self.begin[to[same]], self.count[to[same]] = at[same], size[same]
+            begin[miss], count[miss] = at[back], many[back]
+            # Of two new pieces with one place the last one stays.
+            to, last = np.unique(slot[where][::-1], return_index=True)
+            last = len(where) - 1 - last
+            self.a[to], self.b[to], self.size[to] = pieces.a[where[last]], pieces.b[where[last]], pieces.size[where[last]]
+            self.begin[to], self.count[to] = at[last], many[last]
         before = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
         ids = self.pool[np.repeat(begin - before[:-1], count) + np.arange(before[-1])]
         return ids, before[pieces.first]

@@ -66,11 +66,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every document shares with benchmark items, by suffix arrays."""
+    """What every document shares with benchmark items, by suffix arrays, and its longest verbatim match and where that is."""
     from vicinal.llm import suffix_arrays
 
     found = suffix_arrays.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.drop("items")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,15 +50,19 @@ LINE_DEDUP_SHORT = LINE_DEDUP.replace(_windows(False), _windows(True))
 
 DECONTAMINATION = f"""
 WITH docs AS (SELECT doc_id, {_words('text')} AS w FROM documents),
-items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words('text')} AS w FROM benchmark),
-sized AS (SELECT item, w, least(len(w), 10) AS n FROM items WHERE len(w) > 0),
-windows AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT *, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM sized)),
+items AS (SELECT row_number() OVER () AS own, CAST(item_id AS VARCHAR) AS item, {_words('text')} AS w FROM benchmark),
+sized AS (SELECT own, item, w, least(len(w), 10) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT own, item, n, i AS j, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT *, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM sized)),
 places AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, CAST(len(w) AS BIGINT) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows))),
-found AS (SELECT doc_id, i, n, item FROM places JOIN windows USING (n, g)),
+found AS (SELECT doc_id, i, j, n, own, item FROM places JOIN windows USING (n, g)),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+named AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item FROM found WHERE item IS NOT NULL) GROUP BY doc_id),
+matches AS (SELECT doc_id, own, item, min(i) - 1 AS doc_word, min(j) - 1 AS item_word, count(*) - 1 + any_value(n) AS words FROM
+    (SELECT *, i - row_number() OVER (PARTITION BY doc_id, own, i - j ORDER BY i) AS island FROM found) GROUP BY doc_id, own, item, i - j, island),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, doc_word, coalesce(item, ''), item_word) AS r FROM matches) WHERE r = 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+    CAST(coalesce(words, 0) AS BIGINT) AS longest, item AS longest_item, item_word AS longest_item_word, doc_word AS longest_doc_word
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN best USING (doc_id)
 """
 
 _BY_LANGUAGE = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in COMMON.items()) + " END"

@@ -5,24 +5,24 @@ everything outside ASCII.  UTF-8 keeps the bytes of non-ASCII characters at or
 above 0x80, so the same rule holds byte by byte and the Arrow buffer of a text
 column can be read without decoding a single string.
 
-Words and word runs are named by 64-bit hashes: two texts of a corpus of 10^9
-different words share a name by accident with a probability of about 0.03, and
-a given pair of words with 5e-20.
+Words and word runs are named by 64-bit hashes.  A word of 16 bytes or fewer
+enters its hash as it is, a longer one by a digest, and both through mixing steps
+without algebraic structure, so no kind of text collides more often than another:
+a pair of different words shares a name with a probability of 5e-20, and a corpus
+of 10^9 different words has such a pair with about 0.03.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
 _rng = np.random.default_rng(20240229)
-_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _LANE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | U(1)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -30,6 +30,10 @@ LOWER[65:91] += 32
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes that arrays need behind the last word for ``keys``.
+SPARE = 16
+
 #: Texts are worked on in chunks of about so many bytes, longer texts alone.
 CHUNK = 1 << 20
 
@@ -48,21 +52,32 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U(31))
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2^64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number."""
+    return np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, CHUNK + (CHUNK >> 1))
-            with np.errstate(over="ignore"):
-                self.up, self.down = (np.concatenate([[U(1)], np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (U(_BASE), U(_INV)))
-        return self.up[:n], self.down[:n]
 
+def keys(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers of each stretch of bytes: the bytes themselves up to 16, a digest of 128 bits beyond.
 
-_powers = _Powers()
+    data: contiguous, with SPARE bytes behind the last stretch.
+    """
+    eights = _eights(data)
+    a = eights[start] & _MASK[np.minimum(size, 8)]
+    b = np.zeros(len(a), np.uint64)
+    more = np.flatnonzero(size > 8)
+    b[more] = eights[start[more] + 8] & _MASK[np.minimum(size[more] - 8, 8)]
+    if (long := np.flatnonzero(size > 16)).size:
+        whole = memoryview(data)
+        digests = b"".join(blake2b(whole[x:y], digest_size=16).digest() for x, y in zip(start[long].tolist(), (start[long] + size[long]).tolist(), strict=True))
+        a[long], b[long] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+    return a, b
+
+
+def named(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hash of a stretch of bytes from its numbers and its length."""
+    with np.errstate(over="ignore"):
+        return mix(mix(a ^ size.astype(np.uint64) * U(0x9E3779B97F4A7C15)) + (b ^ U(0x6A09E667F3BCC909)) * U(0xD1342543DE82EF95))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,35 +110,28 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> None:
         """cuts: offsets of the texts (or lines) that words are counted by; offsets if None."""
         n = len(data)
-        low = LOWER[data]
-        inside = IS_WORD[low]
+        low = np.zeros(n + SPARE, np.uint8)
+        low[:n] = LOWER[data]
+        inside = IS_WORD[low[:n]]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.empty(n, bool)
+        after = np.zeros(n, bool)
         if n:
             before[0] = False
             before[1:] = inside[:-1]
-        start = np.flatnonzero(inside & (~before | edge[:n]))
-        after = np.zeros(n, bool)
-        if n:
             after[:-1] = inside[1:]
-        end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        up, down = _powers.get(n + 1)
-        with np.errstate(over="ignore"):
-            sums = np.empty(n + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(_VALUE[low] * up[:n], out=sums[1:])
-            self.hash = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-        self.sums, self.down = sums, down
-        self.start, self.end = start, end
-        self.first = np.searchsorted(start, offsets if cuts is None else cuts)
+        self.start = np.flatnonzero(inside & (~before | edge[:n]))
+        self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        size = self.end - self.start
+        self.low = low
+        self.hash = named(*keys(low, self.start, size), size)
+        self.first = np.searchsorted(self.start, offsets if cuts is None else cuts)
 
     def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which words have more bytes than ``size``, and hashes of the first ``size`` of each."""
+        """Which words have more bytes than ``size`` (8 at most), and hashes of the first ``size`` of each."""
         which = np.flatnonzero(self.end - self.start > size)
-        at = self.start[which]
-        with np.errstate(over="ignore"):
-            return which, mix((self.sums[at + size] - self.sums[at]) * self.down[at] + U(1 << 32 | size))
+        return which, mix((_eights(self.low)[self.start[which]] & _MASK[size]) ^ U(size << 56 | 1 << 63))
 
 
 def runs(hashes: np.ndarray, width: int) -> np.ndarray:
