@@ -46,7 +46,7 @@ def classes(rows) -> dict[int, tuple[int, int]]:
 
 
 def repeated_lines(rows) -> set[tuple[int, int]]:
-    lines = [(i, n, windows(words(x), 5, False)) for i, t in sorted(rows) if t is not None for n, x in enumerate(t.split("\n"))]
+    lines = [(i, n, windows(words(x), 5, True)) for i, t in sorted(rows) if t is not None for n, x in enumerate(t.split("\n"))]
     by_window, out = defaultdict(list), set()
     for k, (i, n, own) in enumerate(lines):
         near = {j for w in own for j in by_window[w]}

@@ -78,6 +78,91 @@ def test_lines_of_tables(spark, sf_dir):
         assert (r.n_lines, r.n_removed) == (len(parts), sum(d == r.doc_id for d, _ in gone))
 
 
+def test_lines_of_rows_with_one_id_or_none(spark):
+    rows = [(1, "a b c d e f"), (3, "a b c d e f\nk1"), (3, "totally different unique line of words here\nzz"), (None, "p q r s t u\nfirst"), (None, "second\np q r s t u"), (None, "third\nother")]
+    left = sorted(((r.doc_id, r.text) for r in line_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()), key=repr)
+    kept = [t for i, t in left if i is None]
+    assert [x for x in left if x[0] is not None] == [(1, "a b c d e f"), (3, "k1"), (3, "totally different unique line of words here\nzz")]
+    assert sorted(kept) in (["first", "second\np q r s t u", "third\nother"], ["p q r s t u\nfirst", "second", "third\nother"])
+    with pytest.raises(TypeError, match="integer"):
+        line_dedup.remove(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
+
+
+def test_heaps_of_lines(spark, monkeypatch):
+    """One run of many blocks: near copies of its first line, lines that are like others only, and equal ones."""
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(45)]
+    far = base[:28] + [f"v{k}" for k in range(17)]  # shares tokens with the base, but is not like it
+
+    def near(w, n):
+        w = list(w)
+        for _ in range(n):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+        return " ".join(w)
+
+    rows = [(i, near(base if i % 3 else far, rng.randrange(3))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = brute.repeated_lines(rows)
+    assert {(r.doc, r.line) for r in line_dedup.repeats(df).collect()} == want
+    monkeypatch.setattr(line_dedup, "HOT", 0)  # all tokens as if they were too frequent for a bin
+    assert {(r.doc, r.line) for r in line_dedup.repeats(df).collect()} == want
+    monkeypatch.setattr(line_dedup, "HOT", 36)  # some of them
+    assert {(r.doc, r.line) for r in line_dedup.repeats(df).collect()} == want
+
+
+@pytest.mark.parametrize("change", [("SMALL", 1), ("SMALL", 1000), ("RECENT", 1), ("BIN", 1), ("MOST_RARITY", 1 << 20)])
+def test_sizes_inside_change_no_result(spark, sf_dir, monkeypatch, change):
+    from vicinal.llm import bloom
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 3 > 0")
+    want = brute.repeated_lines([(r.doc_id, r.text) for r in docs.collect()])
+    monkeypatch.setattr(line_dedup, *change)
+    monkeypatch.setattr(bloom, "MOST_KEYS", 1)
+    if change[0] == "MOST_RARITY":
+        monkeypatch.setattr(line_dedup, "RARITY", 1 << 20)
+    assert {(r.doc, r.line) for r in line_dedup.repeats(docs).collect()} == want
+
+
+def test_join_of_rows_with_one_id(spark):
+    t, u = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, t), (2, t), (2, None), (2, ""), (3, u), (2, u + " x"), (None, t), (2, t)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r.doc_id, r.class_id, r.n_links, r.copy_id) for r in ngram_join.join(df).collect()), key=repr)
+    assert found == sorted([(1, 1, 1, 1), (2, 1, 1, 1), (2, 2, 0, 2), (2, 2, 1, 2), (3, 2, 1, 3), (None, None, 0, None)], key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.one_of_each(df).collect()), key=repr)
+    assert kept == sorted([(1, t), (2, None), (2, ""), (2, u + " x"), (None, t)], key=repr)
+    with pytest.raises(TypeError, match="integer"):
+        ngram_join.join(df.selectExpr("string(doc_id) AS doc_id", "text"))
+
+
+def test_join_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS row", "3 AS `a.b`", "4 AS print", "5 AS k0")
+    left = ngram_join.one_of_each(df)
+    assert left.columns == df.columns and [tuple(r) for r in left.collect()] == [(1, "a b c d e f", 1, 2, 3, 4, 5)]
+
+
+def test_join_without_the_filter(spark, sf_dir, monkeypatch):
+    from vicinal.llm import bloom
+
+    monkeypatch.setattr(bloom, "MOST_KEYS", 1)
+    monkeypatch.setattr(similar, "BLOCK", 4)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = brute.classes([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(docs).collect()} == want
+
+
+def test_units_that_span_batches():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    keys = sorted(rng.choice(range(12)) for _ in range(100))
+    for cuts in ([0, 100], [0, 1, 2, 3, 50, 50, 99, 100], list(range(101))):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(range(a, b))], ["k", "v"]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        out = [rows.slice(a, b - a) for rows, begin in similar.whole_units(batches, 1) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), rows.num_rows], strict=True)]
+        assert [set(x.column(0).to_pylist()) for x in out] == [{k} for k in sorted(set(keys))] and [v for x in out for v in x.column(1).to_pylist()] == list(range(100))
+
+
 def test_lines_of_odd_rows(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f\nzz"), (3, "a b c d e f\nzz"), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS n_lines", "'y' AS doc", "'z' AS lines")
@@ -89,8 +174,8 @@ def test_lines_of_odd_rows(spark):
 def test_short_lines(spark):
     rows = [(1, "Les.\na b c d e\n"), (2, "les\na b\n\n!!"), (3, "A b.\na b c\na b c d"), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert {(r.doc, r.line) for r in line_dedup.repeats(df, whole=True).collect()} == {(2, 0), (3, 0)}
-    assert line_dedup.repeats(df).count() == 0
+    assert {(r.doc, r.line) for r in line_dedup.repeats(df).collect()} == {(2, 0), (3, 0)}
+    assert line_dedup.repeats(df, whole=False).count() == 0
 
 
 def test_lines_that_share_a_short_print_differ(spark, monkeypatch):

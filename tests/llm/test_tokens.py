@@ -40,7 +40,6 @@ def test_pieces_follow_the_pattern():
 def test_stored_ids(spark, sf_dir):
     docs = tables(spark, sf_dir)
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     found = {r.doc_id: r for r in dac.stored_ids(docs, JSON).collect()}
     at = 0
     for r in docs.orderBy("doc_id").collect():
@@ -69,6 +68,20 @@ def test_stored_ids_of_odd_rows(spark):
     rows = spark.createDataFrame([(None, "a"), (2, "b"), (2, "b"), (1, None)], "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS part")
     assert [(r.doc_id, r.start, r.n_tokens) for r in sorted(dac.stored_ids(rows, JSON).collect(), key=lambda r: r.start)] == [(None, 0, 2), (1, 2, 1), (2, 3, 2), (2, 5, 2)]
     assert dac.stored_ids(rows.limit(0), JSON).count() == 0
+    least = spark.createDataFrame([(-(1 << 63), "a b"), (None, "c")], "key long, text string")
+    assert sorted((r.start, r.key) for r in dac.stored_ids(least, JSON, id_col="key").collect()) == [(0, None), (2, -(1 << 63))]
+    with pytest.raises(TypeError, match="integer"):
+        dac.stored_ids(rows.selectExpr("cast(doc_id AS string) AS doc_id", "text"), JSON)
+
+
+def test_stored_ids_of_one_id_and_of_a_long_text(spark):
+    texts = [f"t{k}" for k in range(60)] + ["x y " * 200_000, "z" * 300_000]
+    rows = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(5)
+    t = Tokenizer.from_file(JSON)
+    want = sorted(crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for x in texts)
+    found = sorted(dac.stored_ids(rows, JSON).collect(), key=lambda r: r.start)
+    assert sorted(r.ids_crc32 for r in found) == want
+    assert [r.start for r in found] == np.concatenate([[0], np.cumsum([r.n_tokens for r in found])[:-1]]).tolist()
 
 
 def test_any_token_of_a_file():

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Blocks of 64 bytes; the filter has no more, however long the list is.
 MOST_BLOCKS = 1 << 18
 PROBES = 6
+#: Keys that a filter of that many blocks can tell apart from others.
+MOST_KEYS = MOST_BLOCKS * 512 // 12
 
 
 @dataclass

@@ -6,13 +6,17 @@ and where it stands there is the number of such bits before it.  That number is
 read from a directory (one count for 512 bits) and the bits of one block, so any
 token is reached without decoding another.
 
-A file holds documents in a row: magic, a header of fixed size, document ids,
-the places where documents begin, and for each level its chunks, bits and
-directory.  ``DacFile`` reads single tokens, documents or ranges by seeking.
+A file holds documents in a row: magic, a header of fixed size, document ids (of
+null ones, which come first, only their number counts), the places where documents
+begin, and for each level its chunks, bits and directory.  ``DacFile`` reads single
+tokens, documents or ranges by seeking.
+
+Texts are encoded where they are read, and only their ids are dealt out and sorted.
 """
 
 from __future__ import annotations
 
+import contextlib
 import struct
 from collections.abc import Iterable, Iterator
 from zlib import crc32
@@ -29,10 +33,10 @@ from vicinal.llm.library_bpe import LibraryEncoder
 from vicinal.llm.pretokens import Memo, Pieces
 from vicinal.llm.textcore import arrow_batches, blocks
 
-MAGIC = b"DACIDS01"
+MAGIC = b"DACIDS02"
 BLOCK = 512
 LEVELS = 4
-_HEAD = struct.Struct("<8sqqqi" + "q" * LEVELS + "q" * (2 + 3 * LEVELS))
+_HEAD = struct.Struct("<8sqqqqi" + "q" * LEVELS + "q" * (2 + 3 * LEVELS))
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
 
@@ -51,8 +55,8 @@ def build(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             return levels
 
 
-def to_bytes(doc_ids: np.ndarray, first: np.ndarray, ids: np.ndarray, base: int, nulls: np.ndarray | None = None) -> bytes:
-    """A file of documents; first: where each begins and the last ends; base: ids in files before it of the same part."""
+def to_bytes(doc_ids: np.ndarray, first: np.ndarray, ids: np.ndarray, base: int, n_null: int = 0) -> bytes:
+    """A file of documents; first: where each begins and the last ends; base: ids in files before it of the same part; n_null: documents without an id, the first ones."""
     levels = build(ids)
     parts = [np.ascontiguousarray(doc_ids, "<i8").tobytes(), np.ascontiguousarray(first, "<i8").tobytes()]
     for chunks, bits, ranks in levels:
@@ -63,7 +67,7 @@ def to_bytes(doc_ids: np.ndarray, first: np.ndarray, ids: np.ndarray, base: int,
         places.append(at)
         at += len(p)
     places += [at] * (2 + 3 * LEVELS - len(places))
-    return _HEAD.pack(MAGIC, len(doc_ids), len(ids), base, len(levels), *sizes, *places) + b"".join(parts)
+    return _HEAD.pack(MAGIC, len(doc_ids), n_null, len(ids), base, len(levels), *sizes, *places) + b"".join(parts)
 
 
 class DacFile:
@@ -71,7 +75,7 @@ class DacFile:
 
     def __init__(self, handle) -> None:
         self.handle = handle
-        magic, self.n_docs, self.n_ids, self.base, self.n_levels, *more = _HEAD.unpack(self._read(0, _HEAD.size))
+        magic, self.n_docs, self.n_null, self.n_ids, self.base, self.n_levels, *more = _HEAD.unpack(self._read(0, _HEAD.size))
         if magic != MAGIC:
             raise ValueError("not a file of directly addressable ids")
         self.sizes, self.places = more[:LEVELS], more[LEVELS:]
@@ -128,83 +132,120 @@ class DacFile:
 
 
 def _system(uri: str):
+    """File system and path; the names that Hadoop gives to object stores are understood too."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, mark, rest = uri.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + mark + rest)
 
 
-def _ids(texts: pa.Array, memo: Memo, encoder: LibraryEncoder, pattern: str, added_tokens: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts in a row, and the number of ids before each; with added_tokens, texts that hold one go whole to the library."""
+def _ids(texts: pa.Array, memo: Memo, encoder: LibraryEncoder) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row, and the number of ids before each; texts that hold an added token go whole to the library."""
     whole = np.zeros(len(texts), bool)
-    for content in encoder.added if added_tokens else ():
+    for content in encoder.added:
         whole |= pc.fill_null(pc.match_substring(texts, content), False).to_numpy(zero_copy_only=False)
     if not whole.any():
-        return memo.batch(Pieces(texts, pattern))
-    ids, first = memo.batch(Pieces(pc.if_else(pa.array(whole), pa.scalar(None, texts.type), texts), pattern))
+        return memo.batch(Pieces(texts))
+    ids, first = memo.batch(Pieces(pc.if_else(pa.array(whole), pa.scalar(None, texts.type), texts)))
     at = np.flatnonzero(whole)
-    found = [np.array(encoder.with_added(texts[i].as_py()), ids.dtype) for i in at.tolist()]
+    found = [np.array(encoder.ids(texts[i].as_py()), ids.dtype) for i in at.tolist()]
     size = np.zeros(len(texts), np.int64)
     size[at] = [len(f) for f in found]
     return np.insert(ids, np.repeat(first[:-1], size), np.concatenate(found)), first + np.concatenate([[0], np.cumsum(size)])
 
 
-def write(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 0, ids_per_file: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, print (a hash of the text) and ids (little-endian, of 16 bits if the vocabulary allows it) of every text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = LibraryEncoder(tokenizer)
+        memo = Memo(encoder)
+        kind = _kind(encoder.most)
+        for batch in batches:
+            for a, b, _, _ in blocks(batch.column(2)):
+                ids, first = _ids(batch.column(2).slice(a, b - a), memo, encoder)
+                raw, cut = ids.astype(kind).tobytes(), (first * np.dtype(kind).itemsize).tolist()
+                own = pa.array([raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), own], ["id", "print", "ids"])
+
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(shared.integer_id(docs, id_col).alias("id"), F.xxhash64(text).alias("print"), text.alias("text"))
+    return rows.mapInArrow(run, "id long, print long, ids binary")
+
+
+def _kind(most: int) -> str:
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def write(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 0, ids_per_file: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text, adds ``end_id`` to each and writes files of ids under ``uri`` in ascending order of id_col.
 
     Returns the list of files (part, seq, path, base, n_docs, n_ids), kept as a
     table beside them.  A part is one range of ids; ``base`` counts ids before
     the file in its part.  A file has the name of its task attempt, and the list
-    has only files of attempts that ended well, so a lost executor leaves no
-    half file behind in it.  A null text is empty; null ids come first and are
-    written as the least integer; rows with equal ids keep the order of their
-    texts.  An empty table gives no files.  added_tokens: added tokens of the
-    tokenizer in a text get their own ids, as by the library's defaults; else they
-    are text like any other.
+    has only files of attempts that ended well: one that fails takes its files
+    with it, and what a lost executor leaves behind isn't in the list.  A null text
+    is empty; null ids come first; rows with equal ids are ordered by a hash of
+    their texts, and so are dealt out where one id, or null, has very many; other
+    columns are not read; id_col has to be of an integer type.  An empty table
+    gives no files.  A very long text is encoded alone, and its ids lie in one
+    file.  Added tokens of the tokenizer in a text get their own ids, as by the
+    library's defaults.
     """
     arrow_batches(docs.sparkSession)
+    most = LibraryEncoder(tokenizer).most
+    kind = _kind(most)
+    wide = np.dtype(kind).itemsize
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _system(uri)
         system.create_dir(root, recursive=True)
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        encoder = LibraryEncoder(tokenizer)
-        memo = Memo(encoder)
-        from public_tokenizers import PATTERN
-
-        names: list[np.ndarray] = []
-        found: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        state = {"n": 0, "base": 0, "seq": 0}
+        names: list[pa.Array] = []
+        found: list[bytes] = []
+        sizes: list[int] = []
+        written: list[str] = []
+        state = {"n": 0, "base": 0}
 
         def flush() -> pa.RecordBatch:
-            ids, size = np.concatenate(found), np.concatenate(sizes)
-            path = f"{root}/part-{part:06d}-{state['seq']:05d}-{attempt}.dac"
+            own = pa.chunked_array(names).combine_chunks()
+            size = np.array(sizes, np.int64)
+            ids = np.insert(np.frombuffer(b"".join(found), kind).astype(np.uint32), np.cumsum(size), end_id)
+            path = f"{root}/part-{part:06d}-{len(written):05d}-{attempt}.dac"
+            written.append(path)
             with system.open_output_stream(path) as out:
-                out.write(to_bytes(np.concatenate(names), np.concatenate([[0], np.cumsum(size)]), ids, state["base"]))
-            row = {"part": [part], "seq": [state["seq"]], "path": [path], "base": [state["base"]], "n_docs": [len(size)], "n_ids": [len(ids)]}
-            state.update(n=0, base=state["base"] + len(ids), seq=state["seq"] + 1)
+                out.write(to_bytes(own.fill_null(0).to_numpy(), np.concatenate([[0], np.cumsum(size + 1)]), ids, state["base"], own.null_count))
+            row = {"part": [part], "seq": [len(written) - 1], "path": [path], "base": [state["base"]], "n_docs": [len(size)], "n_ids": [len(ids)]}
+            state.update(n=0, base=state["base"] + len(ids))
             for x in (names, found, sizes):
                 x.clear()
             return pa.RecordBatch.from_pydict(row, LIST)
 
-        for batch in batches:
-            own = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b, _, _ in blocks(batch.column(1)):
-                ids, first = _ids(batch.column(1).slice(a, b - a), memo, encoder, PATTERN, added_tokens)
-                names.append(own[a:b])
-                found.append(np.insert(ids, first[1:], end_id))
-                sizes.append(np.diff(first) + 1)
-                state["n"] += len(found[-1])
+        try:
+            for batch in batches:
+                names.append(batch.column(0))
+                for raw in batch.column(1).to_pylist():
+                    found.append(raw)
+                    sizes.append(len(raw) // wide)
+                    state["n"] += sizes[-1] + 1
                 if state["n"] >= ids_per_file:
                     yield flush()
-        if names:
-            yield flush()
+            if names:
+                yield flush()
+        except BaseException:
+            for path in written:
+                with contextlib.suppress(OSError):
+                    system.delete_file(path)
+            raise
 
     LIST = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("base", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
     table = f"{uri}/files.parquet"
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, "part long, seq long, path string, base long, n_docs long, n_ids long").write.parquet(table)
+    # Written before they are dealt out, as the borders of the ranges take a look at all rows.
+    rows = shared.cut(encoded(docs, tokenizer, id_col, text_col), "ids")
+    dealt = rows.repartitionByRange("id", "print").sortWithinPartitions("id", "print").select("id", "ids")
+    dealt.mapInArrow(run, "part long, seq long, path string, base long, n_docs long, n_ids long").write.parquet(table)
+    shared.drop(rows)
     return docs.sparkSession.read.parquet(table)
 
 
@@ -216,7 +257,7 @@ def read(files: DataFrame, uri: str) -> DataFrame:
     for p in parts:
         bases.append((p["part"], before))
         before += p["n"]
-    many = max(1, sum(p["files"] for p in parts))
+    many = min(1 << 16, max(1, sum(p["files"] for p in parts)))
     placed = files.join(spark.createDataFrame(bases or [(0, 0)], "part long, before long"), "part").select("path", "before").repartition(many)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -232,13 +273,13 @@ def read(files: DataFrame, uri: str) -> DataFrame:
                         ids = file.tokens(int(first[a]), int(first[b])).astype("<u4")
                         at = first[a : b + 1] - first[a]
                         sums = [crc32(ids[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                        own = pa.array(names[a:b], mask=names[a:b] == np.iinfo(np.int64).min)
+                        own = pa.array(names[a:b], mask=np.arange(a, b) < file.n_null)
                         yield pa.RecordBatch.from_arrays([own, pa.array(first[a:b] + file.base + before), pa.array(np.diff(at)), pa.array(sums, pa.int64())], schema=schema)
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def stored_ids(docs: DataFrame, tokenizer: str, uri: str | None = None, end_id: int = 0, added_tokens: bool = False) -> DataFrame:
+def stored_ids(docs: DataFrame, tokenizer: str, uri: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of every document and reads them back; see ``write`` and ``read``."""
     uri = uri or shared.place(docs.sparkSession, "ids")
-    return read(write(docs, tokenizer, uri, end_id, added_tokens=added_tokens), uri)
+    return read(write(docs, tokenizer, uri, end_id, id_col=id_col, text_col=text_col), uri).withColumnRenamed("doc_id", id_col)

@@ -21,10 +21,10 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
-        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.most = max(vocabulary.values())
+        self.spaced = np.zeros(self.most + 1, bool)
         for token, i in vocabulary.items():
             self.spaced[i] = token.startswith("Ġ")
         (self.line,) = self.ids("\n")
@@ -32,14 +32,6 @@ class LibraryEncoder:
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def with_added(self, text: str) -> list[int]:
-        """Ids of a whole text, its added tokens found as the library does by default."""
-        self.tokenizer.encode_special_tokens = False
-        try:
-            return self.ids(text)
-        finally:
-            self.tokenizer.encode_special_tokens = True
-
     def many(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def folder(spark: SparkSession) -> str:
@@ -28,19 +31,45 @@ def place(spark: SparkSession, kind: str) -> str:
     return f"{folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Paths of tables that are written inside ``scope``.
+_made: list[list[str]] = []
+
+
 def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
     """df, computed once and written to the shared folder, so that a lost executor costs no recomputation of it."""
     path = place(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._vicinal_path = path
+    for paths in _made:
+        paths.append(path)
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop(df: DataFrame) -> None:
-    """Deletes a table that ``cut`` has written and that nothing needs any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    """Deletes a table that ``cut`` has written and that nothing needs any more; other tables stay."""
+    if path := getattr(df, "_vicinal_path", None):
+        delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes at its end what ``cut`` has written inside, but for the tables that are put into the list."""
+    kept: list[DataFrame] = []
+    paths: list[str] = []
+    _made.append(paths)
+    try:
+        yield kept
+    finally:
+        _made[:] = [x for x in _made if x is not paths]
+        for path in paths:
+            if path not in {getattr(df, "_vicinal_path", None) for df in kept}:
+                delete(spark, path)
 
 
 def size_of(df: DataFrame) -> int:
@@ -59,3 +88,10 @@ def sample(df: DataFrame, by: str, n: int, total: int | None = None) -> DataFram
     place = F.pmod(F.xxhash64(by), F.lit(span))
     few = df.where(place < int(span * min(1.0, (1.5 * n + 50) / max(1, total))))
     return few.orderBy(place, by).limit(n)
+
+
+def integer_id(df: DataFrame, column: str) -> Column:
+    """The column as long; one that isn't of an integer type is refused."""
+    if not isinstance(df.schema[column].dataType, T.IntegralType):
+        raise TypeError(f"{column} is {df.schema[column].dataType.simpleString()}, not an integer")
+    return F.col(f"`{column}`").cast("long")

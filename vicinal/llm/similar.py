@@ -1,10 +1,10 @@
-"""Exact comparison of sets inside candidate groups, in blocks.
+"""Comparison of members of groups in blocks.
 
-Members of a group meet block by block: a group of n members has ceil(n / BLOCK)
-blocks, and each pair of blocks is one unit of work of bounded size, dealt out
-by group and pair.  A unit gives counts and a forest of its links, never the
-links themselves, so what leaves it is linear in its members however many of
-them are alike.
+Members of a group are dealt to ceil(n / BLOCK) blocks; a unit of work is one block
+with what it has to meet (itself, another block, some members more), so it is of
+bounded size however large the group is.  A unit gives members, counts or a forest
+of links, never the links themselves, so what leaves it is linear in its members
+however many of them are alike.
 """
 
 from __future__ import annotations
@@ -84,45 +84,68 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> np.ndarray
     return root
 
 
-def units(members: DataFrame, group: str, key: list[str]) -> DataFrame:
-    """Each member once for every pair of blocks that its block is in: columns i, j (blocks of the unit) and block."""
+def in_blocks(members: DataFrame, group: str, order: Column, least: int = 2) -> DataFrame:
+    """Members of groups of ``least`` or more, with block, blocks (of the group) and is_first (whether its order is the least one)."""
     # Counts are summed before they are dealt, and groups of one block need no copies.
-    count = members.groupBy(group).agg(F.count("*").alias("members")).where("members > 1")
-    rows = members.join(count, group)
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(*key), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks", "members")
+    count = members.groupBy(group).agg(F.count("*").alias("members"), F.min(order).alias("first_one")).where(F.col("members") >= least)
+    rows = members.join(count, group).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("long"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(order), F.col("blocks"))).withColumn("is_first", order == F.col("first_one"))
+    return rows.drop("members", "first_one")
 
 
-def compare(rows: DataFrame, group: str, columns: list[str], work: Callable[[dict[str, list], bool], pa.RecordBatch | None], schema: str, weight: Column | None = None) -> DataFrame:
-    """Runs ``work`` on every unit of ``units`` with the lists of its columns; ``same``: one block meets itself."""
+def units(members: DataFrame, group: str, order: Column) -> DataFrame:
+    """Each member once for every pair of blocks that its block is in: columns i, j (blocks of the unit) and block."""
+    rows = in_blocks(members, group, order).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks", "is_first")
+
+
+def whole_units(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of one or more whole units, and where each begins; units are runs of rows with equal first ``n_keys`` columns."""
+    held: list[pa.RecordBatch] = []
+
+    def begins(rows: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(rows.num_rows, bool)
+        new[:1] = True
+        for k in range(n_keys):
+            own = rows.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= own[1:] != own[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = held[-1] if held else None
+        goes_on = last is not None and all(last.column(k)[-1] == batch.column(k)[0] for k in range(n_keys))
+        at = int(begins(batch)[-1])
+        if goes_on and at == 0:  # one unit that began before
+            held.append(batch)
+            continue
+        if held or at:
+            rows = pa.Table.from_batches([*held, batch.slice(0, at)]).combine_chunks().to_batches()
+            for part in rows:
+                yield part, begins(part)
+        held = [batch.slice(at)]
+    if held:
+        for part in pa.Table.from_batches(held).combine_chunks().to_batches():
+            yield part, begins(part)
+
+
+def spread(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows with these columns, those of a unit (equal keys) behind each other in one task."""
+    return df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys)
+
+
+def dealt(df: DataFrame, keys: list[str], columns: list[str], work: Callable[[dict[str, list]], dict[str, np.ndarray] | None], schema: str) -> DataFrame:
+    """What ``work`` makes of the lists of each unit's columns, with the unit's keys (of long) before it."""
+    names = [*keys, *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        at = None
-
-        def done() -> pa.RecordBatch | None:
-            return work(held, at[1] == at[2]) if held and len(held["block"]) > 1 else None
-
-        for batch in batches:
-            keys = [batch.column(k).to_pylist() for k in range(3)]
-            values = {c: batch.column(k + 3) for k, c in enumerate(["block", *columns])}
-            where = list(zip(*keys, strict=True))
-            a = 0
-            while a < len(where):
-                b = a + 1
-                while b < len(where) and where[b] == where[a]:
-                    b += 1
-                if where[a] != at:
-                    if held and (out := done()) is not None:
-                        yield out
-                    held, at = {c: [] for c in values}, where[a]
-                for c, v in values.items():
-                    held[c] += v.slice(a, b - a).to_pylist()
-                a = b
-        if held and (out := done()) is not None:
-            yield out
-
-    dealt = rows.select(group, "i", "j", "block", *columns).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
-    return dealt.mapInArrow(run, schema)
+        for rows, begin in whole_units(batches, len(keys)):
+            values = {c: rows.column(len(keys) + k).to_pylist() for k, c in enumerate(columns)}
+            of = [rows.column(k).to_numpy() for k in range(len(keys))]
+            for a, b in zip(begin.tolist(), np.append(begin[1:], rows.num_rows).tolist(), strict=True):
+                if b - a > 1 and (out := work({c: v[a:b] for c, v in values.items()})) is not None:
+                    n = len(next(iter(out.values())))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, k[a])) for k in of), *(pa.array(out[c]) for c in names[len(keys) :])], names)
+
+    return spread(df, keys, columns).mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", " + schema)

@@ -15,15 +15,15 @@ def _words(text: str) -> str:
     return rf"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
-def _windows(whole: bool) -> str:
-    """Windows of five words of a list w, as strings; with whole, all words of a shorter list."""
-    short = "CASE WHEN len(w) > 0 AND len(w) < 5 THEN [array_to_string(w, ' ')] " if whole else "CASE WHEN len(w) < 5 THEN [] "
+def _windows() -> str:
+    """Windows of five words of a list w, as strings; all words of a shorter list."""
+    short = "CASE WHEN len(w) > 0 AND len(w) < 5 THEN [array_to_string(w, ' ')] WHEN len(w) < 5 THEN [] "
     return short + "ELSE list_distinct(list_transform(range(1, CAST(len(w) AS BIGINT) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END"
 
 
 NGRAM_JOIN = f"""
 WITH RECURSIVE docs AS (SELECT doc_id, {_words('text')} AS w FROM documents),
-sets AS (SELECT doc_id, {_windows(True)} AS s FROM docs),
+sets AS (SELECT doc_id, {_windows()} AS s FROM docs),
 each AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 met AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM each a JOIN each b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (SELECT a, b, k = n AND k = m AS same FROM met WHERE k * 5 >= 4 * (n + m - k)),
@@ -36,7 +36,7 @@ LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links, min(b) FILTER (same) AS copy
 LINE_DEDUP = f"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, CAST(len(string_split(text, chr(10))) AS BIGINT))) AS i FROM documents),
 worded AS (SELECT doc_id, i, {_words('line')} AS w FROM lines),
-sets AS (SELECT row_number() OVER (ORDER BY doc_id, i) AS r, doc_id, i, {_windows(False)} AS s FROM worded),
+sets AS (SELECT row_number() OVER (ORDER BY doc_id, i) AS r, doc_id, i, {_windows()} AS s FROM worded),
 each AS (SELECT r, len(s) AS n, unnest(s) AS g FROM sets),
 met AS (SELECT a.r, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM each a JOIN each b ON a.g = b.g AND b.r < a.r GROUP BY a.r, b.r),
 gone AS (SELECT DISTINCT doc_id, i FROM met JOIN sets USING (r) WHERE k * 5 >= 4 * (n + m - k)),
@@ -45,9 +45,6 @@ left_over AS (SELECT doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, co
 SELECT doc_id, n_lines, n_removed, CAST(length(rest) AS BIGINT) AS n_chars, sha256(rest) AS text_sha256 FROM left_over
 """
 
-#: Lines of 1 to 4 words have one window of all their words.
-LINE_DEDUP_SHORT = LINE_DEDUP.replace(_windows(False), _windows(True))
-
 DECONTAMINATION = f"""
 WITH docs AS (SELECT doc_id, {_words('text')} AS w FROM documents),
 items AS (SELECT row_number() OVER () AS own, CAST(item_id AS VARCHAR) AS item, {_words('text')} AS w FROM benchmark),
