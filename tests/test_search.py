@@ -40,7 +40,8 @@ def test_worked_example(spark):
 
 def test_exact_with_ties(rows, monkeypatch):
     x, refs, queries = rows
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 100)  # several blocks
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 100)  # several blocks of queries and of references
+    monkeypatch.setattr(knn, "REF_BLOCK", 40)
     assert found(knn.exact_knn(queries, refs)) == {q: plain(x, q) for q in range(0, 300, 50)}
     assert knn.exact_knn(queries.limit(0), refs).count() == 0 and knn.exact_knn(queries, refs.limit(0)).count() == 0
 
@@ -87,6 +88,7 @@ def test_index(spark, rows, tmp_path):
 def test_long_lists_are_cut(rows, monkeypatch):
     x, refs, queries = rows
     monkeypatch.setattr(ix, "LIST_BLOCK", 20)
+    monkeypatch.setattr(ix, "PROBE_BLOCK", 2)
     index = ix.build(refs, ix.seeded_centres(refs, 2), ix.seeded_codebook(refs, 4, 16))
     assert found(ix.scan(ix.probe(queries, index.centres, 2), index, 5, coarse=False)) == {q: plain(x, q) for q in range(0, 300, 50)}
 
@@ -113,6 +115,50 @@ def test_configuration():
     assert (got.nprobe, got.rerank, got.strategy, got.candidates) == (7, False, "brute_force", 10)
 
 
+def test_configuration_file():
+    text = """# comment
+app:
+  vector-search:
+    index: "brute_force" #"ivf_pq"
+    clusters: 128
+    rerank:
+      enabled: false
+      nprobe: 3
+  fraud:
+    debug: true
+other:
+  nprobe: 99
+"""
+    got = engine.SearchConfig.from_file(text)
+    assert (got.strategy, got.clusters, got.rerank, got.rerank_nprobe, got.nprobe, got.debug) == ("brute_force", 128, False, 3, 16, True)
+    assert engine.SearchConfig.from_environment(environment={"VICINAL_CLUSTERS": "7"}, start=got).clusters == 7 and got.clusters == 128
+
+
+def test_empty_clusters_get_a_vector(rows):
+    x, refs, _ = rows
+    far = np.vstack([ix.seeded_centres(refs, 3), np.full((2, 8), 99.0)])
+    once, again = ix.lloyd(refs, far), ix.lloyd(refs, far)
+    assert np.array_equal(once, again) and all(any(np.array_equal(c, v) for v in x) for c in once[3:])
+    same = refs.withColumn("vector", F.array(*[F.lit(1.0)] * 7, (F.col("ref_id") % 4).cast("double")))
+    assert len(ix.train_centres(same, 4, rounds=3)) == 4 and len(ix.train_centres(same, 6, rounds=3)) == 4
+
+
+def test_sample_is_cut_before_it_is_ordered(rows):
+    from hashlib import md5
+
+    _, refs, _ = rows
+    want = sorted(range(300), key=lambda i: md5(f"42:{i}".encode()).hexdigest())[:17]
+    assert [r.ref_id for r in ix.sampled(refs, 17).collect()] == want
+
+
+def test_hashed_buckets_find_most_neighbours(rows, monkeypatch):
+    x, refs, queries = rows
+    monkeypatch.setattr(ix, "LIST_BLOCK", 50)
+    near = found(engine.lsh_knn(queries, refs))
+    exact = {q: plain(x, q) for q in range(0, 300, 50)}
+    assert sum(len(set(near[q]) & set(exact[q])) for q in exact) >= 0.9 * 5 * len(exact)
+
+
 def test_training(rows):
     x, refs, _ = rows
     centres = ix.train_centres(refs, 6, rounds=10)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,18 +25,52 @@ class SearchConfig:
     rerank_nprobe: int = 16
     rerank_candidates: int = 10
     count_source: str = "exact"
+    debug: bool = False
 
     @classmethod
-    def from_environment(cls, prefix: str = "VICINAL_", environment: dict[str, str] | None = None) -> SearchConfig:
-        """Defaults, replaced by variables such as VICINAL_NPROBE."""
-        env, out = os.environ if environment is None else environment, cls()
-        for f in fields(cls):
-            if (raw := env.get(prefix + f.name.upper())) is not None:
-                kind = type(getattr(out, f.name))
-                setattr(out, f.name, raw.lower() in ("1", "true", "yes") if kind is bool else kind(raw))
+    def from_environment(cls, prefix: str = "VICINAL_", environment: dict[str, str] | None = None, start: SearchConfig | None = None) -> SearchConfig:
+        """Defaults (or ``start``), replaced by variables such as VICINAL_NPROBE."""
+        env = os.environ if environment is None else environment
+        return (start or cls())._with({f.name: raw for f in fields(cls) if (raw := env.get(prefix + f.name.upper())) is not None})
+
+    @classmethod
+    def from_file(cls, text: str) -> SearchConfig:
+        """From the text of a configuration file: nested keys and values, as in KEYS below ``app``; others are left out."""
+        path: list[tuple[int, str]] = []
+        found = {}
+        for line in text.splitlines():
+            line = line.split(" #")[0].rstrip() if not line.lstrip().startswith("#") else ""
+            name, mark, value = line.strip().partition(":")
+            if not mark:
+                continue
+            depth = len(line) - len(line.lstrip())
+            path = [*((d, n) for d, n in path if d < depth), (depth, name.strip())]
+            key = ".".join(n for _, n in path)
+            if key in KEYS and (value := value.strip().strip("\"'")):
+                found[KEYS[key]] = value
+        return cls()._with(found)
+
+    def _with(self, values: dict[str, str]) -> SearchConfig:
+        out = replace(self)
+        for name, raw in values.items():
+            kind = type(getattr(out, name))
+            setattr(out, name, raw.lower() in ("1", "true", "yes") if kind is bool else kind(raw))
         return out
 
 
+# Keys of a configuration file.
+KEYS = {
+    "app.vector-search.index": "strategy",
+    "app.vector-search.clusters": "clusters",
+    "app.vector-search.nprobe": "nprobe",
+    "app.vector-search.candidates": "candidates",
+    "app.vector-search.rerank.enabled": "rerank",
+    "app.vector-search.rerank.nprobe": "rerank_nprobe",
+    "app.vector-search.rerank.candidates": "rerank_candidates",
+    "app.fraud.debug": "debug",
+}
+
+
 def _brute_force(queries: DataFrame, refs: DataFrame, index: ix.Index | None, config: SearchConfig) -> DataFrame:
     return knn.vote(knn.exact_knn(queries, refs), queries)
 
@@ -58,20 +94,32 @@ def _lsh(queries: DataFrame, refs: DataFrame, index: ix.Index | None, config: Se
 STRATEGIES = {"brute_force": _brute_force, "ivf_pq": _ivf_pq, "hnsw": _hnsw, "lsh": _lsh}
 
 
-def lsh_knn(queries: DataFrame, refs: DataFrame, k: int = knn.K, width: float = 0.6, tables: int = 6, seed: int = 42) -> DataFrame:
-    """Neighbours among references that share a bucket of random projections, with exact distances."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(refs.select(array_to_vector(F.col("vector").cast("array<double>")).alias("x")).limit(1))
-
-    def hashed(df: DataFrame, vector: str, name: str) -> DataFrame:
-        """name, t (table) and b (bucket): a row for each table."""
-        rows = model.transform(df.select(name, array_to_vector(F.col(vector).cast("array<double>")).alias("x")))
-        return rows.select(name, F.posexplode("h").alias("t", "v")).select(name, "t", F.element_at(vector_to_array("v"), 1).alias("b"))
-
-    pairs = hashed(queries, "q", "q_id").join(hashed(refs, "vector", "ref_id"), ["t", "b"]).select("q_id", "ref_id").distinct()
-    return ix.rerank(queries, pairs, refs, k)
+def lsh_knn(queries: DataFrame, refs: DataFrame, k: int = knn.K, width: float = 2.0, tables: int = 14, projections: int = 3, seed: int = 42) -> DataFrame:
+    """Neighbours among references that share a bucket of random projections, by exact distances.
+
+    A table's bucket is the cell of ``projections`` scaled projections.  Buckets are
+    lists like those of an index, so big ones are cut, and each part passes on its k
+    best for each query only.
+    """
+    first = refs.where("vector is not null").select(F.size("vector")).first()
+    rng = np.random.default_rng(seed)
+    shape = (first[0] if first else 1, tables * projections)
+    sent = refs.sparkSession.sparkContext.broadcast((rng.standard_normal(shape) / width, rng.random(shape[1])))
+
+    @F.pandas_udf("array<long>")
+    def buckets(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        lines, shift = sent.value
+        cells = np.floor(np.stack(v.to_numpy()).astype(float) @ lines + shift).astype(np.int64).reshape(len(v), tables, projections)
+        own = np.arange(tables, dtype=np.int64)[None, :] + np.zeros((len(v), 1), np.int64)
+        for p in range(projections):
+            own = own * 1_000_003 + cells[:, :, p]
+        return pd.Series(list(own), dtype=object)
+
+    lists = refs.where("vector is not null").select(F.explode(buckets("vector")).alias("cluster"), "ref_id", "vector", "is_fraud")
+    probes = queries.where("q is not null").select("q_id", "q", F.posexplode(buckets("q")).alias("probe", "cluster"))
+    return knn.ranked(ix.scanned(probes, ix.Index(lists, None, None), k, coarse=False).drop("probe").dropDuplicates(["q_id", "ref_id"]), k)
 
 
 def votes(queries: DataFrame, refs: DataFrame, config: SearchConfig, index: ix.Index | None = None) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vicinal import storage
 from vicinal.operators import index as ix
 from vicinal.operators import knn
 
@@ -30,29 +32,27 @@ def recall(approximate: DataFrame, exact: DataFrame, k: int = knn.K, by: tuple[s
 def sweep(queries: DataFrame, index: ix.Index, refs: DataFrame, k: int = knn.K, nprobes: tuple[int, ...] = NPROBES, candidates: tuple[int, ...] = CANDIDATES) -> DataFrame:
     """nprobe, candidates, recall of the reranked search for every pair of settings.
 
-    The widest scan is made once for each nprobe; its ranks hold those of all
-    fewer candidates, so these are filters.
+    The lists are scanned once, for the most probes and candidates; what fewer of
+    either would have found are the ranks among the hits of fewer probes.
     """
     for c in candidates:
         ix.check(k, c)
     spark = refs.sparkSession
-    truth = knn.exact_knn(queries, refs, k).select("q_id", "ref_id").cache()
-    probes = ix.probe(queries, index.centres, max(nprobes)).cache()
-    rows = None
-    for n in nprobes:
-        wide = ix.scan(probes.where(F.col("probe") <= n), index, max(candidates)).withColumn("nprobe", F.lit(n))
-        rows = wide if rows is None else rows.unionByName(wide)
-    settings = spark.createDataFrame([(c,) for c in candidates], "candidates int")
-    own = rows.join(F.broadcast(settings), F.col("rk") <= F.col("candidates"))  # a handful of settings
-    x = own.select("nprobe", "candidates", "q_id", "ref_id").join(queries.select("q_id", "q"), "q_id").join(refs.select("ref_id", "vector"), "ref_id")
-    x = x.withColumn("d2", ix.distance.l2_squared(F.col("q"), F.col("vector")))
-    best = Window.partitionBy("nprobe", "candidates", "q_id").orderBy("d2", "ref_id")
-    found = x.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k)
+    truth = storage.cut(knn.exact_knn(queries, refs, k).select("q_id", "ref_id"), "truth")
+    hits = storage.cut(ix.scanned(ix.probe(queries, index.centres, max(nprobes)), index, max(candidates)), "hits")
+    # Exact distances are computed once for each hit.
+    x = hits.join(queries.select("q_id", "q"), "q_id").join(refs.select("ref_id", "vector"), "ref_id")
+    x = x.select("q_id", "ref_id", "probe", "d2", ix.distance.l2_squared(F.col("q"), F.col("vector")).alias("exact"))
+    probed = x.join(F.broadcast(spark.createDataFrame([(n,) for n in nprobes], "nprobe int")), F.col("probe") <= F.col("nprobe"))  # a handful of settings
+    ranked = probed.withColumn("rk", F.row_number().over(Window.partitionBy("nprobe", "q_id").orderBy("d2", "ref_id"))).where(F.col("rk") <= max(candidates))
+    own = ranked.join(F.broadcast(spark.createDataFrame([(c,) for c in candidates], "candidates int")), F.col("rk") <= F.col("candidates"))
+    best = Window.partitionBy("nprobe", "candidates", "q_id").orderBy("exact", "ref_id")
+    found = own.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     grid = spark.createDataFrame([(n, c) for n in nprobes for c in candidates], "nprobe int, candidates int")
     return grid.join(recall(found, truth, k, ("nprobe", "candidates")), ["nprobe", "candidates"], "left").select("nprobe", "candidates", F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
-def timed(make) -> tuple[float, float]:
+def timed(make: Callable[[], tuple[DataFrame, int]]) -> tuple[float, float]:
     """Average milliseconds a query and queries a second of a search; ``make`` gives its DataFrame and the number of queries."""
     df, n = make()
     at = time.perf_counter()
@@ -93,8 +93,46 @@ def confusion(log: DataFrame) -> DataFrame:
     return log.agg(count(ok & fraud & denied).alias("tp"), count(ok & ~fraud & ~denied).alias("tn"), count(ok & ~fraud & denied).alias("fp"), count(ok & fraud & ~denied).alias("fn"), F.count_if(F.coalesce(~ok, F.lit(True))).alias("err"))
 
 
+def percentile(rows: DataFrame, column: str, share: float, keep: int = 1 << 20, bins: int = 4096) -> float | None:
+    """The exact percentile, with linear interpolation between neighbours; nulls don't count, and None comes of no rows.
+
+    Counts by ranges of values say which range has the ranks that are wanted, and
+    that range is looked at more closely, until it has ``keep`` rows or one value;
+    so tasks pass on ``bins`` counts, and the driver gets ``keep`` different values
+    at most.
+    """
+    x = rows.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    place = share * (n - 1)
+    ranks = [int(place), min(int(place) + 1, n - 1)]
+
+    def ranked(rank: int) -> float:
+        a, b, left, before = low, high, n, 0
+        while left > keep and a < b:
+            step = (b - a) / bins
+            cell = F.least(F.floor((F.col("x") - F.lit(a)) / F.lit(step)), F.lit(bins - 1))
+            counts = x.where(F.col("x").between(a, b)).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("cell").collect()
+            for c in counts:
+                if before + c["n"] > rank:
+                    break
+                before += c["n"]
+            if (c["a"], c["b"], c["n"]) == (a, b, left):
+                break
+            a, b, left = c["a"], c["b"], c["n"]
+        for r in x.where(F.col("x").between(a, b)).groupBy("x").agg(F.count("*").alias("n")).orderBy("x").collect() if a < b else ():
+            if before + r["n"] > rank:
+                return r["x"]
+            before += r["n"]
+        return a
+
+    first = ranked(ranks[0])
+    return first if place == ranks[0] else first + (place - ranks[0]) * (ranked(ranks[1]) - first)
+
+
 def p99(log: DataFrame) -> DataFrame:
-    return log.agg(F.percentile("latency_ms", F.lit(0.99)).alias("p99_ms"))
+    return log.sparkSession.createDataFrame([(percentile(log, "latency_ms", 0.99),)], "p99_ms double")
 
 
 def p99_score(p: Column) -> Column:
@@ -120,10 +158,49 @@ def contest(log: DataFrame) -> DataFrame:
     return both.select("tp", "tn", "fp", "fn", "err", r("p99_ms"), r("p99_score"), F.format_string("%.2f%%", 100 * F.col("failure_rate")).alias("failure_rate"), "weighted_errors", r("epsilon", 6), r("rate_component"), r("absolute_penalty"), r("detection_score"), F.round(F.col("p99_score") + F.col("detection_score"), 2).alias("final_score"))
 
 
-def report(log: DataFrame) -> DataFrame:
-    """The contest row as JSON."""
-    row = contest(log)
-    return row.select(F.to_json(F.struct(*row.columns)).alias("report"))
+def number(x: Column, digits: int) -> Column:
+    """A number as JSON has it, rounded, without zeros at its end; null is null."""
+    text = F.regexp_replace(F.format_string(f"%.{digits}f", F.round(x, digits)), r"\.?0+$", "")
+    return F.when(x.isNotNull(), F.regexp_replace(text, r"^-0$", "0")).otherwise("null")
+
+
+def _json(**parts: Column | str) -> Column:
+    """A JSON object of texts that are JSON already."""
+    out = [F.lit("{")]
+    for k, (name, value) in enumerate(parts.items()):
+        out += [F.lit("," * (k > 0) + f'"{name}":'), value.cast("string") if isinstance(value, Column) else F.lit(value)]
+    return F.concat(*out, F.lit("}"))
+
+
+def expected(log: DataFrame) -> DataFrame:
+    """total, fraud_count, legit_count and their shares in percent, as a load-test file states them."""
+    fraud = F.count_if(~F.col("expected_approved"))
+    x = log.agg(F.count("*").alias("total"), fraud.alias("fraud_count"), F.count_if("expected_approved").alias("legit_count"))
+    share = lambda c: F.when(F.col("total") > 0, F.round(100 * F.col(c) / F.col("total"), 2)).otherwise(0.0)
+    return x.select("total", "fraud_count", "legit_count", share("fraud_count").alias("fraud_rate"), share("legit_count").alias("legit_rate"))
+
+
+def report(log: DataFrame, stats: str | None = None) -> DataFrame:
+    """The results of a load test as one JSON text.
+
+    stats: what the test's file says of itself, as JSON; else it is counted.  Parts
+    of a score that was cut are null, and all names are always there.
+    """
+    counts = detection(confusion(log)).withColumn("one", F.lit(1))
+    late = p99(log).select(F.lit(1).alias("one"), F.coalesce("p99_ms", F.lit(0.0)).alias("p99_ms"))
+    known = expected(log).select(F.lit(1).alias("one"), "total", "fraud_count", "legit_count", "fraud_rate", "legit_rate")
+    x = counts.join(F.broadcast(late), "one").join(F.broadcast(known), "one").withColumn("p99_score", p99_score(F.col("p99_ms")))  # one row each
+    c = F.col
+    of_file = F.lit(stats) if stats else _json(total=c("total"), fraud_count=c("fraud_count"), legit_count=c("legit_count"), fraud_rate=number(c("fraud_rate"), 2), legit_rate=number(c("legit_rate"), 2))
+    breakdown = _json(false_positive_detections=c("fp"), false_negative_detections=c("fn"), true_positive_detections=c("tp"), true_negative_detections=c("tn"), http_errors=c("err"))
+    scoring = _json(
+        breakdown=breakdown, failure_rate=F.concat(F.lit('"'), number(100 * c("failure_rate"), 2), F.lit('%"')), weighted_errors_E=c("weighted_errors"), error_rate_epsilon=number(c("epsilon"), 6),
+        p99_score=_json(value=number(c("p99_score"), 2), cut_triggered=c("p99_ms") > 2000),
+        detection_score=_json(value=number(c("detection_score"), 2), rate_component=number(c("rate_component"), 2), absolute_penalty=number(c("absolute_penalty"), 2), cut_triggered=c("cut")),
+        final_score=number(c("p99_score") + c("detection_score"), 2),
+    )
+    late_text = F.concat(F.lit('"'), F.format_string("%.2f", F.round("p99_ms", 2)), F.lit('ms"'))
+    return x.select(_json(expected=of_file, p99=late_text, scoring=scoring).alias("report"))
 
 
 def bucket(ms: Column) -> Column:
@@ -159,11 +236,41 @@ def gray_rate(votes: DataFrame) -> DataFrame:
     return x.withColumn("pct", F.when(F.col("total") > 0, F.round(F.col("gray") * 100.0 / F.col("total"), 6)).otherwise(0.0))
 
 
+#: The phases of a request, in the order of the statistics.
+PHASES = ("parse", "embed", "search", "total")
+
+
 def stats(log: DataFrame, votes: DataFrame) -> DataFrame:
-    """The statistics as one JSON text: phases with counts, averages, percentiles and buckets, and the gray zone."""
-    own = averages(log).join(bucket_percentiles(log), "phase").join(histogram(log).groupBy("phase").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("buckets")), "phase")
-    phases = own.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("phase", F.struct("count", "avg_ms", "max_ms", "p50_ms", "p90_ms", "p99_ms"))))).alias("phases"))
-    return phases.join(F.broadcast(gray_rate(votes))).select(F.to_json(F.struct(F.col("total").alias("total_requests"), "phases", F.struct(F.col("gray").alias("count"), "pct").alias("gray_zone"))).alias("stats"))
+    """The statistics as one JSON text: requests (those with a total), for each phase count, average, maximum, percentiles and all seven buckets, and the gray zone.
+
+    One pass over the log; before the first request a phase has its count, 0, alone.
+    Milliseconds are rounded to three places from whole nanoseconds, half up.
+    """
+    cells = []
+    for p in PHASES:
+        own = F.col("phase") == p
+        cells += [F.count_if(own).alias(f"{p}_n"), F.coalesce(F.sum(F.when(own, F.col("duration_ns"))), F.lit(0)).alias(f"{p}_sum"), F.coalesce(F.max(F.when(own, F.col("duration_ns"))), F.lit(0)).alias(f"{p}_max")]
+        cells += [F.count_if(own & (bucket(F.col("duration_ns") / 1e6) == b)).alias(f"{p}_{b}") for b in range(len(BUCKETS))]
+    x = log.agg(*cells).withColumn("one", F.lit(1)).join(F.broadcast(gray_rate(votes).withColumn("one", F.lit(1))), "one")  # one row each
+
+    def thousandths(n: str) -> Column:
+        return F.concat(F.expr(f"({n}) div 1000").cast("string"), F.lit("."), F.lpad(F.expr(f"({n}) % 1000").cast("string"), 3, "0"))
+
+    def upper(p: str, share: float) -> Column:
+        out, rank = F.lit(0.0), F.ceil(F.lit(share) * F.col(f"{p}_n"))
+        seen = [sum((F.col(f"{p}_{k}") for k in range(1, b + 1)), F.col(f"{p}_0")) for b in range(len(BUCKETS))]
+        for b in reversed(range(len(BUCKETS))):
+            out = F.when(seen[b] >= rank, F.lit(float((*BOUNDS, BOUNDS[-1])[b]))).otherwise(out)
+        return F.when(F.col(f"{p}_n") > 0, out).otherwise(0.0)
+
+    phases = {}
+    for p in PHASES:
+        n = F.col(f"{p}_n")
+        average = F.when(n > 0, thousandths(f"(2 * {p}_sum + 1000 * {p}_n) div (2000 * greatest({p}_n, 1))")).otherwise("0.000")
+        full = _json(count=n, avg_ms=average, max_ms=thousandths(f"({p}_max + 500) div 1000"), **{f"p{round(100 * s)}_ms": F.format_string("%.1f", upper(p, s)) for s in (0.5, 0.9, 0.99)}, buckets=_json(**{label: F.col(f"{p}_{b}") for b, label in enumerate(BUCKETS)}))
+        phases[p] = F.when(F.col("total_n") > 0, full).otherwise('{"count":0}')
+    gray = _json(count=F.col("gray"), pct=F.format_string("%.2f", F.round("pct", 2)))
+    return x.select(_json(total_requests=F.col("total_n"), phases=_json(**phases), gray_zone=gray).alias("stats"))
 
 
 def slow(log: DataFrame, least_ms: float = 50.0) -> DataFrame:

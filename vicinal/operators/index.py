@@ -7,16 +7,19 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinal import storage
 from vicinal.functions import distance
 from vicinal.operators import knn
 
 VERSION = 1
-#: Rows of one list that one task scans; longer lists are cut.
+#: Rows of one list, and queries that probe it, that one unit of work has; more are cut.
 LIST_BLOCK = 65536
+PROBE_BLOCK = 4096
 
 
 def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -30,7 +33,11 @@ def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def assign(refs: DataFrame, centres: np.ndarray, column: str = "vector") -> DataFrame:
     """refs with cluster, the nearest centre; the centres are at most some thousand vectors."""
     sent = refs.sparkSession.sparkContext.broadcast(centres)
-    pick = F.pandas_udf(lambda v: __import__("pandas").Series(nearest(np.stack(v.to_numpy()).astype(float), sent.value) if len(v) else [], dtype="int32"), "int")
+
+    @F.pandas_udf("int")
+    def pick(v: pd.Series) -> pd.Series:
+        return pd.Series(nearest(np.stack(v.to_numpy()).astype(float), sent.value) if len(v) else [], dtype="int32")
+
     return refs.withColumn("cluster", pick(column))
 
 
@@ -39,13 +46,17 @@ def seeded_centres(refs: DataFrame, k: int) -> np.ndarray:
     return np.array([r[0] for r in refs.where("vector is not null").orderBy("ref_id").select("vector").limit(k).collect()], float)
 
 
-def lloyd(refs: DataFrame, centres: np.ndarray, rounds: int = 1) -> np.ndarray:
-    """Centres after so many rounds of assigning and averaging; a cluster without members keeps its centre."""
-    for _ in range(rounds):
+def lloyd(refs: DataFrame, centres: np.ndarray, rounds: int = 1, seed: int = 42) -> np.ndarray:
+    """Centres after so many rounds of assigning and averaging; a cluster without members gets the vector of some row, by a hash of its id and the round."""
+    for number in range(rounds):
         means = sums(refs, centres).select("cluster", "n", "total").collect()  # one row for each centre
         centres = centres.copy()
         for r in means:
             centres[r["cluster"]] = np.array(r["total"]) / r["n"]
+        empty = sorted(set(range(len(centres))) - {r["cluster"] for r in means})
+        if empty and means:
+            rows = sampled(refs.where("vector is not null"), len(empty), seed + 12345 * (number + 1)).orderBy("ref_id").select("vector").collect()
+            centres[empty[: len(rows)]] = np.array([r[0] for r in rows], float)
     return centres
 
 
@@ -74,24 +85,37 @@ def sums(refs: DataFrame, centres: np.ndarray) -> DataFrame:
 def train_centres(refs: DataFrame, k: int, seed: int = 42, rounds: int = 25, trials: int = 1, sample: int = 600_000, column: str = "vector") -> np.ndarray:
     """k-means centres from the sample of rows whose ids hash least; of several trials the one of least inertia.
 
-    Fewer than k may come back where the rows have fewer different vectors.
+    Where the trainer gives fewer than k, other different vectors of the sample take
+    the empty places; fewer come back only where there are no more of them.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = sampled(refs.where(F.col(column).isNotNull()), sample, seed).select(array_to_vector(F.col(column).cast("array<double>")).alias("features")).cache()
+    rows = sampled(refs.where(F.col(column).isNotNull()), sample, seed).select("ref_id", F.col(column).cast("array<double>").alias("v"))
+    rows = rows.withColumn("features", array_to_vector("v")).cache()
     best, least = None, float("inf")
     for t in range(trials):
         model = KMeans(k=k, seed=seed + t, maxIter=rounds, tol=0.0).fit(rows)
         if model.summary.trainingCost < least:
             best, least = np.array(model.clusterCenters()), model.summary.trainingCost
+    if len(best) < k:
+        more = [np.array(r[0]) for r in sampled(rows.dropDuplicates(["v"]), k, seed).select("v").collect()]
+        known = {c.tobytes() for c in best}
+        best = np.array([*best, *(c for c in more if c.tobytes() not in known)][:k])
     rows.unpersist()
     return best
 
 
 def sampled(refs: DataFrame, n: int, seed: int = 42, id_col: str = "ref_id") -> DataFrame:
-    """n rows, those whose ids hash least: the same ones at every run."""
-    return refs.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(n)
+    """n rows, those whose seed and id have the least MD5: the same ones at every run, and in SQL too.
+
+    Only rows whose hash is small enough to be among half as many again as wanted
+    are ordered, so tasks pass on some n rows in all, not n each.
+    """
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
+    share = min(1.0, (1.5 * n + 50) / max(1, refs.count()))
+    limit = f"{int(share * 0xFFFFFFFF):08x}"
+    return refs.where(F.substring(hashed, 1, 8) <= limit).orderBy(hashed, id_col).limit(n)
 
 
 @dataclass
@@ -129,6 +153,89 @@ def seeded_codebook(refs: DataFrame, m: int, codes: int) -> Codebook:
     return Codebook(np.ascontiguousarray(x.reshape(len(x), m, -1).transpose(1, 0, 2)))
 
 
+def _part_sums(rows: DataFrame, book: Codebook) -> tuple[np.ndarray, np.ndarray, float]:
+    """For each part and code the number of vectors nearest to it and their sum, and the squared distances of all parts; one pass."""
+    sent = rows.sparkSession.sparkContext.broadcast(book)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = sent.value
+        n, total, wcss = np.zeros(book.centres.shape[:2], np.int64), np.zeros(book.centres.shape), 0.0
+        for batch in batches:
+            x = knn.to_matrix(batch.column(0)).astype(float)
+            if len(x):
+                p, code = book.parts(x), book.encode(x).astype(np.int64)
+                for s in range(book.m):
+                    n[s] += np.bincount(code[:, s], minlength=n.shape[1])
+                    np.add.at(total[s], code[:, s], p[:, s])
+                    wcss += float(((p[:, s] - book.centres[s][code[:, s]]) ** 2).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()]), pa.array([total.tobytes()]), pa.array([wcss])], ["n", "total", "wcss"])
+
+    # A row for each task, of as many numbers as the codebook has.
+    n, total, wcss = np.zeros(book.centres.shape[:2], np.int64), np.zeros(book.centres.shape), 0.0
+    for r in rows.select("vector").mapInArrow(run, "n binary, total binary, wcss double").toLocalIterator():
+        n += np.frombuffer(r["n"], np.int64).reshape(n.shape)
+        total += np.frombuffer(r["total"]).reshape(total.shape)
+        wcss += r["wcss"]
+    return n, total, wcss
+
+
+def train_codebook(refs: DataFrame, m: int, codes: int, seed: int = 42, rounds: int = 30, trials: int = 1, sample: int = 600_000) -> Codebook:
+    """k-means in each part, on the vectors themselves (not on what a cluster centre leaves of them).
+
+    All parts learn in the same pass over the sample.  The first centres, and what
+    replaces codes that no vector is nearest to, are vectors of the sample by the
+    hash of their ids; of several trials the one of least inertia is taken.
+    """
+    dims = len(refs.where("vector is not null").select("vector").first()[0])
+    split_check(dims, m)
+    rows = sampled(refs.where("vector is not null").select("ref_id", "vector"), sample, seed).repartition(refs.sparkSession.sparkContext.defaultParallelism).cache()
+    best, least = None, float("inf")
+    for t in range(trials):
+        found = sampled(rows, 2 * codes, seed + 1 + t).collect()
+        first = np.array([r["vector"] for r in sorted(found, key=lambda r: r["ref_id"])], float)
+        parts = first.reshape(len(first), m, -1).transpose(1, 0, 2)
+        # Different ones first; fewer codes than asked for where there are fewer vectors.
+        starts = [p[np.sort(np.unique(p, axis=0, return_index=True)[1])] for p in parts]
+        short = min(codes, *map(len, starts))
+        book, spare = Codebook(np.stack([s[:short] for s in starts])), np.random.default_rng(seed + t)
+        wcss = float("inf")
+        for _ in range(rounds):
+            n, total, now = _part_sums(rows, book)
+            centres = np.where(n[:, :, None] > 0, total / np.maximum(n, 1)[:, :, None], book.centres)
+            for s, code in zip(*np.nonzero(n == 0), strict=True):
+                centres[s, code] = starts[s][spare.integers(len(starts[s]))]
+            done, wcss = not now < wcss * (1 - 1e-6), now
+            if done:
+                break
+            book = Codebook(centres)
+        if wcss < least:
+            best, least = book, wcss
+    rows.unpersist()
+    return best
+
+
+def encode(self, x: np.ndarray) -> np.ndarray:
+        p = self.parts(x)
+        return np.stack([nearest(p[:, s], self.centres[s]) for s in range(self.m)], axis=1).astype(np.int16)
+
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Squared distances of each part of each query from each centre."""
+        p = self.parts(q)
+        return np.stack([distance.matrix(p[:, s], self.centres[s]) for s in range(self.m)], axis=1)
+
+
+def split_check(dims: int, m: int) -> None:
+    if m < 1 or dims % m:
+        raise ValueError(f"{dims} places can't be cut into {m} equal parts")
+
+
+def seeded_codebook(refs: DataFrame, m: int, codes: int) -> Codebook:
+    """The parts of the vectors of the least ids."""
+    x = seeded_centres(refs, codes)
+    split_check(x.shape[1], m)
+    return Codebook(np.ascontiguousarray(x.reshape(len(x), m, -1).transpose(1, 0, 2)))
+
+
 def train_codebook(refs: DataFrame, m: int, codes: int, seed: int = 42, rounds: int = 30, trials: int = 1, sample: int = 600_000) -> Codebook:
     """k-means in each part, on the vectors themselves (not on what a cluster centre leaves of them)."""
     dims = len(refs.where("vector is not null").select("vector").first()[0])
@@ -142,7 +249,11 @@ def train_codebook(refs: DataFrame, m: int, codes: int, seed: int = 42, rounds:
 def encode(refs: DataFrame, book: Codebook) -> DataFrame:
     """refs with code, an array of small integers."""
     sent = refs.sparkSession.sparkContext.broadcast(book)
-    pick = F.pandas_udf(lambda v: __import__("pandas").Series(list(sent.value.encode(np.stack(v.to_numpy()))) if len(v) else []), "array<smallint>")
+
+    @F.pandas_udf("array<smallint>")
+    def pick(v: pd.Series) -> pd.Series:
+        return pd.Series(list(sent.value.encode(np.stack(v.to_numpy()))) if len(v) else [], dtype=object)
+
     return refs.withColumn("code", pick("vector"))
 
 
@@ -152,11 +263,13 @@ class Index:
 
     lists: DataFrame
     centres: np.ndarray
-    book: Codebook
+    book: Codebook | None
 
 
-def build(refs: DataFrame, centres: np.ndarray, book: Codebook) -> Index:
-    return Index(encode(assign(refs.where("vector is not null"), centres), book), centres, book)
+def build(refs: DataFrame, centres: np.ndarray, book: Codebook | None) -> Index:
+    """Lists of all rows, written once as every search reads them more than once; without a codebook they have no codes."""
+    rows = assign(refs.where("vector is not null"), centres)
+    return Index(storage.cut(encode(rows, book) if book else rows, "lists"), centres, book)
 
 
 def build_trained(refs: DataFrame, clusters: int, m: int, codes: int, seed: int = 42) -> Index:
@@ -188,28 +301,40 @@ def probe(queries: DataFrame, centres: np.ndarray, nprobe: int) -> DataFrame:
     """q_id, q, cluster, probe (from 1): the nprobe nearest centres of each query, ties by number."""
     sent = queries.sparkSession.sparkContext.broadcast(centres)
     n = min(nprobe, len(centres))
-    pick = F.pandas_udf(lambda v: __import__("pandas").Series([np.argsort(d, kind="stable")[:n].astype(np.int32) for d in distance.matrix(np.stack(v.to_numpy()).astype(float), sent.value)] if len(v) else []), "array<int>")
+
+    @F.pandas_udf("array<int>")
+    def pick(v: pd.Series) -> pd.Series:
+        return pd.Series([np.argsort(d, kind="stable")[:n].astype(np.int32) for d in distance.matrix(np.stack(v.to_numpy()).astype(float), sent.value)] if len(v) else [], dtype=object)
+
     rows = queries.where("q is not null").select("q_id", "q", F.posexplode(pick("q")).alias("at", "cluster"))
     return rows.select("q_id", "q", "cluster", (F.col("at") + 1).alias("probe"))
 
 
 def scan(probes: DataFrame, index: Index, candidates: int, coarse: bool = True) -> DataFrame:
-    """q_id, rk, ref_id, d2, is_fraud: the best ``candidates`` of the probed lists, by quantized (coarse) or exact distance.
+    """q_id, rk, ref_id, d2, is_fraud: the best ``candidates`` of the probed lists, by quantized (coarse) or exact distance."""
+    return knn.ranked(scanned(probes, index, candidates, coarse), candidates)
+
+
+def scanned(probes: DataFrame, index: Index, candidates: int, coarse: bool = True) -> DataFrame:
+    """q_id, probe, ref_id, d2, is_fraud: for each probe the best ``candidates`` of each part of its list.
 
-    Queries meet the lists that they probe; lists beyond LIST_BLOCK rows are cut, so
-    that no task has a whole hot list, and each task passes on its best only.
+    Queries meet the lists that they probe.  Lists beyond LIST_BLOCK rows are cut, and
+    so are the queries of a list beyond PROBE_BLOCK, so that a unit of work is of
+    bounded size on both sides, and each passes on its best only.
     """
     sent = probes.sparkSession.sparkContext.broadcast(index.book)  # m x codes small vectors
-    sizes = index.lists.groupBy("cluster").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("cuts"))
+    parts = lambda rows, size, name: rows.groupBy("cluster").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = parts(index.lists, LIST_BLOCK, "cuts").join(parts(probes, PROBE_BLOCK, "slices"), "cluster")
     value = "code" if coarse else "vector"
-    lists = index.lists.join(sizes, "cluster").select("cluster", F.pmod(F.xxhash64("ref_id"), "cuts").cast("int").alias("cut"), "ref_id", value, F.col("is_fraud").cast("long"))
-    asked = probes.join(sizes, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "q_id", "q")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    lists = index.lists.join(sizes, "cluster").select("cluster", F.pmod(F.xxhash64("ref_id"), "cuts").cast("int").alias("cut"), every("slices").alias("slice"), "ref_id", value, F.col("is_fraud").cast("long"))
+    asked = probes.join(sizes, "cluster").select("cluster", every("cuts").alias("cut"), F.pmod(F.xxhash64("q_id"), "slices").cast("int").alias("slice"), "q_id", "probe", "q")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("q_id", pa.int64()), ("ref_id", pa.int64()), ("d2", pa.float64()), ("is_fraud", pa.int64())])
+        schema = pa.schema([("q_id", pa.int64()), ("probe", pa.int32()), ("ref_id", pa.int64()), ("d2", pa.float64()), ("is_fraud", pa.int64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        ids, q = left.column("q_id").to_numpy(), knn.to_matrix(left.column("q").combine_chunks())
+        ids, probe, q = left.column("q_id").to_numpy(), left.column("probe").to_numpy(), knn.to_matrix(left.column("q").combine_chunks())
         refs, label = right.column("ref_id").to_numpy(), right.column("is_fraud").to_numpy()
         x = knn.to_matrix(right.column(value).combine_chunks())
         found = []
@@ -225,11 +350,11 @@ def scan(probes: DataFrame, index: Index, candidates: int, coarse: bool = True)
             i, j = np.nonzero(d <= at[:, None])
             keep = knn.top(i, d[i, j], refs[j], candidates)
             i, j = i[keep], j[keep]
-            found.append((ids[a + i], refs[j], d[i, j], label[j]))
+            found.append((ids[a + i], probe[a + i], refs[j], d[i, j], label[j]))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=schema)
 
-    rows = asked.groupBy("cluster", "cut").cogroup(lists.groupBy("cluster", "cut")).applyInArrow(run, "q_id long, ref_id long, d2 double, is_fraud long")
-    return knn.ranked(rows, candidates)
+    units = ["cluster", "cut", "slice"]
+    return asked.groupBy(*units).cogroup(lists.groupBy(*units)).applyInArrow(run, "q_id long, probe int, ref_id long, d2 double, is_fraud long")
 
 
 def check(k: int, candidates: int) -> None:

@@ -14,9 +14,11 @@ from vicinal.functions import distance
 K = 5
 THRESHOLD = 0.6
 GRAY = (2, 3)
-#: Queries that travel at once, in bytes of their vectors, and that are compared at once.
+#: Bytes of the query vectors that one task holds, and queries that are compared at once.
 QUERY_BLOCK = 16 << 20
 AT_ONCE = 256
+#: References of a unit of work, where the queries are more than one block.
+REF_BLOCK = 1 << 18
 
 
 def to_matrix(column: pa.Array) -> np.ndarray:
@@ -32,18 +34,41 @@ def top(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return order[np.arange(len(order)) - first < k]
 
 
-def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of the queries, block by block; a block is all that the driver holds."""
-    ids, vectors, held = [], [], 0
-    for row in queries.where("q is not null").select("q_id", "q").toLocalIterator():
-        ids.append(row[0])
-        vectors.append(row[1])
-        held += 8 * len(row[1])
-        if held >= size:
-            yield np.array(ids), np.array(vectors, float)
-            ids, vectors, held = [], [], 0
-    if ids:
-        yield np.array(ids), np.array(vectors, float)
+class Best:
+    """The k nearest references of each of some queries among those seen so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, metric: str) -> None:
+        self.ids, self.vectors, self.k, self.metric = ids, vectors, k, metric
+        self.found = tuple(np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64))  # query, distance, reference, label
+        self.limit = np.full(len(ids), np.inf)
+
+    def see(self, own: np.ndarray, vectors: np.ndarray, label: np.ndarray) -> None:
+        found, k = [self.found], self.k
+        for a in range(0, len(self.ids), AT_ONCE):
+            for b in range(0, len(own), 4096):
+                d = distance.matrix(self.vectors[a : a + AT_ONCE], vectors[b : b + 4096], self.metric)
+                at = np.minimum(self.limit[a : a + AT_ONCE], np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.inf)
+                i, j = np.nonzero(d <= at[:, None])
+                found.append((i + a, d[i, j], own[b + j], label[b + j]))
+        best = tuple(np.concatenate(c) for c in zip(*found, strict=True))
+        keep = top(best[0], best[1], best[2], k)
+        self.found = best = tuple(c[keep] for c in best)
+        full = np.bincount(best[0], minlength=len(self.ids)) >= k
+        worst = np.zeros(len(self.ids))
+        np.maximum.at(worst, best[0], best[1])
+        self.limit[full] = worst[full]
+
+    def rows(self) -> pa.RecordBatch:
+        q, d, own, label = self.found
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(own), pa.array(d), pa.array(label)], schema=_FOUND)
+
+
+_FOUND = pa.schema([("q_id", pa.int64()), ("ref_id", pa.int64()), ("d2", pa.float64()), ("is_fraud", pa.int64())])
+_FOUND_SQL = "q_id long, ref_id long, d2 double, is_fraud long"
+
+
+def _labels(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(column.fill_null(0)).astype(np.int64)
 
 
 def exact_knn(queries: DataFrame, refs: DataFrame, k: int = K, metric: str = "l2") -> DataFrame:
@@ -51,44 +76,45 @@ def exact_knn(queries: DataFrame, refs: DataFrame, k: int = K, metric: str = "l2
 
     queries: q_id and q; refs: ref_id, vector and is_fraud.  d2 is the squared
     Euclidean distance, or that of the other metric.  A stated set of queries meets
-    all references in blocks: each task keeps the k best of its references for
-    each query, and only these are dealt out.
+    all references in blocks.  Queries of one block (their size is checked) are sent
+    to all tasks, and references stay where they are read; more are dealt out, each
+    block of queries with each block of references as one unit of bounded size.
+    Either way a task passes on the k best of its references for each query only.
     """
-    parts = []
-    for ids, vectors in query_blocks(queries):
-        sent = refs.sparkSession.sparkContext.broadcast((ids, vectors))  # QUERY_BLOCK bytes
-
-        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, vectors = sent.value
-            best = tuple(np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64))  # query, distance, reference, label
-            limit = np.full(len(ids), np.inf)
-            for batch in batches:
-                own, r = batch.column(0).to_numpy(), to_matrix(batch.column(1))
-                label = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                found = [best]
-                for a in range(0, len(ids), AT_ONCE):
-                    for b in range(0, len(own), 4096):
-                        d = distance.matrix(vectors[a : a + AT_ONCE], r[b : b + 4096], metric)
-                        at = np.minimum(limit[a : a + AT_ONCE], np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.inf)
-                        i, j = np.nonzero(d <= at[:, None])
-                        found.append((i + a, d[i, j], own[b + j], label[b + j]))
-                best = tuple(np.concatenate(c) for c in zip(*found, strict=True))
-                keep = top(best[0], best[1], best[2], k)
-                best = tuple(c[keep] for c in best)
-                full = np.bincount(best[0], minlength=len(ids)) >= k
-                worst = np.zeros(len(ids))
-                np.maximum.at(worst, best[0], best[1])
-                limit[full] = worst[full]
-            if len(best[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(best[1]), pa.array(best[3])], ["q_id", "ref_id", "d2", "is_fraud"])
-
-        parts.append(refs.where("vector is not null").select("ref_id", "vector", F.col("is_fraud").cast("long")).mapInArrow(run, "q_id long, ref_id long, d2 double, is_fraud long"))
-    if not parts:
+    asked = queries.where("q is not null").select("q_id", "q")
+    known = refs.where("vector is not null").select("ref_id", "vector", F.col("is_fraud").cast("long").alias("is_fraud"))
+    size = asked.agg(F.sum(8 + 8 * F.size("q").cast("long"))).first()[0] or 0
+    if not size:
         return refs.sparkSession.createDataFrame([], "q_id long, rk int, ref_id long, d2 double, is_fraud int")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return ranked(every, k)
+    if size > QUERY_BLOCK:
+        return ranked(_dealt(asked, known, size, k, metric), k)
+    rows = asked.toArrow()  # QUERY_BLOCK bytes at most
+    sent = refs.sparkSession.sparkContext.broadcast((rows.column(0).to_numpy(), to_matrix(rows.column(1).combine_chunks()).astype(float)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(*sent.value, k, metric)
+        for batch in batches:
+            best.see(batch.column(0).to_numpy(), to_matrix(batch.column(1)), _labels(batch.column(2)))
+        yield best.rows()
+
+    return ranked(known.mapInArrow(run, _FOUND_SQL), k)
+
+
+def _dealt(asked: DataFrame, known: DataFrame, size: int, k: int, metric: str) -> DataFrame:
+    """The k best of each unit: a block of queries and a block of references."""
+    parts, cuts = -(-size // QUERY_BLOCK), -(-known.count() // REF_BLOCK) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.select(F.pmod(F.xxhash64("q_id"), F.lit(parts)).cast("int").alias("part"), every(cuts).alias("cut"), "q_id", "q")
+    r = known.select(every(parts).alias("part"), F.pmod(F.xxhash64("ref_id"), F.lit(cuts)).cast("int").alias("cut"), "ref_id", "vector", "is_fraud")
+
+    def unit(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _FOUND.empty_table()
+        best = Best(left.column("q_id").to_numpy(), to_matrix(left.column("q").combine_chunks()).astype(float), k, metric)
+        best.see(right.column("ref_id").to_numpy(), to_matrix(right.column("vector").combine_chunks()), _labels(right.column("is_fraud")))
+        return pa.Table.from_batches([best.rows()])
+
+    return q.groupBy("part", "cut").cogroup(r.groupBy("part", "cut")).applyInArrow(unit, _FOUND_SQL)
 
 
 def ranked(candidates: DataFrame, k: int = K) -> DataFrame:

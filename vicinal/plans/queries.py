@@ -7,16 +7,18 @@ their results are the same in any engine.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vicinal import storage
 from vicinal.functions import distance, features
 from vicinal.operators import engine, evaluation, knn
 from vicinal.operators import index as ix
 from vicinal.sources import inputs
-from vicinal.sources.constants import DIMENSIONS, MCC_RISK, NORMS
+from vicinal.sources.constants import DIMENSIONS, MCC_RISK, NORMS, read_norms, read_risks
 
 EVERY = 50
 CLUSTERS, PARTS, CODES = 16, 8, 32
@@ -268,7 +270,8 @@ def gray_zone_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _transaction_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    refs = features.assembled(transactions(spark, sf_dir)).select(F.col("event_id").alias("ref_id"), "vector", "is_fraud")
+    # Written once: queries and references are both read from it.
+    refs = storage.cut(features.assembled(transactions(spark, sf_dir)).select(F.col("event_id").alias("ref_id"), "vector", "is_fraud"), "features")
     return asked(refs), refs
 
 
@@ -480,12 +483,40 @@ def gray_zone_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.gray_rate(fraud_vote(spark, sf_dir))
 
 
-@query()
+def _sql_thousandths(n: str) -> str:
+    return f"(({n}) // 1000) || '.' || lpad(CAST(({n}) % 1000 AS VARCHAR), 3, '0')"
+
+
+def _sql_phase(p: str) -> str:
+    cells = " || ',' || ".join(f"""'"{label}":' || count(*) FILTER (bucket = {b})""" for b, label in enumerate(evaluation.BUCKETS))
+    share = lambda s: f"CASE WHEN count(*) = 0 THEN '0.0' ELSE printf('%.1f', (SELECT min(upper) FROM cum WHERE cum.phase = '{p}' AND seen >= ceil(total * {s}::DOUBLE))::DOUBLE) END"
+    average = _sql_thousandths("(2 * CAST(sum(duration_ns) AS BIGINT) + 1000 * count(*)) // (2000 * count(*))")
+    return f"""(SELECT CASE WHEN (SELECT count(*) FROM log WHERE phase = 'total') = 0 THEN '{{"count":0}}' ELSE '{{"count":' || count(*) || ',"avg_ms":' || CASE WHEN count(*) = 0 THEN '0.000' ELSE {average} END || ',"max_ms":' || {_sql_thousandths("(coalesce(max(duration_ns), 0) + 500) // 1000")}
+    || ',"p50_ms":' || {share(0.5)} || ',"p90_ms":' || {share(0.9)} || ',"p99_ms":' || {share(0.99)} || ',"buckets":{{' || {cells} || '}}}}' END FROM cells WHERE phase = '{p}')"""
+
+
+@query(f"""WITH {SQL_EMB_NN}, {_VOTE}, {SQL_HIST}, cells AS (SELECT phase, duration_ns, CAST({_BUCKET} AS INTEGER) AS bucket FROM log),
+cum AS (SELECT phase, {_UPPER} AS upper, sum(n) OVER (PARTITION BY phase ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY phase) AS total FROM hist),
+gray AS (SELECT count(*) FILTER (fraud_count IN (2, 3)) AS gray, count(*) AS votes FROM votes)
+SELECT '{{"total_requests":' || (SELECT count(*) FROM log WHERE phase = 'total') || ',"phases":{{' || {" || ',' || ".join(f"""'"{p}":' || {_sql_phase(p)}""" for p in evaluation.PHASES)}
+    || '}},"gray_zone":{{"count":' || gray || ',"pct":' || printf('%.2f', round(gray * 100.0::DOUBLE / votes, 2)) || '}}}}' AS stats FROM gray""")
 def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.stats(inputs.request_log(events(spark, sf_dir)), fraud_vote(spark, sf_dir))
 
 
-@query()
+def _sql_number(x: str, digits: int) -> str:
+    return rf"coalesce(regexp_replace(regexp_replace(printf('%.{digits}f', round({x}, {digits})), '\.?0+$', ''), '^-0$', '0'), 'null')"
+
+
+_SCORED = "CASE WHEN cut THEN -3000::DOUBLE ELSE rate_component + absolute_penalty END"
+
+
+@query(f"""WITH {SQL_EVAL}, known AS (SELECT count(*) AS total, count(*) FILTER (NOT expected_approved) AS fraud, count(*) FILTER (expected_approved) AS legit FROM elog)
+SELECT '{{"expected":{{"total":' || total || ',"fraud_count":' || fraud || ',"legit_count":' || legit || ',"fraud_rate":' || {_sql_number('100.0::DOUBLE * fraud / total', 2)} || ',"legit_rate":' || {_sql_number('100.0::DOUBLE * legit / total', 2)}
+    || '}},"p99":"' || printf('%.2f', round(p99_ms, 2)) || 'ms","scoring":{{"breakdown":{{"false_positive_detections":' || fp || ',"false_negative_detections":' || fn || ',"true_positive_detections":' || tp || ',"true_negative_detections":' || tn
+    || ',"http_errors":' || err || '}},"failure_rate":"' || {_sql_number('100 * failure', 2)} || '%","weighted_errors_E":' || weighted_errors || ',"error_rate_epsilon":' || {_sql_number('epsilon', 6)}
+    || ',"p99_score":{{"value":' || {_sql_number(f'({_P99_SCORE})::DOUBLE', 2)} || ',"cut_triggered":' || (p99_ms > 2000) || '}},"detection_score":{{"value":' || {_sql_number(_SCORED, 2)} || ',"rate_component":' || {_sql_number('rate_component', 2)}
+    || ',"absolute_penalty":' || {_sql_number('absolute_penalty', 2)} || ',"cut_triggered":' || cut || '}},"final_score":' || {_sql_number(f'({_P99_SCORE})::DOUBLE + {_SCORED}', 2)} || '}}}}' AS report FROM det, late, known""")
 def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.report(inputs.eval_log(events(spark, sf_dir)))
 
@@ -493,7 +524,7 @@ def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- trained models and streams ------------------------------------------------------------------
 
 
-@query()
+@query(f"WITH {SQL_EMB} SELECT ref_id FROM refs ORDER BY md5('42:' || ref_id), ref_id LIMIT 100")
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of 100 rows, the same at every run."""
     return ix.sampled(references(spark, sf_dir), 100).select("ref_id")
@@ -524,8 +555,8 @@ def pq_mllib(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ivf_search_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = references(spark, sf_dir)
-    lists = ix.Index(ix.assign(refs.where("vector is not null"), centres := ix.train_centres(refs, CLUSTERS)), centres, None)
-    return _rounded(ix.scan(ix.probe(asked(refs), centres, TRAINED_NPROBE), lists, knn.K, coarse=False))
+    lists = ix.build(refs, ix.train_centres(refs, CLUSTERS), None)
+    return _rounded(ix.scan(ix.probe(asked(refs), lists.centres, TRAINED_NPROBE), lists, knn.K, coarse=False))
 
 
 def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, ix.Index]:
@@ -551,36 +582,147 @@ def lsh_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.lsh_knn(asked(refs), refs).select("q_id", "rk", "ref_id")
 
 
+#: Queries of the recall check, as many as the reference evaluation takes, and the least recall.
+SAMPLED, LEAST_RECALL = 20_000, 0.9
+
+
+@query(f"WITH {SQL_EMB} SELECT m AS method, least({SAMPLED}, (SELECT count(*) FROM refs)) AS n_queries, true AS enough FROM (SELECT unnest(['ivf', 'ivf_pq', 'lsh']) AS m)")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the approximate searches find nine tenths of the true neighbours of a sample of the references; the index has every row."""
+    refs = references(spark, sf_dir)
+    q = storage.cut(ix.sampled(refs, SAMPLED).select(F.col("ref_id").alias("q_id"), F.col("vector").alias("q")), "sample")
+    exact = storage.cut(knn.exact_knn(q, refs).select("q_id", "ref_id"), "exact")
+    index = ix.build_trained(refs, CLUSTERS, TRAINED_PARTS, TRAINED_CODES)
+    probes = ix.probe(q, index.centres, TRAINED_NPROBE)
+    found = {"ivf": ix.scan(probes, index, knn.K, coarse=False), "ivf_pq": ix.rerank(q, ix.scan(probes, index, TRAINED_FOUND), refs), "lsh": engine.lsh_knn(q, refs)}
+    n = q.count()
+    rows = [(m, n, evaluation.recall(near, exact).first()["recall"] >= LEAST_RECALL) for m, near in found.items()]
+    return spark.createDataFrame(rows, "method string, n_queries long, enough boolean")
+
+
 @query(SQL["fraud_decision"])
 def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions by an index that was written and read again, with every list probed and every row a candidate."""
     q, refs, index = _index(spark, sf_dir)
-    path = _folder(spark) + "/index"
+    path = storage.place(spark, "index")
     ix.write(index, path)
-    config = engine.SearchConfig("ivf_pq", nprobe=CLUSTERS, candidates=1 << 20, rerank_nprobe=CLUSTERS, rerank_candidates=1 << 20)
+    every = max(knn.K, index.lists.count())
+    config = engine.SearchConfig("ivf_pq", nprobe=CLUSTERS, candidates=every, rerank_nprobe=CLUSTERS, rerank_candidates=every)
     found = engine.votes(q, refs, config, ix.read(spark, path))
     return knn.response(knn.decide(found.select("q_id", "fraud_count")))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: in the checkpoint folder, or a local one in local runs."""
-    import tempfile
-    import uuid
+# --- readers, each of a file that is written first -----------------------------------------------
 
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{at.rstrip('/')}/{uuid.uuid4().hex}" if at else "file://" + tempfile.mkdtemp(prefix="vicinal-")
 
+@query("SELECT vec_id AS ref_id, CAST(label >= 7 AS INTEGER) AS is_fraud, CAST(len(embedding) AS INTEGER) AS places, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
+def reference_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled references from one gzipped JSON array, numbered by their places in it, which are ids here."""
+    path = storage.place(spark, "references")
+    rows = references(spark, sf_dir).select("ref_id", F.to_json(F.struct("vector", F.when(F.col("is_fraud") == 1, "fraud").otherwise("legit").alias("label"))).alias("value"))
+    # An array is one file, which one task has to write: its lines in order, between brackets.
+    first, last = rows.agg(F.min("ref_id"), F.max("ref_id")).first()
+    line = F.concat(F.when(F.col("ref_id") == first, "[").otherwise(""), F.col("value"), F.when(F.col("ref_id") == last, "]").otherwise(","))
+    rows.select("ref_id", line.alias("value")).coalesce(1).sortWithinPartitions("ref_id").select("value").write.option("compression", "gzip").text(path)
+    x = inputs.read_references(spark, path)
+    total = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return x.select((F.col("ref_id") + F.lit(first)).alias("ref_id"), "is_fraud", F.size("vector").alias("places"), F.round(total, 4).alias("total"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in NORMS.items()) + ") AS t(name, value)")
+def norms_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalization constants from a JSON file."""
+    path = storage.place(spark, "norms")
+    spark.createDataFrame([(json.dumps(NORMS),)], "value string").coalesce(1).write.text(path)
+    return spark.createDataFrame(list(read_norms(spark, path).items()), "name string, value double")
+
+
+@query(f"SELECT CAST(code AS INTEGER) AS mcc, risk FROM (VALUES {_RISKS}) AS t(code, risk)")
+def risks_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merchant risks from a JSON file, without keys that are no code."""
+    path = storage.place(spark, "risks")
+    spark.createDataFrame([(json.dumps({**{str(k): v for k, v in MCC_RISK.items()}, "x": 0.1, "10000": 0.2}),)], "value string").coalesce(1).write.text(path)
+    return read_risks(spark, path)
 
-@query(SQL_DECIDED)
-def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions of a stream of payload files; the same as of the batch."""
-    from vicinal.streaming import scoring
 
-    top = _folder(spark)
+def _entries(spark: SparkSession, sf_dir: str) -> str:
+    """A load-test file made of every 50th event."""
+    p = inputs.payloads_of_events(events(spark, sf_dir)).where(F.col("event_id") % EVERY == 0)
+    entry = F.struct(F.struct("id", "transaction", "customer", "merchant", "terminal", "last_transaction").alias("request"), (F.col("is_fraud") == 0).alias("expected_approved"))
+    path = storage.place(spark, "entries")
+    # One JSON object by the format: the entries of a test, some thousand.
+    whole = p.agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("event_id", entry.alias("e")))), lambda x: x["e"]).alias("entries"))).alias("value"))
+    whole.coalesce(1).write.text(path)
+    return path
+
+
+SQL_ENTRIES = f"SELECT 'tx-' || event_id AS id, event_type <> 'error' AS expected_approved, value AS amount FROM events WHERE event_id % {EVERY} = 0"
+
+
+@query(SQL_ENTRIES)
+def load_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests and expected answers of a load-test file."""
+    return inputs.read_entries(spark, _entries(spark, sf_dir)).select(F.col("request.id").alias("id"), "expected_approved", F.col("request.transaction.amount").alias("amount"))
+
+
+def _stream_input(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with references as a table (refs) and every 50th event as payload files (in)."""
+    top = storage.place(spark, "stream")
     refs = features.assembled(transactions(spark, sf_dir)).select(F.col("event_id").alias("ref_id"), "vector", "is_fraud")
     refs.write.parquet(f"{top}/refs")
     p = inputs.payloads_of_events(events(spark, sf_dir)).where(F.col("event_id") % EVERY == 0)
     p.drop("is_fraud").repartition(4).write.option("ignoreNullFields", "false").json(f"{top}/in")
-    stream = scoring.payload_stream(spark, f"{top}/in", ", event_id bigint")
+    return top
+
+
+@query(SQL_DECIDED)
+def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of a stream of payload files; the same as of the batch."""
+    from vicinal.streaming import scoring
+
+    top = _stream_input(spark, sf_dir)
+    stream = scoring.payload_stream(spark, f"{top}/in", "event_id bigint")
     scoring.score_stream(stream, spark.read.parquet(f"{top}/refs"), f"{top}/out", f"{top}/state", digits=6).awaitTermination()
     return spark.read.parquet(f"{top}/out").drop("batch")
+
+
+@query(SQL_DECIDED)
+def stream_decisions_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of a stream without a step for each batch: every task has the references, whose size is checked."""
+    from vicinal.streaming import scoring
+
+    top = _stream_input(spark, sf_dir)
+    decided = scoring.decisions(scoring.payload_stream(spark, f"{top}/in", "event_id bigint"), spark.read.parquet(f"{top}/refs"), digits=6)
+    decided.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(decided.schema).parquet(f"{top}/out")
+
+
+@query(f"""WITH {SQL_LOG.replace("FROM events", "epoch(ts) AS sec FROM events").replace("AS duration_ns epoch", "AS duration_ns, epoch")}
+SELECT CAST(floor(sec / 3600) * 3600 AS BIGINT) AS window_sec, phase, count(*) AS n, round(avg(duration_ns) / 1e6, 6) AS avg_ms, round(max(duration_ns) / 1e6, 6) AS max_ms FROM log GROUP BY ALL""")
+def running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics by hour and phase of a stream of the request log, as its watermark closes the hours; a last row of no phase, a day later, closes them all."""
+    from vicinal.streaming import scoring
+
+    top = storage.place(spark, "running")
+    e = events(spark, sf_dir)
+    log = inputs.request_log(e, "ts")
+    log.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{top}/in/part=1")
+    e.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).cast("timestamp").alias("ts")).select(F.lit(None).cast("string").alias("phase"), F.lit(0).cast("long").alias("duration_ns"), "ts").write.parquet(f"{top}/in/part=2")
+    stream = spark.readStream.schema("phase string, duration_ns long, ts timestamp").parquet(f"{top}/in/*")
+    rows = scoring.running_stats(stream, width="1 hour")
+    rows.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+    x = spark.read.schema(rows.schema).parquet(f"{top}/out").where("phase is not null")
+    return x.select(F.unix_timestamp("window.start").alias("window_sec"), "phase", "n", F.round(F.col("avg_ns") / 1e6, 6).alias("avg_ms"), F.round(F.col("max_ns") / 1e6, 6).alias("max_ms"))
+
+
+@query(SQL_ENTRIES)
+def load_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests that a load test sends, at a rate that rises to so many a second, until each entry was sent once."""
+    from vicinal.streaming import scoring
+
+    top = storage.place(spark, "load")
+    entries = inputs.numbered_entries(spark, _entries(spark, sf_dir))
+    sent = scoring.load_stream(spark, entries, most=entries.count(), rows_per_batch=1000)
+    scoring.run_until(sent.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state"), entries.count(), 1000)
+    x = spark.read.schema(sent.schema).parquet(f"{top}/out")
+    return x.select(F.col("request.id").alias("id"), "expected_approved", F.col("request.transaction.amount").alias("amount"))

@@ -36,10 +36,26 @@ def read_references(spark: SparkSession, path: str, partitions: int | None = Non
     return out.repartition(partitions or spark.sparkContext.defaultParallelism)
 
 
+def _entries_type() -> str:
+    payload = ", ".join(x.strip().rstrip(",").replace(" ", ": ", 1) for x in TRANSACTION.strip().split("\n"))
+    return f"entries array<struct<request: struct<{payload}>, expected_approved: boolean>>"
+
+
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """request and expected_approved of a load-test file."""
-    kind = f"entries array<struct<request: struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in TRANSACTION.strip().split(chr(10)) for x in [x.rstrip(',')])}>, expected_approved: boolean>>"
-    return spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode("entries").alias("e")).select("e.*")
+    return numbered_entries(spark, path).drop("number")
+
+
+def read_expected(spark: SparkSession, path: str) -> str | None:
+    """What a load-test file says of itself, as JSON."""
+    row = spark.read.option("wholetext", True).text(path).select(F.get_json_object("value", "$.stats").alias("stats")).where("stats is not null").first()
+    return row["stats"] if row else None
+
+
+def numbered_entries(spark: SparkSession, path: str) -> DataFrame:
+    """number (from 0), request and expected_approved of a load-test file."""
+    x = spark.read.schema(_entries_type()).option("multiLine", True).json(path)
+    return x.select(F.posexplode("entries").alias("number", "e")).select(F.col("number").cast("long").alias("number"), "e.*")
 
 
 # Codes that stand for the remainders of a merchant number by 11.
@@ -82,10 +98,10 @@ def embedding_rows(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("vector"), (F.col("label") >= 7).cast("int").alias("is_fraud"))
 
 
-def request_log(events: DataFrame) -> DataFrame:
-    """phase and duration_ns: one row for each event."""
+def request_log(events: DataFrame, *more: str) -> DataFrame:
+    """phase, duration_ns and columns of more: one row for each event."""
     phase = F.element_at(F.array(*map(F.lit, ("parse", "embed", "search", "total"))), (F.col("event_id") % 4 + 1).cast("int"))
-    return events.select(phase.alias("phase"), (F.col("value") * 1e6).cast("long").alias("duration_ns"))
+    return events.select(phase.alias("phase"), (F.col("value") * 1e6).cast("long").alias("duration_ns"), *more)
 
 
 def eval_log(events: DataFrame) -> DataFrame:

@@ -1,30 +1,114 @@
-"""Scoring of payloads as they arrive, and running statistics."""
+"""Scoring of payloads as they arrive, running statistics, and a source of load."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from vicinal.operators import engine
+from vicinal.functions import features
+from vicinal.operators import engine, knn
 from vicinal.operators import index as ix
 from vicinal.sources.constants import TRANSACTION
 
+#: Bytes of reference vectors that every task of a stream may hold.
+MOST_REFERENCES = 256 << 20
+MALFORMED = "_malformed"
+
 
 def payload_stream(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
-    """Payloads of JSON files that appear in a folder; malformed lines are left out."""
-    return spark.readStream.schema(TRANSACTION + extra).json(path).where("id is not null")
+    """Payloads of JSON files that appear in a folder; extra: more columns.  A malformed line is a row whose column MALFORMED has it."""
+    schema = ", ".join(filter(None, [TRANSACTION, extra, f"{MALFORMED} string"]))
+    return spark.readStream.schema(schema).option("columnNameOfCorruptRecord", MALFORMED).json(path)
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Payloads with an id, and the lines that are malformed or have none."""
+    if MALFORMED not in rows.columns:
+        return rows.where("id is not null"), None
+    good = F.col(MALFORMED).isNull() & F.col("id").isNotNull()
+    line = F.coalesce(MALFORMED, F.to_json(F.struct(*(c for c in rows.columns if c != MALFORMED))))
+    return rows.where(good).drop(MALFORMED), rows.where(~good).select(line.alias("line"))
 
 
-def score_stream(stream: DataFrame, refs: DataFrame, out: str, checkpoint: str, config: engine.SearchConfig | None = None, index: ix.Index | None = None, id_col: str = "event_id", digits: int | None = None) -> StreamingQuery:
-    """Decisions of each batch as Parquet under ``out``, one folder a batch, so that a batch made again replaces itself."""
+def score_stream(stream: DataFrame, refs: DataFrame, out: str, checkpoint: str, config: engine.SearchConfig | None = None, index: ix.Index | None = None, id_col: str = "event_id", digits: int | None = None, rejects: str | None = None) -> StreamingQuery:
+    """Decisions of each batch as Parquet under ``out``, one folder a batch, so that a batch made again replaces itself.
+
+    Lines that are malformed or have no id go to ``rejects``, if it is given, in the same way.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        engine.score_payloads(batch, refs, config, index, id_col, digits).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        good, bad = _split(batch)
+        engine.score_payloads(good, refs, config, index, id_col, digits).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if rejects and bad is not None:
+            bad.write.mode("overwrite").text(f"{rejects}/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def decisions(stream: DataFrame, refs: DataFrame, id_col: str = "event_id", k: int = knn.K, digits: int | None = None) -> DataFrame:
+    """id_col, fraud_count, fraud_score, approved of each payload with all its features, by exact search in the stream itself.
+
+    Every task holds the references, at most MOST_REFERENCES bytes of vectors; more
+    are for ``score_stream``.  The result goes to any sink that appends.
+    """
+    known = refs.where("vector is not null").select("ref_id", "vector", "is_fraud")
+    size = known.agg(F.sum(8 * F.size("vector").cast("long"))).first()[0] or 0
+    if size > MOST_REFERENCES:
+        raise ValueError(f"{size} bytes of references are too many for each task: use score_stream")
+    rows = known.toArrow()
+    vectors = knn.to_matrix(rows.column(1).combine_chunks()).astype(float)
+    sent = refs.sparkSession.sparkContext.broadcast((rows.column(0).to_numpy(), vectors, rows.column(2).fill_null(0).to_numpy().astype("int64")))
+    whole, _ = features.rejects(features.features(_split(stream)[0], digits=digits))
+    kind = stream.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                best = knn.Best(pa.array(range(batch.num_rows)).to_numpy(), knn.to_matrix(batch.column(1)).astype(float), k, "l2")
+                best.see(*sent.value)
+                counts = [0] * batch.num_rows
+                for q, label in zip(best.found[0].tolist(), best.found[3].tolist(), strict=True):
+                    counts[q] += label
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], [id_col, "fraud_count"])
+
+    found = features.assembled(whole, "q").select(id_col, "q").mapInArrow(run, f"`{id_col}` {kind}, fraud_count int")
+    return knn.decide(found, k)
+
+
 def running_stats(log: DataFrame, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
     """Counts, average and longest duration by window and phase of a stream of ts, phase, duration_ns."""
     return log.withWatermark("ts", late).groupBy(F.window("ts", width), "phase").agg(F.count("*").alias("n"), F.avg("duration_ns").alias("avg_ns"), F.max("duration_ns").alias("max_ns"))
+
+
+def load_stream(spark: SparkSession, entries: DataFrame, rate: int = 900, ramp: str = "120s", most: int | None = None, rows_per_batch: int | None = None) -> DataFrame:
+    """The entries of a load test (number, request, expected_approved) as a stream that sends one after the other, at a rate that rises to ``rate`` a second; behind the last one it sends nothing.
+
+    rows_per_batch: so many in each batch instead, as fast as they are taken.  most:
+    entries there are, if known.
+    """
+    if rows_per_batch:
+        ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).load()
+    else:
+        ticks = spark.readStream.format("rate").option("rowsPerSecond", rate).option("rampUpTime", ramp).load()
+    if most is not None:
+        ticks = ticks.where(F.col("value") < most)
+    return ticks.join(entries, F.col("value") == F.col("number")).select("number", "timestamp", "request", "expected_approved")
+
+
+def run_until(writer: DataStreamWriter, rows: int, rows_per_batch: int, seconds: int = 120) -> None:
+    """Runs a stream of ``load_stream`` until its source has given so many rows."""
+    query = writer.start()
+    try:
+        for _ in range(10 * seconds):
+            last = query.lastProgress
+            if query.exception() or last is not None and (last.batchId + 1) * rows_per_batch >= rows:
+                break
+            query.awaitTermination(0.1)
+    finally:
+        query.stop()
+    if (failed := query.exception()) is not None:
+        raise failed
