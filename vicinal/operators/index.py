@@ -214,38 +214,6 @@ def train_codebook(refs: DataFrame, m: int, codes: int, seed: int = 42, rounds:
     return best
 
 
-def encode(self, x: np.ndarray) -> np.ndarray:
-        p = self.parts(x)
-        return np.stack([nearest(p[:, s], self.centres[s]) for s in range(self.m)], axis=1).astype(np.int16)
-
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Squared distances of each part of each query from each centre."""
-        p = self.parts(q)
-        return np.stack([distance.matrix(p[:, s], self.centres[s]) for s in range(self.m)], axis=1)
-
-
-def split_check(dims: int, m: int) -> None:
-    if m < 1 or dims % m:
-        raise ValueError(f"{dims} places can't be cut into {m} equal parts")
-
-
-def seeded_codebook(refs: DataFrame, m: int, codes: int) -> Codebook:
-    """The parts of the vectors of the least ids."""
-    x = seeded_centres(refs, codes)
-    split_check(x.shape[1], m)
-    return Codebook(np.ascontiguousarray(x.reshape(len(x), m, -1).transpose(1, 0, 2)))
-
-
-def train_codebook(refs: DataFrame, m: int, codes: int, seed: int = 42, rounds: int = 30, trials: int = 1, sample: int = 600_000) -> Codebook:
-    """k-means in each part, on the vectors themselves (not on what a cluster centre leaves of them)."""
-    dims = len(refs.where("vector is not null").select("vector").first()[0])
-    split_check(dims, m)
-    w = dims // m
-    found = [train_centres(refs.withColumn("part", F.slice("vector", s * w + 1, w)), codes, seed + s, rounds, trials, sample, "part") for s in range(m)]
-    short = min(map(len, found))
-    return Codebook(np.stack([f[:short] for f in found]))
-
-
 def encode(refs: DataFrame, book: Codebook) -> DataFrame:
     """refs with code, an array of small integers."""
     sent = refs.sparkSession.sparkContext.broadcast(book)

@@ -542,7 +542,7 @@ def kmeans_k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def pq_mllib(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pq_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean squared error of trained codes, by part."""
     refs = references(spark, sf_dir)
     book = ix.train_codebook(refs, 4, 16, rounds=5)
