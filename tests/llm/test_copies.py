@@ -204,6 +204,6 @@ def test_sample_is_the_same_at_every_run(spark):
     from vicinal.llm import shared
 
     rows = spark.range(5000).repartition(7)
-    a, b = (sorted(r[0] for r in shared.sample(x, "id", 100).collect()) for x in (rows, rows.repartition(3)))
+    a, b = (sorted(r[0] for r in shared.sample(x, ["id"], 100).collect()) for x in (rows, rows.repartition(3)))
     assert a == b and len(a) == 100
-    assert shared.sample(rows.limit(20), "id", 100).count() == 20 and shared.sample(rows.limit(0), "id", 100).count() == 0
+    assert shared.sample(rows.limit(20), ["id"], 100).count() == 20 and shared.sample(rows.limit(0), ["id"], 100).count() == 0

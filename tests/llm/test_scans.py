@@ -12,7 +12,7 @@ import pytest
 
 from tests.llm import brute
 from vicinal.llm import bloom, pii, quality, secrets, suffix_arrays, toxicity, urls
-from vicinal.llm.queries import OP8_SQL, URL_RULES
+from vicinal.llm.queries import SQL, URL_RULES
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -232,7 +232,7 @@ def test_urls(spark, sf_dir):
 
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
-    rel = con.sql(OP8_SQL)
+    rel = con.sql(SQL["op8_urls"])
     want = sorted(map(tuple, rel.select("page_id, host, path, rule, verdict").fetchall()), key=repr)
     assert sorted((tuple(r) for r in op8_urls(spark, sf_dir).collect()), key=repr) == want
 

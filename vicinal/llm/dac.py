@@ -11,13 +11,15 @@ null ones, which come first, only their number counts), the places where documen
 begin, and for each level its chunks, bits and directory.  ``DacFile`` reads single
 tokens, documents or ranges by seeking.
 
-Texts are encoded where they are read, and only their ids are dealt out and sorted.
+Texts are encoded where they are read, and only their ids are dealt out, by ranges
+of document ids whose borders a sample of these gives.
 """
 
 from __future__ import annotations
 
 import contextlib
 import struct
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from zlib import crc32
 
@@ -154,8 +156,19 @@ def _ids(texts: pa.Array, memo: Memo, encoder: LibraryEncoder) -> tuple[np.ndarr
     return np.insert(ids, np.repeat(first[:-1], size), np.concatenate(found)), first + np.concatenate([[0], np.cumsum(size)])
 
 
-def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, print (a hash of the text) and ids (little-endian, of 16 bits if the vocabulary allows it) of every text."""
+#: Sampled rows for each part, from which its borders are taken.
+SAMPLED = 64
+
+
+def _borders(rows: DataFrame, parts: int) -> list[tuple[bool, int, int]]:
+    """(has an id, id, print) of the first row of each part but the first, by a sample of a bounded number of rows a part."""
+    found = shared.sample(rows.select("id", "print"), ["id", "print"], SAMPLED * parts).collect()
+    keys = sorted((r["id"] is not None, r["id"] or 0, r["print"]) for r in found)
+    return sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []
+
+
+def encoded(rows: DataFrame, tokenizer: str, borders: list[tuple[bool, int, int]]) -> DataFrame:
+    """part, id, print and ids (little-endian, of 16 bits if the vocabulary allows it) of rows of id, print and text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = LibraryEncoder(tokenizer)
@@ -166,11 +179,11 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
                 ids, first = _ids(batch.column(2).slice(a, b - a), memo, encoder)
                 raw, cut = ids.astype(kind).tobytes(), (first * np.dtype(kind).itemsize).tolist()
                 own = pa.array([raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), own], ["id", "print", "ids"])
+                names, prints = (batch.column(k).slice(a, b - a) for k in (0, 1))
+                part = [bisect_right(borders, (i is not None, i or 0, p)) for i, p in zip(names.to_pylist(), prints.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), names, prints, own], ["part", "id", "print", "ids"])
 
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(shared.integer_id(docs, id_col).alias("id"), F.xxhash64(text).alias("print"), text.alias("text"))
-    return rows.mapInArrow(run, "id long, print long, ids binary")
+    return rows.select("id", "print", "text").mapInArrow(run, "part int, id long, print long, ids binary")
 
 
 def _kind(most: int) -> str:
@@ -241,11 +254,12 @@ def write(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 0, ids_per_fi
 
     LIST = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("base", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
     table = f"{uri}/files.parquet"
-    # Written before they are dealt out, as the borders of the ranges take a look at all rows.
-    rows = shared.cut(encoded(docs, tokenizer, id_col, text_col), "ids")
-    dealt = rows.repartitionByRange("id", "print").sortWithinPartitions("id", "print").select("id", "ids")
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(shared.integer_id(docs, id_col).alias("id"), F.xxhash64(text).alias("print"), text.alias("text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Encoding comes once, before the shuffle: a range partitioning by Spark would run it for its own sample too.
+    dealt = encoded(rows, tokenizer, _borders(rows, parts)).repartitionById(parts, F.col("part")).sortWithinPartitions("id", "print").select("id", "ids")
     dealt.mapInArrow(run, "part long, seq long, path string, base long, n_docs long, n_ids long").write.parquet(table)
-    shared.drop(rows)
     return docs.sparkSession.read.parquet(table)
 
 

@@ -1,19 +1,24 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Patterns give the base spans.  The field decides about the other tokens with a
-digit or an ``@``: its nodes are these tokens and the base spans, in the order
-of the text; words without either are held at "no entity".  Neighbours share a
-chain potential.  Tokens of a document that repeat or resemble each other (the
-same sign sequence, the same last digits, the same name before an ``@``) share a
-skip potential, however far apart they stand.  Weights are fitted by
-pseudo-likelihood on a bounded sample; marginals come from loopy message
-passing over all documents of a batch at once.  A token whose entity has a
-marginal of ``least`` or more becomes a span beside the base ones.
+Patterns give the base spans.  The field is a chain over all tokens of a text, in
+which words with neither a digit nor an ``@`` are held at "no entity" and base
+spans at theirs, so only the tokens between (the nodes, with the base spans) have
+to be kept: what neighbours them is another node or a word.  Tokens of a document
+that repeat or resemble each other (the same sign sequence, the same last digits,
+the same name before an ``@``) share a skip potential, however far apart they
+stand.  Weights, those of skips too, are fitted by pseudo-likelihood on a bounded
+sample, in which each base span also comes once more as it might be repeated: in
+part, or written in another way.  Open tokens that resemble an entity say nothing
+in it, as nobody knows what they are.  Marginals come from loopy message passing
+over all documents of a batch at once.  A token whose entity has a marginal of
+``least`` or more becomes a span beside the base ones.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
@@ -38,6 +43,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _OPEN = re.compile(r"[0-9@]\S*")
 _ENDS = ".,;:!?()[]{}<>\"'#$%&*|"
 _DIGITS = re.compile(r"[^0-9]+")
+_TOKEN = re.compile(r"\S+")
+_SIGN = re.compile(r"\w")
 
 
 def luhn(digits: str) -> bool:
@@ -88,11 +95,12 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 @dataclass
 class Graph:
-    """Nodes of one document: span, label (-1: open), features; pairs of nodes by kind of potential."""
+    """Nodes of one document: span, label (-1: open), features, whether a word stands before and after it; pairs of nodes by kind of potential."""
 
     spans: list[tuple[int, int]]
     labels: list[int]
     features: list[list[int]]
+    words: list[tuple[bool, bool]]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
 
@@ -100,10 +108,6 @@ class Graph:
 N_FEATURES = 99
 #: Features that say which entities a token can be at all.
 _CAN_CARD, _CAN_PHONE, _CAN_IP = 96, 97, 98
-#: The least skip potential of two like tokens of one entity.
-SKIP_LEAST = 8.0
-
-
 def features(token: str, before: str, after: str) -> list[int]:
     """Numbers of the features that a token has."""
     n = sum(c in "0123456789" for c in token)
@@ -151,8 +155,22 @@ def _keys(token: str, kind: int) -> list[str]:
     return out
 
 
-def graph(text: str, base: list[list[tuple[int, int]]], everything: bool = False) -> Graph | None:
-    """The nodes and edges of a document; None if no token is open and not everything is asked for."""
+def _again(token: str, kind: int) -> str | None:
+    """An entity as a text may repeat it without its pattern: a name without the domain's end, the last digits of a phone, a card with other signs between; an address has no such form."""
+    digits = _DIGITS.sub("", token)
+    if kind == 0:
+        return token[: token.find(".", token.find("@"))]
+    if kind == 2:
+        return "--".join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    return digits[-7:-4] + "-" + digits[-4:] if kind == 3 else None
+
+
+def graph(text: str, base: list[list[tuple[int, int]]], train: bool = False) -> Graph | None:
+    """The nodes and edges of a document; None if no token is open.
+
+    train: documents without open tokens too, and each base span once more (see
+    ``_again``), between words and with a skip edge to the span.
+    """
     held = sorted((a, b, k) for k, spans in enumerate(base) for a, b in spans)
     nodes: list[tuple[int, int, int]] = list(held)
     end = k = 0
@@ -170,24 +188,38 @@ def graph(text: str, base: list[list[tuple[int, int]]], everything: bool = False
         if any(x < b and y > a for x, y, _ in held[max(0, k - 1) : k + 4]):
             continue
         nodes.append((a, b, -1))
-    if not everything and all(label >= 0 for *_, label in nodes):
+    if not train and all(label >= 0 for *_, label in nodes):
         return None
     nodes.sort()
-    out = Graph([], [], [], [], [])
+    begins, ends = zip(*(m.span() for m in _TOKEN.finditer(text)), strict=True) if nodes else ((), ())
+    out = Graph([], [], [], [], [], [])
     seen: dict[str, int] = {}
-    for i, (a, b, label) in enumerate(nodes):
-        token = text[a:b]
+
+    def add(a: int, b: int, label: int, token: str, words: tuple[bool, bool]) -> int:
+        i, j = bisect_left(begins, a) - 1, bisect_right(ends, b)
+        before = text[begins[i] : min(ends[i], a)] if i >= 0 else ""
+        after = text[max(begins[j], b) : ends[j]] if j < len(ends) else ""
         out.spans.append((a, b))
         out.labels.append(label)
-        before, after = text[max(0, a - 24) : a].split(), text[b : b + 24].split()
-        out.features.append(features(token[:256], before[-1] if before else "", after[0] if after else ""))
-        if i and a - nodes[i - 1][1] <= 2:
-            out.chain.append((i - 1, i))
-        for key in _keys(token[:256], label):
+        out.features.append(features(token, before, after))
+        out.words.append(words)
+        return len(out.spans) - 1
+
+    last = -1
+    for i, (a, b, label) in enumerate(nodes):
+        low, high = nodes[i - 1][1] if i else 0, nodes[i + 1][0] if i + 1 < len(nodes) else len(text)
+        token = text[a:b]
+        here = add(a, b, label, token, (bool(_SIGN.search(text, low, a)), bool(_SIGN.search(text, b, high))))
+        if last >= 0 and not out.words[here][0]:
+            out.chain.append((last, here))
+        last = here
+        for key in _keys(token, label):
             j = seen.get(key)
-            if j is not None and (not out.skip or out.skip[-1] != (j, i)):
-                out.skip.append((j, i))
-            seen[key] = i
+            if j is not None and (not out.skip or out.skip[-1] != (j, here)):
+                out.skip.append((j, here))
+            seen[key] = here
+        if train and label >= 0 and (form := _again(token, label)):
+            out.skip.append((here, add(a, b, label, form, (True, True))))
     return out
 
 
@@ -198,44 +230,52 @@ class Weights:
     skip: np.ndarray  # labels: for two nodes with this label
 
 
-def _matrix(graphs: list[Graph]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features as 0/1 rows, labels, and chain and skip pairs with nodes numbered through."""
+def _matrix(graphs: list[Graph]) -> tuple[np.ndarray, ...]:
+    """Features as 0/1 rows, labels, whether words stand before and after, and chain and skip pairs with nodes numbered through."""
     n = sum(len(g.labels) for g in graphs)
     x = np.zeros((n, N_FEATURES), np.float32)
-    labels, chain, skip = np.zeros(n, np.int64), [], []
+    labels, words, chain, skip = np.zeros(n, np.int64), np.zeros((n, 2), bool), [], []
     at = 0
     for g in graphs:
         for i, f in enumerate(g.features):
             x[at + i, f] = 1
         labels[at : at + len(g.labels)] = g.labels
+        words[at : at + len(g.labels)] = np.array(g.words, bool).reshape(-1, 2)
         chain += [(a + at, b + at) for a, b in g.chain]
         skip += [(a + at, b + at) for a, b in g.skip]
         at += len(g.labels)
-    return x, labels, np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
+    return x, labels, words, np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
 
 
-def fit(graphs: list[Graph], rounds: int = 200, decay: float = 1e-3) -> Weights:
-    """Pseudo-likelihood: each label given its token and the labels of the nodes that it shares a potential with."""
-    x, labels, chain, skip = _matrix(graphs)
-    w = Weights(np.zeros((N_FEATURES, N_LABELS), np.float32), np.zeros((N_LABELS, N_LABELS), np.float32), np.ones(N_LABELS, np.float32))
+def fit(graphs: list[Graph], rounds: int = 300, decay: float = 1e-3) -> Weights:
+    """Pseudo-likelihood: each label given its token and the labels of the nodes and words that it shares a potential with."""
+    x, labels, words, chain, skip = _matrix(graphs)
+    w = Weights(np.zeros((N_FEATURES, N_LABELS), np.float32), np.zeros((N_LABELS, N_LABELS), np.float32), np.zeros(N_LABELS, np.float32))
     if not len(labels):
         w.unary[0, -1] = 9.0
         return w
-    y = np.where(labels < 0, N_LABELS - 1, labels)
-    one = np.eye(N_LABELS, dtype=np.float32)[y]
-    ends = [(skip[:, 0], skip[:, 1]), (skip[:, 1], skip[:, 0])]
+    none = N_LABELS - 1
+    # Open tokens that resemble an entity may be one: they neither count nor say anything.
+    unknown = np.zeros(len(labels), bool)
+    for a, b in ((skip[:, 0], skip[:, 1]), (skip[:, 1], skip[:, 0])):
+        unknown[a[(labels[a] < 0) & (labels[b] >= 0)]] = True
+    y = np.where(labels < 0, none, labels)
+    one = np.eye(N_LABELS, dtype=np.float32)[y] * ~unknown[:, None]
     near = np.zeros((len(y), N_LABELS), np.float32)  # labels of skip neighbours
-    for a, b in ends:
-        np.add.at(near, a, one[b])
+    np.add.at(near, skip[:, 0], one[skip[:, 1]])
+    np.add.at(near, skip[:, 1], one[skip[:, 0]])
     left, right = np.zeros_like(near), np.zeros_like(near)
     np.add.at(right, chain[:, 0], one[chain[:, 1]])
     np.add.at(left, chain[:, 1], one[chain[:, 0]])
-    # Tokens that look like an entity and yet fail its test are rare and tell the most.
+    left[:, none] += words[:, 0]
+    right[:, none] += words[:, 1]
     size = 1.0 / len(y)
-    weight = np.where((labels < 0) & (x[:, 5:9].any(1) | x[:, 24:28].any(1)), 20.0, 1.0).astype(np.float32)[:, None] * size
+    # Tokens that look like an entity and yet fail its test are rare and tell the most.
+    weight = np.where((labels < 0) & (x[:, 5:9].any(1) | x[:, 24:28].any(1)), 20.0, 1.0).astype(np.float32)[:, None] * size * ~unknown[:, None]
+    possible = _possible(x)
     state = [np.zeros_like(v) for v in (w.unary, w.chain, w.skip)]
     for _ in range(rounds):
-        score = x @ w.unary + left @ w.chain + right @ w.chain.T + near * w.skip
+        score = x @ w.unary + left @ w.chain + right @ w.chain.T + near * w.skip + possible
         score -= score.max(1, keepdims=True)
         p = np.exp(score)
         p /= p.sum(1, keepdims=True)
@@ -244,19 +284,22 @@ def fit(graphs: list[Graph], rounds: int = 200, decay: float = 1e-3) -> Weights:
             g -= decay * size * v
             s += g * g
             v += 0.5 * g / (np.sqrt(s) + 1e-8)
-    # Where repeats are rare, the sample says little of skip potentials: they are about
-    # agreement, and never less than these.
-    np.maximum(w.skip, np.array([SKIP_LEAST] * len(KINDS) + [1.0], np.float32), out=w.skip)
     return w
 
 
+def _possible(x: np.ndarray) -> np.ndarray:
+    """0 for the labels that a token can have, far below for the others."""
+    out = np.zeros((len(x), N_LABELS), np.float32)
+    for label, feature in ((1, _CAN_IP), (2, _CAN_CARD), (3, _CAN_PHONE)):
+        out[x[:, feature] == 0, label] = -60.0
+    return out
+
+
 def marginals(graphs: list[Graph], w: Weights, rounds: int = 12) -> np.ndarray:
     """Loopy sum-product over all graphs at once, in logarithms; nodes with a label are held at it."""
-    x, labels, chain, skip = _matrix(graphs)
-    unary = x @ w.unary
+    x, labels, words, chain, skip = _matrix(graphs)
+    unary = x @ w.unary + words[:, :1] * w.chain[-1] + words[:, 1:] * w.chain[:, -1] + _possible(x)
     fixed = labels >= 0
-    for label, feature in ((1, _CAN_IP), (2, _CAN_CARD), (3, _CAN_PHONE)):
-        unary[x[:, feature] == 0, label] = -60.0
     unary[fixed] = -60.0
     unary[fixed, labels[fixed]] = 0.0
     pairs = np.concatenate([chain, skip])
@@ -286,21 +329,23 @@ def marginals(graphs: list[Graph], w: Weights, rounds: int = 12) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def train(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Weights:
-    """Weights from ``sample`` documents, the first by a hash of their ids; the base spans are the labels."""
+def train(docs: DataFrame, sample: int = 2000, sample_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> Weights:
+    """Weights from ``sample`` documents, the first by a hash of id and text, and ``sample_bytes`` of text at most; the base spans are the labels.
+
+    Null ids and texts are left out; rows equal in both count once.
+    """
     arrow_batches(docs.sparkSession)
 
     def nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
         for batch in batches:
-            found = [graph(t, base_spans(t), True) for t in batch.column(0).to_pylist() if t]
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps([g for g in found if g])], pa.binary())], ["graphs"])
-
-    import pickle
+            found = [graph(t, base_spans(t), True) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(g) for g in found if g and g.labels], pa.binary())], ["graph"])
 
-    rows = shared.sample(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", sample).select("t")
-    return fit([g for row in rows.mapInArrow(nodes, "graphs binary").collect() for g in pickle.loads(row[0])])
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")).where("id is not null and text <> ''")
+    taken = docs.sparkSession.createDataFrame(shared.chosen(rows, sample, sample_bytes), f"id {docs.schema[id_col].dataType.simpleString()}, hash long")
+    found = rows.join(F.broadcast(taken), ["id", "hash"]).dropDuplicates(["id", "hash"]).select("text").mapInArrow(nodes, "graph binary")
+    return fit([pickle.loads(x) for x in sorted(r[0] for r in found.collect())])
 
 
 def find(docs: DataFrame, weights: Weights | None = None, least: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,8 +354,10 @@ def find(docs: DataFrame, weights: Weights | None = None, least: float = 0.95, i
     id_col; n_email, n_ip, n_card, n_phone (base spans); base_sha256 (of
     kind:start:end by kind, then start, comma-joined; code points); spans (the
     same for base and added spans); n_added.  A null text is empty; null and
-    repeated ids stay as they are; an empty table gives no rows; other columns
-    are not read.
+    repeated ids stay as they are, and equal texts have equal spans; of entities
+    with equal marginals the first kind is taken; an empty table gives no rows; a
+    very long text or token is looked at as a whole; other columns are not read,
+    whatever their names.
     """
     arrow_batches(docs.sparkSession)
     w = weights or train(docs, id_col=id_col, text_col=text_col)
@@ -346,4 +393,4 @@ def find(docs: DataFrame, weights: Weights | None = None, least: float = 0.95, i
             yield pa.RecordBatch.from_arrays(out, names)
 
     schema = f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)

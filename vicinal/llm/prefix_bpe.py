@@ -268,9 +268,10 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
 
     Ids are hashed as little-endian unsigned 32-bit integers; the decoded bytes
     are those of the ids, not of the text.  With keep_ids, a column ids follows.
-    A null text is empty (no tokens); null and repeated ids stay as they are; an
-    empty table gives no rows; other columns are not read.  A text without
-    spaces costs time in proportion to its length.
+    A null text is empty (no tokens); null and repeated ids stay as they are, and
+    equal texts have equal ids; an empty table gives no rows; other columns are not
+    read, whatever their names.  A text of any length is encoded as a whole, and one
+    without spaces costs time in proportion to its length.
     """
     arrow_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -295,4 +296,4 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays(out, names)
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)

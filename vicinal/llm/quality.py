@@ -1,8 +1,8 @@
 """Quality rules from divergence of distributions, in built-in functions only.
 
 Each document has a histogram of character classes and one of the common words
-of its language.  The references are the sums of these over all documents of the
-language.  A document whose Jensen-Shannon distance from a reference exceeds a
+of its language.  Its references are the sums of these over all other documents of
+the language.  A document whose Jensen-Shannon distance from a reference exceeds a
 limit is rejected, if it is long enough for its histogram to mean anything.
 """
 
@@ -15,12 +15,12 @@ from vicinal.llm import shared
 
 #: Frequent words by language.  A language without any is judged by characters alone.
 COMMON = {
-    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "ist", "für", "nicht"),
-    "en": ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on"),
-    "es": ("de", "la", "que", "el", "en", "y", "los", "del", "se", "las", "por", "un"),
-    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "dans"),
+    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "ist", "für", "nicht", "auf", "sich", "des", "dem", "ein", "eine", "im", "es"),
+    "en": ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on", "with", "as", "he", "be", "at", "by", "are", "this"),
+    "es": ("de", "la", "que", "el", "en", "y", "los", "del", "se", "las", "por", "un", "para", "con", "no", "una", "su", "al", "es", "lo"),
+    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "dans", "est", "par", "pour", "qui", "il", "au", "sur", "pas"),
 }
-N_COMMON = 12
+N_COMMON = 20
 CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "other")
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -34,7 +34,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row for each row: id, key (language with common words, else empty), counts and histograms (arrays of long)."""
     key = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise(F.lit(""))
     lists = F.create_map(*(x for k, v in COMMON.items() for x in (F.lit(k), F.array(*(F.lit(f" {w} ") for w in v)))))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", key.alias("key"), "text", F.array_remove(F.split("text", SPACES), "").alias("words"))
     # A three-word window is a 64-bit hash and its place, so sorting brings equal windows together.
     window = "struct(xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)) as h, cast(i as bigint) as p)"
@@ -43,8 +43,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = rows.select(
         "id", "key", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         lines.alias("lines"), F.sort_array(F.expr(f"transform(if(size(words) < 3, cast(array() as array<int>), sequence(0, size(words) - 3)), i -> {window})")).alias("windows"),
-        F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" ")).alias("spaced"), chars.alias("chars"), F.octet_length("text").cast("long").alias("bytes"),
-        _left(F.col("text"), r"[^#*$%&|<>]+").alias("symbol"), _left(F.col("text"), r"[^A-Z]+").alias("upper"), _left(F.col("text"), r"[^0-9]+").alias("digit"), _left(F.col("text"), r"""[^.,;:!?'"()-]+""").alias("mark"),
+        F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" ")).alias("spaced"), chars.alias("chars"),
+        _left(F.col("text"), r"[^#*$%&|<>]+").alias("symbol"), _left(F.col("text"), r"[^a-z]+").alias("lower"), _left(F.col("text"), r"[^A-Z]+").alias("upper"), _left(F.col("text"), r"[^0-9]+").alias("digit"), _left(F.col("text"), r"""[^.,;:!?'"()-]+""").alias("mark"),
     )
     same = "v.h = get(windows, {}).h"
     twice = F.expr(f"filter(windows, (v, i) -> coalesce({same.format('i - 1')}, false) or coalesce({same.format('i + 1')}, false))")
@@ -53,7 +53,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = rows.select(
         "id", "key", "n_words", "word_chars", F.col("symbol").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.sort_array(F.transform(twice, lambda v: v["p"])).alias("places"),
-        F.array(F.greatest(F.lit(0), F.expr("word_chars - symbol - upper - digit - mark - (bytes - chars)")), "upper", "digit", F.expr("chars - word_chars"), "mark", "symbol", F.expr("bytes - chars")).alias("by_class"),
+        F.array("lower", "upper", "digit", F.expr("chars - word_chars"), "mark", "symbol", F.expr("word_chars - lower - upper - digit - mark - symbol")).alias("by_class"),
         lowered.alias("low"), F.try_element_at(lists, F.col("key")).alias("common"),
     )
     covered = F.expr("aggregate(transform(places, (p, i) -> least(3L, coalesce(p - get(places, i - 1), 3L))), 0L, (s, x) -> s + x)")
@@ -79,15 +79,19 @@ def judge(docs: DataFrame, limit_class: float = 0.3, limit_word: float = 0.25, l
     base_failed (fewer than 50 words, or more than half of them in three-word
     windows that occur twice); kept (not base_failed and no distance above its
     limit); js_class and js_word (null where the text is shorter than its least
-    number of words).  A null text has no words; a null or unknown language has
-    the reference of all such documents, and no common words; null and repeated
-    ids stay as they are; an empty table gives no rows.
+    number of words, and where the language has no other document with any).  A
+    null text has no words; a null or unknown language has the reference of all
+    such documents, and no common words; null and repeated ids stay as they are, and
+    equal rows have equal results; an empty table gives no rows; a very long text is
+    read as a whole, its windows told apart by 64-bit hashes; other columns are not
+    read, whatever their names.
     """
     rows = shared.cut(measured(docs, id_col, text_col, lang_col))
     # One row for each language that has common words, and one for the others.
     total = [F.array(*(F.sum(F.get(c, F.lit(k)).cast("double")) for k in range(n))).alias(f"all_{c}") for c, n in (("by_class", len(CLASSES)), ("by_word", N_COMMON + 1))]
     reference = rows.groupBy("key").agg(*total)
-    both = rows.join(F.broadcast(reference), "key").select(
+    both = rows.join(F.broadcast(reference), "key")
+    both = both.withColumns({f"all_{c}": F.zip_with(f"all_{c}", c, lambda x, y: x - y) for c in ("by_class", "by_word")}).select(
         "*", F.when(F.col("n_words") >= least_words, distance("by_class", "all_by_class")).alias("js_class"),
         F.when((F.col("n_words") >= least_words_common) & (F.col("key") != ""), distance("by_word", "all_by_word")).alias("js_word"),
     )

@@ -90,51 +90,28 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Rules of the URL query: verdict, host, path.
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Hosts whose pages make up the list of the URL query.
-LISTED_HOSTS = ("spam-farm.", "cheap-pills.")
+#: Parts of the hosts that the list of the URL query holds URLs of.
+LISTED_HOSTS = ("spam-farm.", "cheap-pills.", "casino-win.", "free-bets.", "ads-track.", "adult-x.")
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on all pages; the list holds the URLs of two families of hosts."""
+    """Verdicts on all pages.
+
+    The list holds, written in another way, the URLs of such pages of six families
+    of hosts whose id isn't divisible by three, and for each one more of its host
+    that no page has.
+    """
     from pyspark.sql import functions as F
 
     from vicinal.llm import urls
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    host, _ = urls.host_and_path(F.col("url"))
-    listed = pages.where(F.greatest(*(F.locate(h, host) for h in LISTED_HOSTS)) > 0)
+    host, path = urls.host_and_path(F.col("url"))
+    bad = pages.where(F.greatest(*(F.locate(h, host) for h in LISTED_HOSTS)) > 0).where("page_id % 3 <> 0")
+    listed = bad.select(F.explode(F.array(F.concat(F.lit("https://WWW."), urls.canonical(host, path), F.lit("/?from=list")), F.concat(F.lit("http://"), host, F.lit("/unseen/"), F.col("page_id").cast("string")))).alias("url"))
     return urls.judge(pages, listed, URL_RULES)
 
 
-OP8_SQL = """
-WITH cut AS (
-    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
-), parts AS (
-    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
-    FROM cut
-), named AS (
-    SELECT *, CASE WHEN host <> '' THEN concat(regexp_replace(regexp_replace(host, ':[0-9]*\\z', ''), '^(www|m)\\.', ''),
-        regexp_replace(regexp_replace(path, '(/index)?\\.html?\\z', ''), '/+\\z', '')) END AS canonical
-    FROM parts
-), ruled AS (
-    SELECT *, CASE
-        WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
-        WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
-        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
-        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
-        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
-    FROM named
-), listed AS (
-    SELECT DISTINCT canonical FROM named WHERE canonical IS NOT NULL AND (contains(host, 'spam-farm.') OR contains(host, 'cheap-pills.'))
-)
-SELECT page_id, host, path, rule, CASE
-    WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled LEFT JOIN listed USING (canonical)
-"""
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_ngram_join": op2_ngram_join,
@@ -153,5 +130,5 @@ SQL: dict[str, str] = {
     "op3_line_dedup": sql.LINE_DEDUP,
     "op6_quality": sql.QUALITY,
     "op7_decontamination": sql.DECONTAMINATION,
-    "op8_urls": OP8_SQL,
+    "op8_urls": sql.urls(URL_RULES, LISTED_HOSTS),
 }

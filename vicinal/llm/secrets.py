@@ -18,6 +18,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -138,27 +139,29 @@ def scored(text: str) -> Iterator[tuple[int, int, float]]:
     defined: dict[str, list[int]] = {}
     for k, (name, _, _) in enumerate(found):
         defined.setdefault(name, []).append(k)
+    # From the most sensitive target on, so that the first visit of an assignment is the best one.
+    seen: set[int] = set()
     best: dict[tuple[int, int], float] = {}
-    for k, (target, _, operands) in enumerate(found):
-        weight = sensitivity(target)
+    weighed = sorted(((sensitivity(name), k) for k, (name, _, _) in enumerate(found)), key=lambda x: (-x[0], x[1]))
+    for weight, k in weighed:
         if weight <= 0:
-            continue
-        todo, seen = [(k, o) for o in operands], {k}
+            break
+        todo = [k]
         while todo:
-            where, (kind, value, a, b) = todo.pop()
-            known = defined.get(value) if kind == "word" else None
-            if known:  # the last definition before this use, else the first one after it
-                i = bisect_left(known, where)
-                source = known[i - 1] if i else known[0]
-                if source not in seen:
-                    seen.add(source)
-                    todo += [(source, o) for o in found[source][2]]
+            where = todo.pop()
+            if where in seen:
                 continue
-            value = value.rstrip(".,;")
-            b = a + len(value)
-            score = weight + looks_secret(value)
-            if score > best.get((a, b), -1e9):
-                best[a, b] = score
+            seen.add(where)
+            for kind, value, a, b in found[where][2]:
+                known = defined.get(value) if kind == "word" else None
+                if known:  # the last definition before this use, else the first one after it
+                    i = bisect_left(known, where)
+                    todo.append(known[i - 1] if i else known[0])
+                    continue
+                value = value.rstrip(".,;")
+                b = a + len(value)
+                if (a, b) not in best:
+                    best[a, b] = weight + looks_secret(value)
     for (a, b), score in sorted(best.items()):
         yield a, b, score
 
@@ -170,7 +173,9 @@ def find(docs: DataFrame, least: float = 3.0, id_col: str = "doc_id", text_col:
     kind:start:end by start, then kind, comma-joined; code points); spans (the
     same for base and added spans); n_added.  An added literal has no sign in
     common with a base span.  A null text is empty; null and repeated ids stay
-    as they are; an empty table gives no rows; other columns are not read.
+    as they are, and equal texts have equal spans; an empty table gives no rows; a
+    very long text is read as a whole, in time in proportion to its length; other
+    columns are not read, whatever their names.
     """
     arrow_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -191,11 +196,12 @@ def find(docs: DataFrame, least: float = 3.0, id_col: str = "doc_id", text_col:
                 digests.append(sha256(text.encode()).hexdigest())
                 more = []
                 if t and ("=" in t or ":" in t):
-                    held = [x for own in base for x in own]
-                    more = [(a, b) for a, b, score in scored(t) if score >= least and not any(a < y and b > x for x, y in held)]
+                    held = sorted(x for own in base for x in own)
+                    reach = list(accumulate((y for _, y in held), max))  # the farthest end so far
+                    more = [(a, b) for a, b, score in scored(t) if score >= least and not ((k := bisect_left(held, (b, 0))) and reach[k - 1] > a)]
                 spans.append(joined([base[0] + more, base[1], base[2]]) if more else text)
                 added.append(len(more))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], names)
 
     schema = f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)

@@ -1,93 +1,38 @@
-"""The folder that driver and executors share, and cut lineage."""
+"""What several text operators need: tables in the shared folder, bounded samples, ids."""
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vicinal.storage import cut, delete, drop, folder, place, scope
 
-def folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where none is (local runs and tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = found.get() if found.isDefined() else None
-    if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="vicinal-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def place(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder."""
-    return f"{folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-#: Paths of tables that are written inside ``scope``.
-_made: list[list[str]] = []
-
-
-def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
-    """df, computed once and written to the shared folder, so that a lost executor costs no recomputation of it."""
-    path = place(df.sparkSession, kind)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._vicinal_path = path
-    for paths in _made:
-        paths.append(path)
-    return out
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["chosen", "cut", "delete", "drop", "folder", "integer_id", "place", "sample", "scope"]
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a table that ``cut`` has written and that nothing needs any more; other tables stay."""
-    if path := getattr(df, "_vicinal_path", None):
-        delete(df.sparkSession, path)
-
-
-@contextlib.contextmanager
-def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Deletes at its end what ``cut`` has written inside, but for the tables that are put into the list."""
-    kept: list[DataFrame] = []
-    paths: list[str] = []
-    _made.append(paths)
-    try:
-        yield kept
-    finally:
-        _made[:] = [x for x in _made if x is not paths]
-        for path in paths:
-            if path not in {getattr(df, "_vicinal_path", None) for df in kept}:
-                delete(spark, path)
-
-
-def size_of(df: DataFrame) -> int:
-    """Spark's estimate of the bytes of df."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def sample(df: DataFrame, by: str, n: int, total: int | None = None) -> DataFrame:
-    """n rows of df, the first ones by a hash of column ``by``: the same ones at every run.
+def sample(df: DataFrame, by: list[str], n: int, total: int | None = None) -> DataFrame:
+    """n rows of df, the first ones by a hash of the columns ``by``: the same ones at every run, if these tell rows apart.
 
     Only rows whose hash is small enough to be among half as many again as wanted are
     ordered, so tasks pass on n rows in all, not n each.
     """
     total = df.count() if total is None else total
     span = 1 << 30
-    place = F.pmod(F.xxhash64(by), F.lit(span))
+    place = F.pmod(F.xxhash64(*by), F.lit(span))
     few = df.where(place < int(span * min(1.0, (1.5 * n + 50) / max(1, total))))
-    return few.orderBy(place, by).limit(n)
+    return few.orderBy(place, *by).limit(n)
+
+
+def chosen(rows: DataFrame, n: int, size: int) -> list[tuple]:
+    """(id, hash) of at most n rows of id, hash and text, the first by a hash of both, with at most ``size`` bytes of text; a row that would go beyond is left out."""
+    slim = rows.select("id", "hash", F.octet_length("text").alias("size"))
+    out, held = [], 0
+    for r in sorted(set(sample(slim, ["id", "hash"], n).collect()), key=lambda r: (r["hash"], r["id"])):  # n rows
+        if held + r["size"] <= size:
+            held += r["size"]
+            out.append((r["id"], r["hash"]))
+    return out
 
 
 def integer_id(df: DataFrame, column: str) -> Column:

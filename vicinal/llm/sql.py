@@ -6,6 +6,8 @@ them, which is far too slow for large tables and right for small ones.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from vicinal.llm.quality import COMMON, N_COMMON
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,7 +73,7 @@ def _left(others: str) -> str:
 
 def _js(a: str, b: str) -> str:
     """Jensen-Shannon distance (base 2) of two lists of counts."""
-    p, q = (f"list_transform({x}, lambda x: x / CAST(list_sum({x}) AS DOUBLE))" for x in (a, b))
+    p, q = (f"list_transform({x}, lambda x: x / nullif(CAST(list_sum({x}) AS DOUBLE), 0.0))" for x in (a, b))
     term = "CASE WHEN z[{0}] <= 0 THEN 0.0 ELSE z[{0}] * log2(2 * z[{0}] / (z[1] + z[2])) END"
     return f"sqrt(abs(0.5 * list_sum(list_transform(list_zip({p}, {q}), lambda z: {term.format(1)} + {term.format(2)}))))"
 
@@ -83,13 +85,39 @@ triples AS (SELECT doc_id, i, list_slice(w, i, i + 2) AS g FROM (SELECT doc_id,
 twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM triples),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM twice WHERE n > 1) GROUP BY doc_id),
 counts AS (SELECT doc_id, key, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, {_left('[^#*$%&|<>]+')} AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-    coalesce(covered.n, 0) AS n_repeat_words, CAST(length(t) AS BIGINT) AS chars, CAST(strlen(t) AS BIGINT) AS bytes, {_left('[^A-Z]+')} AS upper, {_left('[^0-9]+')} AS digit, {_left('[^.,;:!?' + "''" + '"()-]+')} AS mark,
+    coalesce(covered.n, 0) AS n_repeat_words, CAST(length(t) AS BIGINT) AS chars, {_left('[^a-z]+')} AS lower, {_left('[^A-Z]+')} AS upper, {_left('[^0-9]+')} AS digit, {_left('[^.,;:!?' + "''" + '"()-]+')} AS mark,
     list_transform(common, lambda c: len(list_filter(w, lambda x: lower(x) = c))) AS named FROM texts LEFT JOIN covered USING (doc_id)),
-hist AS (SELECT *, [greatest(0, word_chars - n_symbols - upper - digit - mark - (bytes - chars)), upper, digit, chars - word_chars, mark, n_symbols, bytes - chars] AS by_class,
+hist AS (SELECT *, [lower, upper, digit, chars - word_chars, mark, n_symbols, word_chars - lower - upper - digit - mark - n_symbols] AS by_class,
     CASE WHEN key <> '' THEN list_append(named, greatest(0, n_words - list_sum(named))) ELSE [] END AS by_word FROM counts),
 refs AS (SELECT key, [{', '.join(f'sum(by_class[{k}])' for k in range(1, 8))}] AS all_class, [{', '.join(f'sum(by_word[{k}])' for k in range(1, N_COMMON + 2))}] AS all_word FROM hist GROUP BY key),
+others AS (SELECT * EXCLUDE (all_class, all_word), list_transform(list_zip(all_class, by_class), lambda z: z[1] - z[2]) AS all_class, list_transform(list_zip(all_word, by_word), lambda z: z[1] - z[2]) AS all_word FROM hist JOIN refs USING (key)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN n_words >= 50 THEN {_js('by_class', 'all_class')} END AS js_class,
-    CASE WHEN n_words >= 200 AND key <> '' THEN {_js('by_word', 'all_word')} END AS js_word FROM hist JOIN refs USING (key))
+    CASE WHEN n_words >= 200 AND key <> '' THEN {_js('by_word', 'all_word')} END AS js_word FROM others)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(js_class, 0) <= 0.3 AND coalesce(js_word, 0) <= 0.25 AS kept,
     round(js_class, 6) AS js_class, round(js_word, 6) AS js_word FROM judged
 """
+
+
+def _named(table: str) -> str:
+    """host, path and canonical URL of the column url of a table, with its column page_id."""
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    cut = f"(SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, {rest} AS rest FROM {table}))"
+    host = r"regexp_replace(regexp_replace(host, ':[0-9]*\z', ''), '^(www|m)\.', '')"
+    path = r"regexp_replace(regexp_replace(path, '(/index)?\.html?\z', ''), '/+\z', '')"
+    return f"SELECT *, CASE WHEN host <> '' THEN concat({host}, {path}) END AS canonical FROM {cut}"
+
+
+def urls(rules: Sequence[tuple[str, str, str]], hosts: Sequence[str]) -> str:
+    """The query of the URL filter: the longest rule that fits, else whether the list has the canonical URL."""
+    by_length = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}'" for _, h, p in by_length)
+    blocked = ", ".join(f"'{h + p}'" for v, h, p in rules if v == "block")
+    return f"""
+WITH named AS ({_named('pages')}),
+bad AS (SELECT * FROM named WHERE page_id % 3 <> 0 AND ({' OR '.join(f"contains(host, '{h}')" for h in hosts)})),
+written AS (SELECT page_id, unnest(['https://WWW.' || canonical || '/?from=list', 'http://' || host || '/unseen/' || page_id]) AS url FROM bad),
+listed AS (SELECT DISTINCT canonical FROM ({_named('written')}) WHERE canonical IS NOT NULL),
+ruled AS (SELECT *, CASE {fits} END AS rule FROM named)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ({blocked}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN listed USING (canonical)
+"""

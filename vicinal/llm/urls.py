@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm import bloom
+from vicinal.llm import bloom, shared
 
 #: Verdict, host and path of a rule.
 Rule = tuple[str, str, str]
@@ -58,20 +58,19 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], id_col: st
     Without a rule the verdict is block if the canonical URL is one of the
     canonical URLs of ``listed``, else allow.  Null and repeated rows on either
     side, an empty list and an empty table are all fine; a URL without a host is
-    never listed.
+    never listed; very long URLs are URLs like others; other columns are not read,
+    whatever their names.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).select("id", host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url")).select("id", host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("id", "host", "path", name.alias("rule"), verdict.alias("ruled"), canonical(F.col("host"), F.col("path")).alias("canonical"))
 
     bad_host, bad_path = host_and_path(F.col("url"))
-    bad = listed.select(F.col(listed_col).cast("string").alias("url")).select(bad_host.alias("host"), bad_path.alias("path"))
-    bad = bad.select(canonical(F.col("host"), F.col("path")).alias("canonical")).where("canonical is not null").distinct()
-    count = bad.select(F.approx_count_distinct("canonical")).first()[0]
-    found = bloom.build(bad, F.xxhash64("canonical"), count)
-    sent = spark.sparkContext.broadcast(found)  # 16 MB at most
+    bad = listed.select(F.col(f"`{listed_col}`").cast("string").alias("url")).select(bad_host.alias("host"), bad_path.alias("path"))
+    bad = shared.cut(bad.select(canonical(F.col("host"), F.col("path")).alias("canonical")).where("canonical is not null").distinct(), "listed")
+    sent = spark.sparkContext.broadcast(bloom.build(bad, F.xxhash64("canonical"), bad.count()))  # 16 MB at most
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,11 +79,9 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], id_col: st
 
     names = ["id", "host", "path", "rule", "ruled", "canonical", "maybe"]
     schema = f"id {pages.schema[id_col].dataType.simpleString()}, host string, path string, rule string, ruled string, canonical string, maybe boolean"
-    probed = rows.withColumn("hash", F.xxhash64("canonical")).mapInArrow(probe, schema)
-    # Rows that the filter lets pass get a null key: they match nothing, and are dealt out
-    # by their own names instead of meeting in one task.
-    key = F.when(F.col("maybe") & F.col("ruled").isNull() & F.col("canonical").isNotNull(), F.col("canonical"))
-    passed, held = probed.where(key.isNull()), probed.where(key.isNotNull())
-    held = held.join(bad.withColumn("listed", F.lit(True)), "canonical", "left").withColumn("method", F.when(F.col("listed"), "block").otherwise("allow"))
+    # Written once, as both ways read it; pages themselves are read once.
+    probed = shared.cut(rows.withColumn("hash", F.xxhash64("canonical")).mapInArrow(probe, schema), "probed")
+    asked = F.coalesce(F.col("maybe") & F.col("ruled").isNull() & F.col("canonical").isNotNull(), F.lit(False))
+    held = probed.where(asked).join(bad.withColumn("listed", F.lit(True)), "canonical", "left").withColumn("method", F.when(F.col("listed"), "block").otherwise("allow"))
     columns = [F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", "method").alias("verdict")]
-    return passed.withColumn("method", F.lit("allow")).select(*columns).unionByName(held.select(*columns))
+    return probed.where(~asked).withColumn("method", F.lit("allow")).select(*columns).unionByName(held.select(*columns))
