@@ -7,9 +7,10 @@ to be kept: what neighbours them is another node or a word.  Tokens of a documen
 that repeat or resemble each other (the same sign sequence, the same last digits,
 the same name before an ``@``) share a skip potential, however far apart they
 stand.  Weights, those of skips too, are fitted by pseudo-likelihood on a bounded
-sample, in which each base span also comes once more as it might be repeated: in
-part, or written in another way.  Open tokens that resemble an entity say nothing
-in it, as nobody knows what they are.  Marginals come from loopy message passing
+sample, in which each base span also comes once more as it might be repeated (in
+part, or written in another way), and beside that a token of the same form that
+repeats nothing and is no entity.  So forms alone say little and skips decide.  Open
+tokens that resemble an entity say nothing in it, as nobody knows what they are.  Marginals come from loopy message passing
 over all documents of a batch at once.  A token whose entity has a marginal of
 ``least`` or more becomes a span beside the base ones.
 """
@@ -43,6 +44,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _OPEN = re.compile(r"[0-9@]\S*")
 _ENDS = ".,;:!?()[]{}<>\"'#$%&*|"
 _DIGITS = re.compile(r"[^0-9]+")
+_OTHER = str.maketrans("0123456789", "5678901234")
 _TOKEN = re.compile(r"\S+")
 _SIGN = re.compile(r"\w")
 
@@ -165,11 +167,20 @@ def _again(token: str, kind: int) -> str | None:
     return digits[-7:-4] + "-" + digits[-4:] if kind == 3 else None
 
 
+def _unlike(form: str, kind: int) -> str:
+    """A token of the same form that repeats nothing: other digits (of a card with a valid last one), or the name backwards."""
+    if kind == 0:
+        name, _, host = form.rpartition("@")
+        return name[::-1].translate(_OTHER) + "x@" + host
+    other = form.translate(_OTHER)
+    return next(x for d in "0123456789" for x in (other[:-1] + d,) if kind != 2 or luhn(_DIGITS.sub("", x)))
+
+
 def graph(text: str, base: list[list[tuple[int, int]]], train: bool = False) -> Graph | None:
     """The nodes and edges of a document; None if no token is open.
 
     train: documents without open tokens too, and each base span once more (see
-    ``_again``), between words and with a skip edge to the span.
+    ``_again``), between words and with a skip edge to the span, and ``_unlike`` it.
     """
     held = sorted((a, b, k) for k, spans in enumerate(base) for a, b in spans)
     nodes: list[tuple[int, int, int]] = list(held)
@@ -220,6 +231,7 @@ def graph(text: str, base: list[list[tuple[int, int]]], train: bool = False) ->
             seen[key] = here
         if train and label >= 0 and (form := _again(token, label)):
             out.skip.append((here, add(a, b, label, form, (True, True))))
+            add(a, b, -1, _unlike(form, label), (True, True))
     return out
 
 
@@ -247,7 +259,7 @@ def _matrix(graphs: list[Graph]) -> tuple[np.ndarray, ...]:
     return x, labels, words, np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
 
 
-def fit(graphs: list[Graph], rounds: int = 300, decay: float = 1e-3) -> Weights:
+def fit(graphs: list[Graph], rounds: int = 800, decay: float = 1e-3) -> Weights:
     """Pseudo-likelihood: each label given its token and the labels of the nodes and words that it shares a potential with."""
     x, labels, words, chain, skip = _matrix(graphs)
     w = Weights(np.zeros((N_FEATURES, N_LABELS), np.float32), np.zeros((N_LABELS, N_LABELS), np.float32), np.zeros(N_LABELS, np.float32))

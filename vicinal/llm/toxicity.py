@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm import shared
-from vicinal.llm.textcore import U, Words, arrow_batches, blocks
+from vicinal.llm.textcore import U, Words, arrow_batches, blocks, word_hash
 
 #: Features are words and their first bytes, as many as these.
 BEGINNINGS = (4, 5, 6)
@@ -58,6 +58,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(found), np.concatenate(owner)
 
 
+def word_number(word: str) -> int:
+    """The feature number of a word."""
+    return int(word_hash(word) >> U(64 - BITS))
+
+
 def counted(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """For each text its different features in order, each with its level in the lowest two bits."""
     found, owner = features(data, offsets)
