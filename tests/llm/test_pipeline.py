@@ -36,6 +36,59 @@ def test_stages(spark, sf_dir):
     assert {i: r.ids for i, r in tokens.items()} == {i: library.encode_ordinary(r.text) for i, r in clean.items()}
 
 
+def test_odd_documents(spark, sf_dir, tmp_path):
+    """Nulls, empty texts, repeated ids and rows, columns of clashing and dotted names; and no rows at all."""
+    real = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60").select("doc_id", "text").collect()]
+    t = "one two three four five six seven eight nine"
+    odd = [(None, None), (None, t), (None, t), (500, None), (501, ""), (502, "!!"), (503, t), (503, t), (503, "ten eleven twelve thirteen"), (504, "word " * 3000)]
+    names = ["n_lines", "n_removed", "predicted", "score", "held_out", "n_words", "n_hit", "items", "contaminated", "`a.b`", "c0", "k0", "doc", "row", "id", "lines", "scanned", "class_id", "ids"]
+    df = spark.createDataFrame([*real, *odd], "doc_id long, text string").selectExpr("doc_id", "text", "length(text) AS n_chars", "'en' AS lang", *(f"{k} AS {c}" for k, c in enumerate(names)))
+    for number, docs in enumerate((df, df.limit(0))):
+        top = f"file://{tmp_path}/{number}"
+        docs.write.parquet(f"{top}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").write.parquet(f"{top}/{table}.parquet")
+        now = spark.read.parquet(f"{top}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            now = shared.cut(stage(spark, now, top), "odd")
+            if stage is not corpus_pipeline.to_token_ids:
+                assert now.columns == df.columns
+                rows = now.collect()
+                assert all(tuple(r)[4:] == tuple(range(len(names))) and r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+        left = {(r.doc_id, r.n_tokens > 0) for r in now.collect()}
+        want = {(None, False), (500, False), (501, False), (502, True)}
+        assert want <= left if number == 0 else left == set()
+        if number == 0:
+            assert sum(r.doc_id == 503 for r in now.collect()) >= 1 and (504, True) in left
+
+
+def test_run_leaves_only_its_result(spark, sf_dir):
+    import os
+
+    top = shared.folder(spark).removeprefix("file://")
+    before = set(os.listdir(top))
+    rows = corpus_pipeline.run(spark, sf_dir).count()
+    made = set(os.listdir(top)) - before
+    assert rows > 0 and {x.rsplit("-", 1)[0] for x in made} == {"byte-level-BPE"}
+
+
+def test_a_broken_import_is_not_hidden(monkeypatch):
+    import sys
+
+    import pytest
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "vicinal.llm.queries", None)
+    monkeypatch.delitem(sys.modules, "vicinal.llm", raising=False)
+    assert "op1_pii" not in __spark_entry__.queries()
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    monkeypatch.delitem(sys.modules, "vicinal.llm.queries")
+    monkeypatch.setitem(sys.modules, "vicinal.llm.sql", None)
+    with pytest.raises(ImportError):
+        __spark_entry__.queries()
+
+
 def test_queries_are_registered():
     import re
 
