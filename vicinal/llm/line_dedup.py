@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +84,8 @@ def _ranked(lines: Lines, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     order of tokens, and keys are equal for equal tokens.
     """
     key = codes[_place(lines.token, len(codes))].astype(np.uint64) << U(40) | (lines.token & U((1 << 40) - 1))
-    order = np.lexsort((key, lines.line))
+    # Keys have 48 bits, so with fewer lines than 65,536 one number has both.
+    order = np.argsort(lines.line.astype(np.uint64) << U(48) | key) if len(lines.doc) < 1 << 16 else np.lexsort((key, lines.line))
     key, line, token = key[order], lines.line[order], lines.token[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
@@ -166,7 +168,11 @@ class Recent:
 def _entries(rows: DataFrame, codes: np.ndarray, width: int, threshold: Fraction, bins: int, whole: bool = False) -> DataFrame:
     """bin, kind and packed: entries of prefixes, lines that go as an equal one stands before them in the task, and members of runs of very frequent tokens."""
     sent = rows.sparkSession.sparkContext.broadcast(codes)  # MOST_RARITY bytes at most
-    ratio = float(np.log(threshold.denominator / threshold.numerator))
+    # Classes of sizes: each ends where the least one's partners do, so partners are in the same or the next one.
+    ends, size_of_class = [], Fraction(1)
+    while threshold < 1 and size_of_class < 1 << 40:
+        size_of_class /= threshold
+        ends.append(ceil(size_of_class))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent = Recent()
@@ -205,7 +211,7 @@ def _entries(rows: DataFrame, codes: np.ndarray, width: int, threshold: Fraction
                 if hot.any():
                     # Lines of similar sizes meet in one of two neighbouring classes of sizes.
                     k, ln = key[use[hot]], line[use[hot]]
-                    size_class = np.floor(np.log(size[ln]) / ratio).astype(np.uint64)
+                    size_class = np.searchsorted(ends, size[ln], "right").astype(np.uint64)
                     with np.errstate(over="ignore"):
                         names = np.concatenate([mix(mix(k) + size_class + U(j)) for j in (0, 1)])
                     twice = np.concatenate([ln, ln])
@@ -426,7 +432,9 @@ def repeats(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str
         groups = left.where("is_first").select("run", F.explode(F.sequence(zero, F.col("many") - 1)).alias("asked"))
         both = met_in.join(groups, "run").withColumn("part", zero).select("asked", *parts).unionByName(asked.select("asked", *parts))
         far = similar.dealt(both.join(sets, "node"), ["run", "asked", "block"], columns, across, "doc long, row long, line long")
-        close = close.unionByName(far.select(*place))
+        close = close.unionByName(shared.cut(far.select(*place), "far"))
+        shared.drop(left)
+    shared.drop(met_in)
     return met.where("gone").select(*place).unionByName(close)
 
 

@@ -214,6 +214,7 @@ def _classes(docs: DataFrame, width: int, threshold: float, tolerance: float, id
     columns = ["same", "band", "block", "node", "id", "size", "values", "set"]
     linked = similar.dealt(members.withColumn("same", F.col("i") == F.col("j")), ["key", "i", "j"], columns, work, "node long, links long, root long")
     linked = shared.cut(linked.select("node", "links", "root"), "linked")
+    shared.drop(met)
     joined = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     nodes = linked.groupBy("node").agg(F.sum("links").alias("links")).join(joined, "node", "left").select("node", "links", F.coalesce("root", "node").alias("root"))
     nodes = nodes.join(reps.select("node", "id"), "node")

@@ -14,6 +14,7 @@ of 10^9 different words has such a pair with about 0.03.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -39,9 +40,15 @@ CHUNK = 1 << 20
 
 
 def arrow_batches(spark, records: int = 512, size: int = 8 << 20) -> None:
-    """Bounds the Arrow batches that Python workers get, so that long texts fit."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    """Bounds the Arrow batches that Python workers get, so that long texts fit; a session that has lower bounds keeps them.
+
+    Plans read these settings when they run, so they stay.
+    """
+    for name, most in (("maxRecordsPerBatch", records), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.match(r"[0-9]+", spark.conf.get(key))
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
