@@ -85,6 +85,14 @@ def test_index(spark, rows, tmp_path):
     assert recall[8, 300] == 1.0 and recall[1, 300] <= recall[8, 300]
 
 
+def test_benchmark(rows):
+    x, refs, queries = rows
+    index = ix.build(refs, ix.seeded_centres(refs, 4), ix.seeded_codebook(refs, 4, 16))
+    found = evaluation.benchmark(queries, index, refs, nprobes=(1, 4), candidates=(300,)).collect()
+    assert [(r.nprobe, r.candidates) for r in found] == [(1, 300), (4, 300)] and found[1].recall == 1.0 >= found[0].recall
+    assert all(r.avg_ms > 0 and r.qps == pytest.approx(1000 / r.avg_ms) for r in found)
+
+
 def test_long_lists_are_cut(rows, monkeypatch):
     x, refs, queries = rows
     monkeypatch.setattr(ix, "LIST_BLOCK", 20)

@@ -52,15 +52,35 @@ def sweep(queries: DataFrame, index: ix.Index, refs: DataFrame, k: int = knn.K,
     return grid.join(recall(found, truth, k, ("nprobe", "candidates")), ["nprobe", "candidates"], "left").select("nprobe", "candidates", F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
-def timed(make: Callable[[], tuple[DataFrame, int]]) -> tuple[float, float]:
-    """Average milliseconds a query and queries a second of a search; ``make`` gives its DataFrame and the number of queries."""
+def timed(make: Callable[[], tuple[DataFrame, int]], path: str) -> tuple[float, float]:
+    """Average milliseconds a query and queries a second of a search, which is written to ``path``; ``make`` gives its DataFrame and the number of queries."""
     df, n = make()
     at = time.perf_counter()
-    df.write.format("noop").mode("overwrite").save()
+    df.write.mode("overwrite").parquet(path)
     ms = 1000 * (time.perf_counter() - at) / max(1, n)
     return ms, 1000 / ms if ms else 0.0
 
 
+def benchmark(queries: DataFrame, index: ix.Index, refs: DataFrame, k: int = knn.K, nprobes: tuple[int, ...] = NPROBES, candidates: tuple[int, ...] = CANDIDATES) -> DataFrame:
+    """nprobe, candidates, recall, avg_ms, qps: each setting's search on its own, timed as a whole, as a sweep's CSV has it."""
+    truth, n = storage.cut(knn.exact_knn(queries, refs, k).select("q_id", "ref_id"), "truth"), queries.count()
+    rows = []
+    for p in nprobes:
+        for c in candidates:
+            ix.check(k, c)
+            at = storage.place(refs.sparkSession, "timed")
+
+            def search(p: int = p, c: int = c) -> tuple[DataFrame, int]:
+                return ix.rerank(queries, ix.scan(ix.probe(queries, index.centres, p), index, c), refs, k), n
+
+            ms, qps = timed(search, at)
+            found = refs.sparkSession.read.parquet(at)
+            rows.append((p, c, float(recall(found, truth, k).first()["recall"]), ms, qps))
+            storage.delete(refs.sparkSession, at)
+    storage.drop(truth)
+    return refs.sparkSession.createDataFrame(rows, "nprobe int, candidates int, recall double, avg_ms double, qps double")
+
+
 def wcss(refs: DataFrame, centres: np.ndarray) -> DataFrame:
     """wcss: squared distances of all rows from their nearest centre."""
     return ix.sums(refs, centres).agg(F.sum("wcss").alias("wcss"))

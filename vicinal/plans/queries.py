@@ -600,6 +600,13 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "method string, n_queries long, enough boolean")
 
 
+@query()
+def search_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, time a query and queries a second of two settings of the quantized search on a trained index."""
+    q, refs, index = _trained(spark, sf_dir)
+    return evaluation.benchmark(q, index, refs, nprobes=(4, TRAINED_NPROBE), candidates=(TRAINED_FOUND,))
+
+
 @query(SQL["fraud_decision"])
 def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions by an index that was written and read again, with every list probed and every row a candidate."""
