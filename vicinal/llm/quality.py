@@ -36,28 +36,32 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     lists = F.create_map(*(x for k, v in COMMON.items() for x in (F.lit(k), F.array(*(F.lit(f" {w} ") for w in v)))))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", key.alias("key"), "text", F.array_remove(F.split("text", SPACES), "").alias("words"))
-    # A three-word window is a 64-bit hash and its place, so sorting brings equal windows together.
-    window = "struct(xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)) as h, cast(i as bigint) as p)"
+    # A three-word window is named by a 64-bit hash.
+    window = "xxhash64(get(words, i), get(words, i + 1), get(words, i + 2))"
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    chars = F.length("text").cast("long")
+    every = sorted({w for own in COMMON.values() for w in own})
+    hits = F.filter("words", lambda w: F.lower(w).isin(*every))
     rows = rows.select(
         "id", "key", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        lines.alias("lines"), F.sort_array(F.expr(f"transform(if(size(words) < 3, cast(array() as array<int>), sequence(0, size(words) - 3)), i -> {window})")).alias("windows"),
-        F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" ")).alias("spaced"), chars.alias("chars"),
-        _left(F.col("text"), r"[^#*$%&|<>]+").alias("symbol"), _left(F.col("text"), r"[^a-z]+").alias("lower"), _left(F.col("text"), r"[^A-Z]+").alias("upper"), _left(F.col("text"), r"[^0-9]+").alias("digit"), _left(F.col("text"), r"""[^.,;:!?'"()-]+""").alias("mark"),
+        lines.alias("lines"), F.expr(f"transform(if(size(words) < 3, cast(array() as array<int>), sequence(0, size(words) - 3)), i -> {window})").alias("hashes"),
+        F.lower(F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" "))).alias("low"), F.length("text").cast("long").alias("chars"),
+        F.regexp_replace("text", r"[a-z\x20\x09-\x0D]+", "").alias("signs"), F.try_element_at(lists, F.col("key")).alias("common"),
+    )
+    # Where windows repeat, they are sorted with their places, which brings equal ones together.
+    placed = F.expr("if(size(array_distinct(hashes)) < size(hashes), sort_array(transform(hashes, (h, i) -> struct(h as h, cast(i as bigint) as p))), cast(array() as array<struct<h: bigint, p: bigint>>))")
+    rows = rows.select(
+        "*", placed.alias("windows"), F.length("signs").cast("long").alias("n_signs"), _left(F.col("signs"), r"[^#*$%&|<>]+").alias("n_symbols"), _left(F.col("signs"), r"[^A-Z]+").alias("upper"),
+        _left(F.col("signs"), r"[^0-9]+").alias("digit"), _left(F.col("signs"), r"""[^.,;:!?'"()-]+""").alias("mark"),
     )
     same = "v.h = get(windows, {}).h"
     twice = F.expr(f"filter(windows, (v, i) -> coalesce({same.format('i - 1')}, false) or coalesce({same.format('i + 1')}, false))")
-    lowered = F.lower("spaced")
     common = F.array(*(F.expr(f"coalesce((octet_length(low) - octet_length(replace(low, get(common, {k}), ''))) div octet_length(get(common, {k})), 0L)") for k in range(N_COMMON)))
     rows = rows.select(
-        "id", "key", "n_words", "word_chars", F.col("symbol").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(F.transform(twice, lambda v: v["p"])).alias("places"),
-        F.array("lower", "upper", "digit", F.expr("chars - word_chars"), "mark", "symbol", F.expr("word_chars - lower - upper - digit - mark - symbol")).alias("by_class"),
-        lowered.alias("low"), F.try_element_at(lists, F.col("key")).alias("common"),
+        "id", "key", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.sort_array(F.transform(twice, lambda v: v["p"])).alias("places"),
+        F.array(F.expr("word_chars - n_signs"), "upper", "digit", F.expr("chars - word_chars"), "mark", "n_symbols", F.expr("n_signs - upper - digit - mark - n_symbols")).alias("by_class"), common.alias("by_word"),
     )
     covered = F.expr("aggregate(transform(places, (p, i) -> least(3L, coalesce(p - get(places, i - 1), 3L))), 0L, (s, x) -> s + x)")
-    rows = rows.select("id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "by_class", common.alias("by_word"))
+    rows = rows.select("id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "by_class", "by_word")
     rest = F.expr("greatest(0L, n_words - aggregate(by_word, 0L, (s, x) -> s + x))")
     return rows.withColumn("by_word", F.when(F.col("key") != "", F.concat("by_word", F.array(rest))).otherwise(F.expr("cast(array() as array<bigint>)")))
 
