@@ -84,7 +84,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{}")
     with pytest.raises(ValueError, match="max_amount"):
         constants.read_norms(spark, str(tmp_path / "bad.json"))
-    (tmp_path / "mcc.json").write_text('{"5411": 0.15, "x": 1, "10000": 0.2}')
+    (tmp_path / "mcc.json").write_text('{"5411": 0.15,\n "x": 1,\n "10000": 0.2}')
     assert [(r.mcc, r.risk) for r in constants.read_risks(spark, str(tmp_path / "mcc.json")).collect()] == [(5411, 0.15)]
     (tmp_path / "p.json").write_text(json.dumps([PAYLOAD, PAYLOAD]))
     assert inputs.read_payloads(spark, str(tmp_path / "p.json"), True).count() == 2

@@ -108,7 +108,7 @@ def test_readers_of_a_load_test(spark, tmp_path):
     from vicinal.sources import inputs
 
     path = tmp_path / "entries.json"
-    path.write_text(json.dumps({"stats": {"total": 2}, "entries": [{"request": {"id": "a"}, "expected_approved": True}, {"request": {"id": "b"}, "expected_approved": False}]}))
+    path.write_text(json.dumps(indent=2, obj={"stats": {"total": 2}, "entries": [{"request": {"id": "a"}, "expected_approved": True}, {"request": {"id": "b"}, "expected_approved": False}]}))
     assert json.loads(inputs.read_expected(spark, str(path))) == {"total": 2}
     assert [(r.number, r.request.id, r.expected_approved) for r in inputs.numbered_entries(spark, str(path)).orderBy("number").collect()] == [(0, "a", True), (1, "b", False)]
 

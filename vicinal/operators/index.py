@@ -153,7 +153,7 @@ def seeded_codebook(refs: DataFrame, m: int, codes: int) -> Codebook:
     return Codebook(np.ascontiguousarray(x.reshape(len(x), m, -1).transpose(1, 0, 2)))
 
 
-def _part_sums(rows: DataFrame, book: Codebook) -> tuple[np.ndarray, np.ndarray, float]:
+def part_sums(rows: DataFrame, book: Codebook) -> tuple[np.ndarray, np.ndarray, float]:
     """For each part and code the number of vectors nearest to it and their sum, and the squared distances of all parts; one pass."""
     sent = rows.sparkSession.sparkContext.broadcast(book)
 
@@ -200,7 +200,7 @@ def train_codebook(refs: DataFrame, m: int, codes: int, seed: int = 42, rounds:
         book, spare = Codebook(np.stack([s[:short] for s in starts])), np.random.default_rng(seed + t)
         wcss = float("inf")
         for _ in range(rounds):
-            n, total, now = _part_sums(rows, book)
+            n, total, now = part_sums(rows, book)
             centres = np.where(n[:, :, None] > 0, total / np.maximum(n, 1)[:, :, None], book.centres)
             for s, code in zip(*np.nonzero(n == 0), strict=True):
                 centres[s, code] = starts[s][spare.integers(len(starts[s]))]

@@ -17,7 +17,7 @@ from vicinal import storage
 from vicinal.functions import distance, features
 from vicinal.operators import engine, evaluation, knn
 from vicinal.operators import index as ix
-from vicinal.sources import inputs
+from vicinal.sources import inputs, sinks
 from vicinal.sources.constants import DIMENSIONS, MCC_RISK, NORMS, read_norms, read_risks
 
 EVERY = 50
@@ -619,6 +619,68 @@ def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.response(knn.decide(found.select("q_id", "fraud_count")))
 
 
+@query("SELECT * FROM (VALUES ('clusters', true), ('codes', true)) AS t(what, better)")
+def training_improves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether trained centres and codes lie nearer to the vectors than the vectors of the least ids."""
+    refs = references(spark, sf_dir)
+    total = lambda centres: evaluation.wcss(refs, centres).first()[0]
+    error = lambda book: ix.part_sums(refs, book)[2]
+    clusters = total(ix.train_centres(refs, 8, rounds=10)) < total(ix.seeded_centres(refs, 8))
+    codes = error(ix.train_codebook(refs, 4, 16, rounds=5)) < error(ix.seeded_codebook(refs, 4, 16))
+    return spark.createDataFrame([("clusters", clusters), ("codes", codes)], "what string, better boolean")
+
+
+@query("SELECT * FROM (VALUES ('before', false), ('after', true)) AS t(moment, ready)")
+def index_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an index can be read, before and after it was written."""
+    index, path = _index(spark, sf_dir)[2], storage.place(spark, "index")
+    before = evaluation.ready(spark, path)
+    ix.write(index, path)
+    return spark.createDataFrame([("before", before), ("after", evaluation.ready(spark, path))], "moment string, ready boolean")
+
+
+@query(_SWEEP_SQL)
+def recall_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep as a CSV file, read again."""
+    path = storage.place(spark, "sweep")
+    sinks.write_csv(recall_sweep(spark, sf_dir), path)
+    return spark.read.schema("nprobe int, candidates int, recall double").option("header", True).csv(path)
+
+
+@query(f"WITH {SQL_EMB_NN}, {_VOTE} SELECT {_BODY} AS body FROM votes")
+def answers_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers as a file of JSON lines, read again."""
+    path = storage.place(spark, "answers")
+    sinks.write_answers(fraud_decision(spark, sf_dir), path)
+    return spark.read.text(path).withColumnRenamed("value", "body")
+
+
+_CONFIGURATION = """
+app:
+  vector-search:
+    index: "ivf_pq" # or brute_force
+    clusters: 4096
+    nprobe: 16
+    candidates: 10
+    rerank:
+      enabled: true
+      nprobe: 32
+      candidates: 20
+  fraud:
+    debug: false
+"""
+
+
+@query("SELECT * FROM (VALUES ('strategy', 'ivf_pq'), ('clusters', '4096'), ('nprobe', '8'), ('candidates', '10'), ('rerank', 'True'), ('rerank_nprobe', '32'), ('rerank_candidates', '20'), ('count_source', 'exact'), ('debug', 'False')) AS t(name, value)")
+def configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search settings from a file, one of them replaced by a variable."""
+    path = storage.place(spark, "configuration")
+    spark.createDataFrame([(_CONFIGURATION,)], "value string").coalesce(1).write.text(path)
+    text = spark.read.text(path, wholetext=True).first()[0]
+    config = engine.SearchConfig.from_environment(environment={"VICINAL_NPROBE": "8"}, start=engine.SearchConfig.from_file(text))
+    return spark.createDataFrame([(k, str(v)) for k, v in vars(config).items()], "name string, value string")
+
+
 # --- readers, each of a file that is written first -----------------------------------------------
 
 

@@ -53,6 +53,6 @@ def read_norms(spark: SparkSession, path: str) -> dict[str, float]:
 
 def read_risks(spark: SparkSession, path: str) -> DataFrame:
     """mcc, risk from a JSON object of code and risk; keys that are no code in [0, MCC_LIMIT) are left out."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = text.select(F.explode(F.from_json("value", "map<string,double>")).alias("key", "risk"))
     return rows.select(F.expr("try_cast(key as int)").alias("mcc"), "risk").where(f"mcc >= 0 and mcc < {MCC_LIMIT} and risk is not null")

@@ -48,7 +48,7 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
 
 def read_expected(spark: SparkSession, path: str) -> str | None:
     """What a load-test file says of itself, as JSON."""
-    row = spark.read.option("wholetext", True).text(path).select(F.get_json_object("value", "$.stats").alias("stats")).where("stats is not null").first()
+    row = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.stats").alias("stats")).where("stats is not null").first()
     return row["stats"] if row else None
 
 
