@@ -355,7 +355,7 @@ def train(docs: DataFrame, sample: int = 2000, sample_bytes: int = 32 << 20, id_
 
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")).where("id is not null and text <> ''")
-    taken = docs.sparkSession.createDataFrame(shared.chosen(rows, sample, sample_bytes), f"id {docs.schema[id_col].dataType.simpleString()}, hash long")
+    taken = docs.sparkSession.createDataFrame(shared.chosen(rows.select("id", "hash", F.octet_length("text").alias("size")), sample, sample_bytes), f"id {docs.schema[id_col].dataType.simpleString()}, hash long")
     found = rows.join(F.broadcast(taken), ["id", "hash"]).dropDuplicates(["id", "hash"]).select("text").mapInArrow(nodes, "graph binary")
     return fit([pickle.loads(x) for x in sorted(r[0] for r in found.collect())])
 

@@ -25,10 +25,9 @@ def sample(df: DataFrame, by: list[str], n: int, total: int | None = None) -> Da
 
 
 def chosen(rows: DataFrame, n: int, size: int) -> list[tuple]:
-    """(id, hash) of at most n rows of id, hash and text, the first by a hash of both, with at most ``size`` bytes of text; a row that would go beyond is left out."""
-    slim = rows.select("id", "hash", F.octet_length("text").alias("size"))
+    """(id, hash) of at most n rows of id, hash and size, the first by a hash of both, with at most ``size`` bytes in all; a row that would go beyond is left out."""
     out, held = [], 0
-    for r in sorted(set(sample(slim, ["id", "hash"], n).collect()), key=lambda r: (r["hash"], r["id"])):  # n rows
+    for r in sorted(set(sample(rows, ["id", "hash"], n).collect()), key=lambda r: (r["hash"], r["id"])):  # n rows
         if held + r["size"] <= size:
             held += r["size"]
             out.append((r["id"], r["hash"]))

@@ -98,8 +98,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled:
     prior = min(0.5, max(0.005, (counts["p"] or 0) / counts["n"])) if counts["n"] else 0.05
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")).where("id is not null and text is not null").where(~is_held_out(F.col("id")))
-    toxic = rows.join(known.where("y = 1").select("id"), "id")
-    taken = [(*k, kind) for kind, few, n in ((1, toxic, positives), (0, rows, unlabelled)) for k in shared.chosen(few, n, sample_bytes // 2)]
+    slim = rows.select("id", "hash", F.octet_length("text").alias("size"))  # no text goes through the join
+    toxic = slim.join(known.where("y = 1").select("id"), "id")
+    taken = [(*k, kind) for kind, few, n in ((1, toxic, positives), (0, slim, unlabelled)) for k in shared.chosen(few, n, sample_bytes // 2)]
     kind_of_id = docs.schema[id_col].dataType.simpleString()
     chosen = docs.sparkSession.createDataFrame(taken, f"id {kind_of_id}, hash long, kind int")
 
