@@ -178,7 +178,9 @@ def fit(own: list[np.ndarray], y: np.ndarray, prior: float, steps: int = 600, ra
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         now = rate / (1 - 0.9**step)
         w = w - now * m / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        bias -= now * mb / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
+        # A text without any feature is never likelier toxic than the prior has it: on few
+        # documents, taking risk back would else call all of them toxic.
+        bias = min(base, bias - now * mb / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8))
     names = np.unique(chosen & ((1 << BITS) - 1))
     weights = np.zeros((len(names), len(LEVELS) + 1))
     for level in range(len(LEVELS)):
