@@ -20,6 +20,8 @@ VERSION = 1
 #: Rows of one list, and queries that probe it, that one unit of work has; more are cut.
 LIST_BLOCK = 65536
 PROBE_BLOCK = 4096
+#: Tasks that learn codes from a sample, whose sums the driver adds up.
+PARTS = 64
 
 
 def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -154,7 +156,7 @@ def seeded_codebook(refs: DataFrame, m: int, codes: int) -> Codebook:
 
 
 def part_sums(rows: DataFrame, book: Codebook) -> tuple[np.ndarray, np.ndarray, float]:
-    """For each part and code the number of vectors nearest to it and their sum, and the squared distances of all parts; one pass."""
+    """For each part and code the number of vectors nearest to it and their sum, and the squared distances of all parts; one pass over a sample."""
     sent = rows.sparkSession.sparkContext.broadcast(book)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +172,9 @@ def part_sums(rows: DataFrame, book: Codebook) -> tuple[np.ndarray, np.ndarray,
                     wcss += float(((p[:, s] - book.centres[s][code[:, s]]) ** 2).sum())
         yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()]), pa.array([total.tobytes()]), pa.array([wcss])], ["n", "total", "wcss"])
 
-    # A row for each task, of as many numbers as the codebook has.
+    # A row for each of PARTS tasks at most, of as many numbers as the codebook has.
     n, total, wcss = np.zeros(book.centres.shape[:2], np.int64), np.zeros(book.centres.shape), 0.0
-    for r in rows.select("vector").mapInArrow(run, "n binary, total binary, wcss double").toLocalIterator():
+    for r in rows.select("vector").coalesce(PARTS).mapInArrow(run, "n binary, total binary, wcss double").collect():
         n += np.frombuffer(r["n"], np.int64).reshape(n.shape)
         total += np.frombuffer(r["total"]).reshape(total.shape)
         wcss += r["wcss"]
@@ -188,7 +190,7 @@ def train_codebook(refs: DataFrame, m: int, codes: int, seed: int = 42, rounds:
     """
     dims = len(refs.where("vector is not null").select("vector").first()[0])
     split_check(dims, m)
-    rows = sampled(refs.where("vector is not null").select("ref_id", "vector"), sample, seed).repartition(refs.sparkSession.sparkContext.defaultParallelism).cache()
+    rows = sampled(refs.where("vector is not null").select("ref_id", "vector"), sample, seed).repartition(min(PARTS, refs.sparkSession.sparkContext.defaultParallelism)).cache()
     best, least = None, float("inf")
     for t in range(trials):
         found = sampled(rows, 2 * codes, seed + 1 + t).collect()
@@ -204,7 +206,7 @@ def train_codebook(refs: DataFrame, m: int, codes: int, seed: int = 42, rounds:
             centres = np.where(n[:, :, None] > 0, total / np.maximum(n, 1)[:, :, None], book.centres)
             for s, code in zip(*np.nonzero(n == 0), strict=True):
                 centres[s, code] = starts[s][spare.integers(len(starts[s]))]
-            done, wcss = not now < wcss * (1 - 1e-6), now
+            done, wcss = not now < wcss * (1 - 1e-4), now
             if done:
                 break
             book = Codebook(centres)

@@ -624,7 +624,8 @@ def training_improves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether trained centres and codes lie nearer to the vectors than the vectors of the least ids."""
     refs = references(spark, sf_dir)
     total = lambda centres: evaluation.wcss(refs, centres).first()[0]
-    error = lambda book: ix.part_sums(refs, book)[2]
+    sample = ix.sampled(refs.where("vector is not null"), 600_000)
+    error = lambda book: ix.part_sums(sample, book)[2]
     clusters = total(ix.train_centres(refs, 8, rounds=10)) < total(ix.seeded_centres(refs, 8))
     codes = error(ix.train_codebook(refs, 4, 16, rounds=5)) < error(ix.seeded_codebook(refs, 4, 16))
     return spark.createDataFrame([("clusters", clusters), ("codes", codes)], "what string, better boolean")
