@@ -111,16 +111,15 @@ def test_heaps_of_lines(spark, monkeypatch):
     assert {(r.doc, r.line) for r in line_dedup.repeats(df).collect()} == want
 
 
-@pytest.mark.parametrize("change", [("SMALL", 1), ("SMALL", 1000), ("RECENT", 1), ("BIN", 1), ("MOST_RARITY", 1 << 20)])
-def test_sizes_inside_change_no_result(spark, sf_dir, monkeypatch, change):
+@pytest.mark.parametrize("changes", [{"SMALL": 1, "RECENT": 1, "BIN": 1}, {"SMALL": 1000, "RARITY": 1 << 20, "MOST_RARITY": 1 << 20}])
+def test_sizes_inside_change_no_result(spark, sf_dir, monkeypatch, changes):
     from vicinal.llm import bloom
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 3 > 0")
     want = brute.repeated_lines([(r.doc_id, r.text) for r in docs.collect()])
-    monkeypatch.setattr(line_dedup, *change)
+    for name, value in changes.items():
+        monkeypatch.setattr(line_dedup, name, value)
     monkeypatch.setattr(bloom, "MOST_KEYS", 1)
-    if change[0] == "MOST_RARITY":
-        monkeypatch.setattr(line_dedup, "RARITY", 1 << 20)
     assert {(r.doc, r.line) for r in line_dedup.repeats(docs).collect()} == want
 
 
