@@ -118,12 +118,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled:
 def _significant(seen_p: np.ndarray, seen_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
     """Features whose rates differ between n_p and n_u documents, by Benjamini and Hochberg's rule."""
     tested = np.flatnonzero(seen_p + seen_u >= LEAST_SEEN)
+    n = len(tested)
     a, b = seen_p[tested] / n_p, seen_u[tested] / n_u
-    share = (seen_p[tested] + seen_u[tested]) / (n_p + n_u)
+    share = (a * n_p + b * n_u) / (n_p + n_u)
     z = np.abs(a - b) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
     tested, z = tested[z > 2], z[z > 2]  # others can't pass
     order = np.argsort(-z, kind="stable")
-    n = int((seen_p + seen_u >= LEAST_SEEN).sum())
     ok = np.flatnonzero([erfc(x / 2**0.5) <= DISCOVERY * (k + 1) / n for k, x in enumerate(z[order].tolist())])
     return np.sort(tested[order[: ok[-1] + 1]]) if len(ok) else tested[:0]
 
@@ -155,7 +155,8 @@ def fit(own: list[np.ndarray], y: np.ndarray, prior: float, steps: int = 600, ra
     n_p, n_u = int(pos.sum()), int(unl.sum())
     if not n_p or not n_u:
         return Model(np.zeros(0, np.int64), np.zeros((0, len(LEVELS) + 1)), base)
-    seen = np.zeros((2, len(LEVELS), 1 << BITS), np.int32)
+    # The driver holds these counts: two bytes each where the documents allow it.
+    seen = np.zeros((2, len(LEVELS), 1 << BITS), np.uint16 if len(own) < 1 << 16 else np.uint32)
     for x, k in zip(own, y.astype(int).tolist(), strict=True):
         for level in range(len(LEVELS)):
             seen[k, level, x[x & 3 > level] >> 2] += 1  # a document has each feature once
@@ -163,9 +164,11 @@ def fit(own: list[np.ndarray], y: np.ndarray, prior: float, steps: int = 600, ra
     del seen
     if not len(chosen):
         return Model(np.zeros(0, np.int64), np.zeros((0, len(LEVELS) + 1)), base)
-    place = np.full(len(LEVELS) << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    column = [c[c >= 0] for x in own for c in (place[np.concatenate([(x[x & 3 > level] >> 2).astype(np.int64) + (level << BITS) for level in range(len(LEVELS))])],)]
+    column = []
+    for x in own:
+        codes = np.concatenate([(x[x & 3 > level] >> 2).astype(np.int64) + (level << BITS) for level in range(len(LEVELS))])
+        place = np.minimum(np.searchsorted(chosen, codes), len(chosen) - 1)
+        column.append(place[chosen[place] == codes])
     row = np.repeat(np.arange(len(own)), [len(c) for c in column])
     column = np.concatenate(column)
     w, bias = np.zeros(len(chosen)), base
