@@ -138,3 +138,14 @@ def test_rate_of_a_load_test(spark):
 
     entries = spark.createDataFrame([(0, "a", True)], "number long, request string, expected_approved boolean")
     assert scoring.load_stream(spark, entries).isStreaming and scoring.load_stream(spark, entries, most=1).columns == ["number", "timestamp", "request", "expected_approved"]
+
+
+def test_a_load_test_is_not_cut(spark, tmp_path):
+    from vicinal.streaming import scoring
+
+    entries = spark.createDataFrame([(i, "a", True) for i in range(200)], "number long, request string, expected_approved boolean")
+    writer = lambda at, size: scoring.load_stream(spark, entries, most=200, rows_per_batch=size).writeStream.format("parquet").option("path", str(tmp_path / at)).option("checkpointLocation", str(tmp_path / f"{at}-state"))
+    with pytest.raises(TimeoutError):
+        scoring.run_until(writer("short", 1), 200, 1, seconds=1)
+    scoring.run_until(writer("whole", 50), 200, 50)
+    assert spark.read.parquet(str(tmp_path / "whole")).count() == 200
