@@ -189,3 +189,49 @@ def test_trained_searches_find_the_neighbours(spark, sf_dir, name):
     exact = {(r.q_id, r.ref_id) for r in QUERIES["knn_exact_embeddings"](spark, sf_dir).collect()}
     found = {(r.q_id, r.ref_id) for r in QUERIES[name](spark, sf_dir).collect()}
     assert len(found & exact) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("leaf", [2048, 40])
+def test_boxes_give_the_same_rows(spark, monkeypatch, leaf):
+    """Copies, ties, places that are no number and queries far from all: boxes find what the plain search finds, at no pair more than once."""
+    from vicinal.operators import boxes
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.round(rng.random((900, 4)), 1), np.repeat(np.round(rng.random((4, 4)), 2), 60, axis=0)])
+    rows = [(3 * i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(1, None, 1), (2, [0.5, float("nan"), 0.5, 0.5], 1)]
+    refs = spark.createDataFrame(rows, "ref_id long, vector array<double>, is_fraud int").repartition(3)
+    q = refs.where("ref_id % 5 = 0").selectExpr("ref_id AS q_id", "vector AS q").union(spark.createDataFrame([(-1, [9.0, -9.0, 3.0, 0.0]), (-2, None)], "q_id long, q array<double>"))
+    plain = sorted(knn.exact_knn(q, refs).collect())
+    for name, value in (("LEAF", leaf), ("UNIT", 32), ("ASKED", 50), ("SAMPLE", 400)):
+        monkeypatch.setattr(boxes, name, value)
+    made, old = [], boxes.build
+    monkeypatch.setattr(boxes, "build", lambda *a: made.append(old(*a)) or made[-1])
+    monkeypatch.setattr(knn, "MOST_PAIRS", 0)
+    assert sorted(knn.exact_knn(q, refs).collect()) == plain and len(plain) > 900
+    # Copies beyond the fifth of a vector are nobody's neighbours, and small leaves leave most references unvisited.
+    n = made[0].units.agg({"n": "sum"}).first()[0]
+    assert len(made) == 1 and n < 1140 and (leaf > 40 or len(made[0].near(np.array([[0.5, 0.5, 0.5, 0.5]]), np.array([0.02]))[1]) < made[0].start[-1] / 2)
+
+
+def test_boxes_without_references(spark):
+    from vicinal.operators import boxes
+
+    assert boxes.build(spark.createDataFrame([(1, None, 1)], "ref_id long, vector array<double>, is_fraud int")) is None
+
+
+def by_boxes(spark, sf_dir, monkeypatch, name):
+    """Rows of a query by the plain search and by boxes, and how many boxes were made."""
+    from vicinal.operators import boxes
+    from vicinal.plans.queries import QUERIES
+
+    plain = sorted(QUERIES[name](spark, sf_dir).collect(), key=repr)
+    made, old = [], boxes.build
+    monkeypatch.setattr(boxes, "build", lambda *a, **b: made.append(old(*a, **b)) or made[-1])
+    monkeypatch.setattr(boxes, "LEAF", 100)
+    monkeypatch.setattr(knn, "MOST_PAIRS", 0)
+    return plain, sorted(QUERIES[name](spark, sf_dir).collect(), key=repr), len(made)
+
+
+def test_explained_by_boxes(spark, sf_dir, monkeypatch):
+    plain, rows, made = by_boxes(spark, sf_dir, monkeypatch, "decision_explain")
+    assert rows == plain and rows and made == 1
