@@ -235,3 +235,8 @@ def by_boxes(spark, sf_dir, monkeypatch, name):
 def test_explained_by_boxes(spark, sf_dir, monkeypatch):
     plain, rows, made = by_boxes(spark, sf_dir, monkeypatch, "decision_explain")
     assert rows == plain and rows and made == 1
+
+
+def test_decided_by_boxes(spark, sf_dir, monkeypatch):
+    plain, rows, made = by_boxes(spark, sf_dir, monkeypatch, "fraud_decision_transactions")
+    assert rows == plain and rows and made == 1
