@@ -149,3 +149,24 @@ def test_a_load_test_is_not_cut(spark, tmp_path):
         scoring.run_until(writer("short", 1), 200, 1, seconds=1)
     scoring.run_until(writer("whole", 50), 200, 50)
     assert spark.read.parquet(str(tmp_path / "whole")).count() == 200
+
+
+def test_a_stream_deals_its_references_once(spark, tmp_path, monkeypatch):
+    from vicinal.operators import boxes
+    from vicinal.streaming import scoring
+
+    payload = lambda i: {"id": f"tx-{i}", "event_id": i, "transaction": {"amount": 100.0 * i, "installments": 1, "requested_at": "2026-01-01T00:00:00Z"}, "customer": {"avg_amount": 5.0, "tx_count_24h": 1, "known_merchants": []}, "merchant": {"id": "m", "mcc": "5411", "avg_amount": 3.0}, "terminal": {"is_online": True, "card_present": False, "km_from_home": 1.0}}
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps(payload(10 * i + j)) for j in range(10)))
+    refs = spark.createDataFrame([(k, [k / 300] + [0.1] * 13, k // 7 % 2) for k in range(300)], "ref_id long, vector array<double>, is_fraud int")
+    stream = scoring.payload_stream(spark, str(tmp_path / "in"), "event_id bigint")
+    scoring.score_stream(stream, refs, str(tmp_path / "plain"), str(tmp_path / "state")).awaitTermination()
+    made, old = [], boxes.build
+    monkeypatch.setattr(boxes, "build", lambda *a, **b: made.append(old(*a, **b)) or made[-1])
+    monkeypatch.setattr(boxes, "LEAF", 20)
+    monkeypatch.setattr(scoring, "MOST_PLAIN", 10)
+    one = spark.readStream.schema(stream.schema).option("columnNameOfCorruptRecord", scoring.MALFORMED).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    scoring.score_stream(one, refs, str(tmp_path / "boxes"), str(tmp_path / "state2")).awaitTermination()
+    rows = lambda at: sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / at)).drop("batch").collect())
+    assert rows("boxes") == rows("plain") and len(rows("plain")) == 30 and len(made) == 1 and spark.read.parquet(str(tmp_path / "boxes")).select("batch").distinct().count() == 3
