@@ -170,3 +170,18 @@ def test_a_stream_deals_its_references_once(spark, tmp_path, monkeypatch):
     scoring.score_stream(one, refs, str(tmp_path / "boxes"), str(tmp_path / "state2")).awaitTermination()
     rows = lambda at: sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / at)).drop("batch").collect())
     assert rows("boxes") == rows("plain") and len(rows("plain")) == 30 and len(made) == 1 and spark.read.parquet(str(tmp_path / "boxes")).select("batch").distinct().count() == 3
+
+
+def test_more_references_than_a_task_holds(spark, sf_dir, monkeypatch):
+    """Blocks of references, each held alone, give the decisions of all at once."""
+    from vicinal.operators import boxes
+    from vicinal.plans.queries import QUERIES
+    from vicinal.streaming import scoring
+
+    plain = sorted(QUERIES["stream_decisions_direct"](spark, sf_dir).collect())
+    blocks, old = [], boxes.Boxes.blocks
+    monkeypatch.setattr(boxes.Boxes, "blocks", lambda self, size: [blocks.append(x) or x for x in old(self, size)])
+    for of, name, value in ((boxes, "LEAF", 50), (scoring, "MOST_REFERENCES", 8), (scoring, "BLOCK", 20_000), (scoring, "ASKED", 7)):
+        monkeypatch.setattr(of, name, value)
+    assert sorted(QUERIES["stream_decisions_direct"](spark, sf_dir).collect()) == plain and plain
+    assert len(blocks) > 3 and [first for first, _, _ in blocks[1:]] == [last for _, last, _ in blocks[:-1]]
