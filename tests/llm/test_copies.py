@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
@@ -206,3 +207,19 @@ def test_sample_is_the_same_at_every_run(spark):
     a, b = (sorted(r[0] for r in shared.sample(x, ["id"], 100).collect()) for x in (rows, rows.repartition(3)))
     assert a == b and len(a) == 100
     assert shared.sample(rows.limit(20), ["id"], 100).count() == 20 and shared.sample(rows.limit(0), ["id"], 100).count() == 0
+
+
+def test_only_wanted_lines_are_cut_into_words(monkeypatch):
+    from vicinal.llm.textcore import text_bytes
+
+    texts = ["a b c d e f\nx y\n\nlast line of one", "", "no end\n", "\n\n", "é b c d e f g\nto the end"]
+    data, offsets = text_bytes(pa.array(texts))
+    every = line_dedup.Lines(data, offsets, 3, True)
+    seen, old = [], line_dedup.Words
+    monkeypatch.setattr(line_dedup, "Words", lambda data, cuts: seen.append(len(data)) or old(data, cuts))
+    for wanted in (lambda doc, number: (doc + number) % 2 == 0, lambda doc, number: number > 9, lambda doc, number: number == 1):
+        some = line_dedup.Lines(data, offsets, 3, True, wanted)
+        keep = wanted(every.doc, every.number)[every.line]
+        assert (some.doc.tolist(), some.number.tolist()) == (every.doc.tolist(), every.number.tolist())
+        assert some.token.tolist() == every.token[keep].tolist() and some.line.tolist() == every.line[keep].tolist()
+    assert len(seen) == 2 and max(seen) < len(data)

@@ -20,7 +20,7 @@ like neither go on to the other blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from fractions import Fraction
 from math import ceil
 
@@ -58,9 +58,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column,
 
 
 class Lines:
-    """The lines of texts: ``doc`` (index of the text), ``number`` in it, and their tokens with the line of each."""
+    """The lines of texts: ``doc`` (index of the text), ``number`` in it, and their tokens with the line of each.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int, whole: bool = False) -> None:
+    asked: says of the lines, by their ``doc`` and ``number``, which ones are wanted;
+    only those have tokens then.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int, whole: bool = False, asked: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
         breaks = np.flatnonzero(data == 10) + 1
         begin = np.concatenate([offsets[:-1], breaks])
         owner = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks - 1, "right") - 1])
@@ -69,7 +73,14 @@ class Lines:
         first = np.searchsorted(self.doc, np.arange(len(offsets) - 1))
         self.number = np.arange(len(begin)) - first[self.doc]
         cuts = np.append(begin, len(data))
-        self.token, self.line = shingles(Words(data, cuts), width, whole)
+        if asked is None:
+            self.token, self.line = shingles(Words(data, cuts), width, whole)
+            return
+        hit = asked(self.doc, self.number)
+        size = np.diff(cuts)
+        of = np.flatnonzero(hit)
+        self.token, line = shingles(Words(data[np.repeat(hit, size)], np.concatenate([[0], np.cumsum(size[of])])), width, whole) if len(of) else (np.zeros(0, np.uint64), of)
+        self.line = of[line]
 
 
 def _place(token: np.ndarray, places: int) -> np.ndarray:
@@ -339,10 +350,12 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int, whole: bool = False) -
         for batch in batches:
             ids, rests = (batch.column(k).to_numpy() for k in (1, 2))
             for a, _, data, offsets in blocks(batch.column(0)):
-                lines = Lines(data, offsets, width, whole)
-                node = node_of(ids[a + lines.doc], rests[a + lines.doc], lines.number)
+                named = lambda doc, number, a=a, ids=ids, rests=rests: node_of(ids[a + doc], rests[a + doc], number)
+                # A line's place says whether it is wanted, so the words of the others aren't looked at.
+                lines = Lines(data, offsets, width, whole, (lambda doc, number, named=named: sent.value.contains(named(doc, number))) if sent else None)
+                node = named(lines.doc, lines.number)
                 cut = np.searchsorted(lines.line, np.arange(len(node) + 1))
-                hit = np.flatnonzero(sent.value.contains(node) if sent else cut[1:] > cut[:-1])
+                hit = np.flatnonzero(cut[1:] > cut[:-1])
                 if not len(hit):
                     continue
                 sets = [np.unique(lines.token[cut[x] : cut[x + 1]]).tobytes() for x in hit.tolist()]
