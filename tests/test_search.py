@@ -240,3 +240,15 @@ def test_explained_by_boxes(spark, sf_dir, monkeypatch):
 def test_decided_by_boxes(spark, sf_dir, monkeypatch):
     plain, rows, made = by_boxes(spark, sf_dir, monkeypatch, "fraud_decision_transactions")
     assert rows == plain and rows and made == 1
+
+
+def test_candidates_follow_the_measured_recall(spark):
+    x = np.random.default_rng(8).standard_normal((1500, 8))
+    refs = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "ref_id long, vector array<double>, is_fraud int").repartition(3)
+    index = ix.build(refs, ix.seeded_centres(refs, 4), ix.seeded_codebook(refs, 2, 8))
+    assert evaluation.tuned(refs, index, 4, 10, 0.0, queries=60) == 10
+    n = evaluation.tuned(refs, index, 4, 10, 0.9, queries=60)
+    q = refs.where("ref_id % 20 = 0").select(F.col("ref_id").alias("q_id"), F.col("vector").alias("q"))
+    share = lambda n: evaluation.recall(ix.rerank(q, ix.scan(ix.probe(q, index.centres, 4), index, n), refs), knn.exact_knn(q, refs)).first()["recall"]
+    assert n > 10 and share(10) < 0.8 < share(n)
+    assert evaluation.tuned(refs, index, 4, 10, 1.1, queries=10) == 1500

@@ -29,6 +29,22 @@ def recall(approximate: DataFrame, exact: DataFrame, k: int = knn.K, by: tuple[s
     return total.select(*by, (F.col("hits") / F.lit(float(max(1, k * n)))).alias("recall"))
 
 
+def tuned(refs: DataFrame, index: ix.Index, nprobe: int, candidates: int, least: float, k: int = knn.K, queries: int = 500, seed: int = 43) -> int:
+    """``candidates``, doubled until the reranked search finds the share ``least`` of the exact neighbours of a sample of the references, or until every row is one.
+
+    More rows lie between a query and its neighbours the more there are, so a number
+    of candidates that does for a small table loses neighbours in a large one.
+    """
+    q = storage.cut(ix.sampled(refs.where("vector is not null"), queries, seed).select(F.col("ref_id").alias("q_id"), F.col("vector").alias("q")), "tuning")
+    truth = storage.cut(knn.exact_knn(q, refs, k).select("q_id", "ref_id"), "truth")
+    rows, probes = index.lists.count(), ix.probe(q, index.centres, nprobe)
+    while candidates < rows and recall(ix.rerank(q, ix.scan(probes, index, candidates), refs, k), truth, k).first()["recall"] < least:
+        candidates = min(2 * candidates, rows)
+    storage.drop(q)
+    storage.drop(truth)
+    return candidates
+
+
 def sweep(queries: DataFrame, index: ix.Index, refs: DataFrame, k: int = knn.K, nprobes: tuple[int, ...] = NPROBES, candidates: tuple[int, ...] = CANDIDATES) -> DataFrame:
     """nprobe, candidates, recall of the reranked search for every pair of settings.
 
