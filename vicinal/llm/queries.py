@@ -22,9 +22,9 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document by shingles of five words."""
-    from vicinal.llm import ngram_join
+    from vicinal.llm import ngram_join, shared
 
-    return ngram_join.join(_table(spark, sf_dir, "documents"))
+    return shared.gathered(ngram_join.join(_table(spark, sf_dir, "documents")))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

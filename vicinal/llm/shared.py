@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinal.storage import cut, delete, drop, folder, place, scope
+from vicinal.storage import cut, delete, drop, folder, gathered, place, scope
 
-__all__ = ["chosen", "cut", "delete", "drop", "folder", "integer_id", "place", "sample", "scope"]
+__all__ = ["chosen", "cut", "delete", "drop", "folder", "gathered", "integer_id", "place", "sample", "scope"]
 
 
 def sample(df: DataFrame, by: list[str], n: int, total: int | None = None) -> DataFrame:
