@@ -4,6 +4,9 @@ Run ``run(spark, sf_dir)``; every stage's result is written to the session's
 shared folder and read again, so a lost executor never costs more than a stage, and
 what a stage wrote besides is deleted then, as is the table that it read.
 
+A stage's result has a few partitions for each core, as every file costs its writer more
+than the bytes in it (see ``storage.gathered``).
+
 Each stage takes any columns, whatever their names, beside doc_id (an integer) and
 text, and gives them back as they are; an empty table gives an empty one; equal rows
 are treated alike, and a very long text as a whole.
@@ -23,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text has the score of the class prior, so it stays.
     """
-    return toxicity.calm(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return shared.gathered(toxicity.calm(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,22 +44,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     if "n_chars" in docs.columns:
         n = inner[docs.columns.index("n_chars")]
         found = found.withColumn(n, F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
-    return found.select(*inner).toDF(*docs.columns)
+    return shared.gathered(found.select(*inner).toDF(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of the similarity join, the one with the least id; texts without words and rows without an id stay."""
-    return ngram_join.one_of_each(docs)
+    return shared.gathered(ngram_join.one_of_each(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words with a benchmark item; a null text has no words and stays."""
-    return suffix_arrays.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return shared.gathered(suffix_arrays.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, and of each document's token ids their number, hashes of them and of the bytes that they give back, and the ids; a null text has none."""
-    return prefix_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
+    return shared.gathered(prefix_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True))
 
 
 STAGES = [

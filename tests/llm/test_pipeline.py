@@ -96,3 +96,9 @@ def test_queries_are_registered():
 
     names = __spark_entry__.queries()
     assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
+
+
+def test_few_partitions_of_stage_results(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(60)
+    for stage in (corpus_pipeline.drop_contaminated, corpus_pipeline.to_token_ids):
+        assert stage(spark, docs, sf_dir).rdd.getNumPartitions() == 16
