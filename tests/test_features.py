@@ -6,6 +6,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from vicinal.functions import features
 from vicinal.sources import constants, inputs
@@ -91,3 +92,18 @@ def test_readers(spark, tmp_path):
     (tmp_path / "test.json").write_text(json.dumps({"entries": [{"request": PAYLOAD, "expected_approved": True}], "stats": {}}))
     (entry,) = inputs.read_entries(spark, str(tmp_path / "test.json")).collect()
     assert entry.expected_approved and entry.request.merchant.mcc == "5411" and entry.request.customer.known_merchants == ["MERC-003", "MERC-016"]
+
+
+def test_risks_start_no_python_worker(spark):
+    found = constants.risk_table(spark)
+    assert "RDD" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == sorted(constants.MCC_RISK.items())
+    assert [tuple(r) for r in constants.risk_table(spark, {7: 0.25, 3: None}).collect()] == [(3, None), (7, 0.25)]
+
+
+def test_number_of_properties(spark):
+    texts = ['{"k": 0}', '{"k": 76}', '{"k": 123456789}', '{"k": 2147483647}', '{"k":5}', '{"k": -3}', '{"k": 007}', '{"k": "8"}', '{"a": 1, "k": 4}', '{"k": 9} ', '{"k": 9}\n', '{"k": 1', '{"k": null}', "{}", "", "x", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, props string")
+    got = {r[0]: r[1] for r in rows.select("i", inputs.number_of(F.col("props"))).collect()}
+    assert got == {r[0]: r[1] for r in rows.select("i", F.get_json_object("props", "$.k").cast("int")).collect()}
+    assert [got[i] for i in range(5)] == [0, 76, 123456789, 2147483647, 5]
