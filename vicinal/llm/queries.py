@@ -31,10 +31,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, removed lines, and length and hash of what is left of every document."""
     from pyspark.sql import functions as F
 
-    from vicinal.llm import line_dedup
+    from vicinal.llm import line_dedup, shared
 
     found = line_dedup.remove(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    return shared.gathered(found.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")))
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
