@@ -252,3 +252,27 @@ def test_candidates_follow_the_measured_recall(spark):
     share = lambda n: evaluation.recall(ix.rerank(q, ix.scan(ix.probe(q, index.centres, 4), index, n), refs), knn.exact_knn(q, refs)).first()["recall"]
     assert n > 10 and share(10) < 0.8 < share(n)
     assert evaluation.tuned(refs, index, 4, 10, 1.1, queries=10) == 1500
+
+
+def test_every_transaction_is_decided(spark, sf_dir):
+    from vicinal.plans.queries import QUERIES
+
+    ids = sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect())
+    assert sorted(r.event_id for r in QUERIES["fraud_decision_transactions"](spark, sf_dir).collect()) == ids
+
+
+@pytest.mark.parametrize(("leaf", "inner"), [(2048, 30), (40, 8)])
+def test_votes_of_all_by_boxes(spark, monkeypatch, leaf, inner):
+    """Copies beyond a unit, ties and places that are no number: every row is counted, as by the plain search."""
+    from vicinal.operators import boxes
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.round(rng.random((700, 4)), 1), np.repeat(np.round(rng.random((4, 4)), 2), 60, axis=0), rng.random((60, 4)) ** 3])
+    rows = [(3 * i, v.tolist(), i % 3 % 2) for i, v in enumerate(x)] + [(1, None, 1), (2, [0.5, float("nan"), 0.5, 0.5], 1), (4, [9.0, -9.0, 3.0, 0.0], 1)]
+    refs = spark.createDataFrame(rows, "ref_id long, vector array<double>, is_fraud int").repartition(3)
+    plain = sorted(knn.votes_of_all(refs).collect())
+    assert len(plain) == len(rows)
+    for name, value in (("LEAF", leaf), ("UNIT", 32), ("ASKED", 50), ("SAMPLE", 400), ("INNER", inner)):
+        monkeypatch.setattr(boxes, name, value)
+    monkeypatch.setattr(knn, "MOST_PAIRS", 0)
+    assert sorted(knn.votes_of_all(refs).collect()) == plain
