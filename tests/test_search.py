@@ -276,3 +276,32 @@ def test_votes_of_all_by_boxes(spark, monkeypatch, leaf, inner):
         monkeypatch.setattr(boxes, name, value)
     monkeypatch.setattr(knn, "MOST_PAIRS", 0)
     assert sorted(knn.votes_of_all(refs).collect()) == plain
+
+
+@pytest.mark.parametrize("block", [1 << 18, 70])
+def test_reranked_in_blocks(rows, monkeypatch, block):
+    """One look at all lists finds what probing, scanning and reranking one after another find, rows in one block or many."""
+    _, refs, _ = rows
+    q = refs.where("ref_id % 3 = 0").select(F.col("ref_id").alias("q_id"), F.col("vector").alias("q"))
+    index = ix.build(refs, ix.seeded_centres(refs, 8), ix.seeded_codebook(refs, 4, 16))
+    plain = sorted(ix.rerank(q, ix.scan(ix.probe(q, index.centres, 3), index, 12), refs).collect())
+    monkeypatch.setattr(knn, "REF_BLOCK", block)
+    monkeypatch.setattr(ix, "RERANK_BLOCK", 30)
+    assert sorted(ix.reranked(q, index, 5, 3, 12).collect()) == plain and len(plain) == 500
+
+
+def test_screening_loses_no_pair():
+    """What a product of matrices leaves is compared place by place: ties, equal rows, rows that don't count, huge values and values that are no number."""
+    rng = np.random.default_rng(3)
+    r = np.concatenate([np.round(rng.random((200, 6)), 1), rng.random((50, 6)) * 1e-8 + 1e3, np.round(rng.random((20, 6)), 1)])
+    q, out = np.concatenate([r[::7], rng.random((5, 6))]), rng.random((44, 270)) < 0.3
+    for x in (r, np.where(rng.random(r.shape) < 0.01, np.nan, r), r * 1e160):
+        for mask in (None, out):
+            d = distance.matrix(q, x)
+            d[out if mask is not None else np.zeros_like(out)] = np.nan
+            i, j = distance.screened(q, x, 5, np.full(len(q), np.inf), mask)
+            found = distance.paired(q[i], x[j])
+            keep = knn.top(i, found, j, 5)
+            assert np.array_equal(found, d[i, j])
+            want = [(a, b) for a in range(len(q)) for b in np.lexsort((np.arange(270), d[a]))[:5] if not np.isnan(d[a, b])]
+            assert [p for p in zip(i[keep], j[keep], strict=True) if not np.isnan(d[p])] == want

@@ -37,8 +37,8 @@ def tuned(refs: DataFrame, index: ix.Index, nprobe: int, candidates: int, least:
     """
     q = storage.cut(ix.sampled(refs.where("vector is not null"), queries, seed).select(F.col("ref_id").alias("q_id"), F.col("vector").alias("q")), "tuning")
     truth = storage.cut(knn.exact_knn(q, refs, k).select("q_id", "ref_id"), "truth")
-    rows, probes = index.lists.count(), ix.probe(q, index.centres, nprobe)
-    while candidates < rows and recall(ix.rerank(q, ix.scan(probes, index, candidates), refs, k), truth, k).first()["recall"] < least:
+    rows = index.lists.count()
+    while candidates < rows and recall(ix.reranked(q, index, k, nprobe, candidates), truth, k).first()["recall"] < least:
         candidates = min(2 * candidates, rows)
     storage.drop(q)
     storage.drop(truth)
